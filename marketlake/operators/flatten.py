@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,16 +19,17 @@ CHANNEL_TOPICS = {
 ARRIVAL = ["_arrived", "_offset", "_pos"]
 
 
-def parse_listings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_listings(raw: DataFrame, bad: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine) of listing events in the string column ``value``."""
     return _parse(
-        raw, LISTING_EVENT, "listings", RAW_LISTINGS, {}, "lastReviewTime", key="listingID"
+        raw, LISTING_EVENT, "listings", RAW_LISTINGS, {}, "lastReviewTime", "listingID", bad
     )
 
 
-def parse_sales(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_sales(raw: DataFrame, bad: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine) of sale events in the string column ``value``."""
-    return _parse(raw, SALE_EVENT, "sales", RAW_SALES, {"ts": "timestamp"}, "timestamp")
+    renamed = {"ts": "timestamp"}
+    return _parse(raw, SALE_EVENT, "sales", RAW_SALES, renamed, "timestamp", None, bad)
 
 
 def _parse(
@@ -38,7 +39,8 @@ def _parse(
     row: T.StructType,
     renamed: dict[str, str],
     epoch: str,
-    key: str | None = None,
+    key: str | None,
+    bad: Observation | None,
 ) -> tuple[DataFrame, DataFrame]:
     """Parse and flatten in one stage without a shuffle.
 
@@ -46,28 +48,35 @@ def _parse(
     as 0, an absent flag as false, an absent text as NULL. Events that do not
     parse, or lack item, world or array, go to quarantine whole; elements that
     are null or have no record key stay out of the rows and take their event to
-    quarantine too.
+    quarantine too. ``bad`` counts the quarantined events while the rows are
+    computed, so that a batch without any need not be parsed a second time.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = raw.withColumn("_event", F.from_json("value", event, options))
-    elements = F.col(f"_event.{array}")
+    parsed = F.from_json("value", event, options)
 
     def unusable(e: Column) -> Column:
         return e.isNull() if key is None else e.isNull() | e[key].isNull()
 
-    reason = (
-        F.when(F.col("_event").isNull() | F.col(f"_event.{CORRUPT}").isNotNull(), "bad json")
-        .when(F.col("_event.item").isNull(), "no item")
-        .when(F.col("_event.world").isNull(), "no world")
-        .when(elements.isNull(), "no array")
-    )
+    def broken(e: Column) -> Column:
+        return (
+            F.when(e.isNull() | e[CORRUPT].isNotNull(), "bad json")
+            .when(e["item"].isNull(), "no item")
+            .when(e["world"].isNull(), "no world")
+            .when(e[array].isNull(), "no array")
+        )
+
+    def reason(e: Column) -> Column:
+        return F.coalesce(
+            broken(e), F.when(F.exists(e[array], unusable), "element without key")
+        )
+
     carried = [c for c in ARRIVAL if c in raw.columns]
     element = F.col("_element")
     fields = {f.name: f for f in event[array].dataType.elementType}
 
     def column(f: T.StructField) -> Column:
         if f.name in ("item", "world"):
-            return F.col(f"_event.{f.name}").alias(f.name)
+            return F.col(f.name)
         if f.name == "dt":
             return epoch_date(F.coalesce(element[epoch], F.lit(0))).alias("dt")
         source = fields[renamed.get(f.name, f.name)]
@@ -78,19 +87,21 @@ def _parse(
             value = F.coalesce(value, F.lit(0).cast(source.dataType))
         return value.alias(f.name)
 
+    # No filter stands between the parse and the explode: it would be pushed
+    # below the parse and parse the text again for every field it looks at.
+    events = raw.select(*carried, parsed.alias("_event"))
+    if bad is not None:
+        events = events.observe(bad, F.count(reason(F.col("_event"))).alias("bad"))
+    usable = F.when(broken(F.col("_event")).isNull(), F.col(f"_event.{array}"))
     rows = (
-        parsed.where(reason.isNull())
-        .select(*carried, "_event", F.posexplode(elements).alias("_pos", "_element"))
+        events.select(*carried, "_event.item", "_event.world", usable.alias("_usable"))
+        .select(*carried, "item", "world", F.posexplode_outer("_usable").alias("_pos", "_element"))
         .where(~unusable(element))
         .select(*[column(f) for f in row], *carried, "_pos")
     )
-    quarantine = (
-        parsed.withColumn(
-            "reason", F.coalesce(reason, F.when(F.exists(elements, unusable), "element without key"))
-        )
-        .where(F.col("reason").isNotNull())
-        .select("value", "reason")
-    )
+    # As a function of one array element, the parse is written out only once.
+    why = F.transform(F.array(parsed), reason)[0]
+    quarantine = raw.select("value", why.alias("reason")).where(F.col("reason").isNotNull())
     return rows, quarantine
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,12 +77,21 @@ class LakeTable:
 
     # Writing
 
-    def append(self, rows: DataFrame, batch_id: int) -> int:
+    def append(self, rows: DataFrame, batch_id: int) -> None:
         """Add one micro-batch; a batch that is already in is left alone."""
-        spark = rows.sparkSession
-        done = self._commits(spark).where(F.col("batch_id") == batch_id).collect()
-        if done:
-            return done[0]["rows"]
+        if not self.has(rows.sparkSession, batch_id):
+            self.commit(rows.sparkSession, batch_id, self.write(rows, batch_id))
+
+    def has(self, spark: SparkSession, batch_id: int) -> bool:
+        """Whether a batch is committed; looks at its own record, not at all of them."""
+        try:
+            record = spark.read.schema("rows BIGINT").json(f"{self.path}/commits/batch_id={batch_id}")
+            return not record.isEmpty()
+        except AnalysisException:
+            return False
+
+    def write(self, rows: DataFrame, batch_id: int) -> int:
+        """Write the rows of a batch, unseen by readers until it is committed."""
         counted = Observation()
         # Rebalancing gives a (world, dt) one file instead of one per task, and
         # splits the (world, dt) that is too large for one.
@@ -93,9 +103,10 @@ class LakeTable:
             .partitionBy(*PARTITION)
             .parquet(f"{self.path}/log/batch_id={batch_id}")
         )
-        n = counted.get.get("rows", 0)
-        _record(spark, f"{self.path}/commits/batch_id={batch_id}", "overwrite", rows=n)
-        return n
+        return counted.get.get("rows", 0)
+
+    def commit(self, spark: SparkSession, batch_id: int, rows: int) -> None:
+        _record(spark, f"{self.path}/commits/batch_id={batch_id}", "overwrite", rows=rows)
 
     def compact(self, spark: SparkSession) -> int:
         """Fold the new batches into the base; returns the snapshot version.
@@ -156,8 +167,8 @@ class LakeTable:
 
     def read_raw(self, spark: SparkSession) -> DataFrame:
         """Every version ever written, without deduplication."""
-        batches = self._new_batches(spark, -1)
-        return self._log(spark, batches).select(*self.schema.names)
+        log = spark.read.schema(self.stored).parquet(f"{self.path}/log")
+        return log.join(self._commits(spark), "batch_id", "left_semi").select(*self.schema.names)
 
     def _commits(self, spark: SparkSession) -> DataFrame:
         schema = "rows BIGINT, batch_id BIGINT"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,7 +22,7 @@ COMMIT_INTERVAL = "60 seconds"
 def start_ingest(
     raw: DataFrame,
     table: LakeTable,
-    parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    parse: Callable[[DataFrame, Observation], tuple[DataFrame, DataFrame]],
     checkpoint: str,
     interval: str | None = COMMIT_INTERVAL,
     compact_every: int | None = COMPACT_EVERY,
@@ -41,11 +41,15 @@ def start_ingest(
         if "_offset" not in batch.columns:
             # Files carry no offsets: their lines count in the order they are read.
             batch = batch.withColumn("_offset", F.monotonically_increasing_id())
-        rows, quarantine = parse(batch)
-        quarantine.write.mode("overwrite").parquet(
-            f"{table.path}/quarantine/batch_id={batch_id}"
-        )
-        table.append(rows, batch_id)
+        if not table.has(spark, batch_id):
+            bad = Observation()
+            rows, quarantine = parse(batch, bad)
+            n = table.write(rows, batch_id)
+            if bad.get.get("bad", 0):
+                quarantine.write.mode("overwrite").parquet(
+                    f"{table.path}/quarantine/batch_id={batch_id}"
+                )
+            table.commit(spark, batch_id, n)
         if compact_every and (batch_id + 1) % compact_every == 0:
             table.compact(spark)
 
