@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from marketlake.functions.columns import quality, shorten, thousands
-from marketlake.schemas import QUOTE_DOC, SNAPSHOT_DOC
+from marketlake.schemas import ITEM_DOC, QUOTE_DOC, SNAPSHOT_DOC
 
 
 def snapshot_items(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Market snapshots: one row per item that has data, named by its envelope."""
     return (
         docs.select(F.from_json(column, SNAPSHOT_DOC).alias("doc"))
-        .select(F.col("doc.worldName").alias("world_name"), F.explode("doc.items"))
+        # Outer, as a plain explode would test the map for entries first, and for
+        # that parse the text once more. Its empty rows have no data either.
+        .select(F.col("doc.worldName").alias("world_name"), F.explode_outer("doc.items"))
         .where(F.col("value.hasData"))
         .select(
             "world_name",
@@ -108,12 +110,11 @@ def item_details(docs: DataFrame, column: str = "doc") -> DataFrame:
     ``docs`` holds (item_id, item_name, doc). Fields sit under ``fields`` or at
     the top; the category is an object with a name, or a bare value.
     """
-    doc = F.col(column)
-    wrapped = F.get_json_object(doc, "$.fields").isNotNull()
+    docs = docs.withColumn("_doc", F.from_json(column, ITEM_DOC))
 
-    def field(path: str) -> Column:
-        return F.when(wrapped, F.get_json_object(doc, f"$.fields.{path}")).otherwise(
-            F.get_json_object(doc, f"$.{path}")
+    def field(name: str) -> Column:
+        return F.when(F.col("_doc.fields").isNotNull(), F.col(f"_doc.fields.{name}")).otherwise(
+            F.col(f"_doc.{name}")
         )
 
     category = field("ItemUICategory")
@@ -175,45 +176,43 @@ def page_headlines(
     and scripts are cut out first.
     """
     return (
-        _entries(pages, list_region)
-        .select("page_id", F.posexplode(F.slice("entries", 1, n)).alias("pos", "entry"))
+        _headlines(pages, n, list_region, title_patterns)
+        .select("page_id", F.posexplode("headlines").alias("pos", "h"))
         .select(
             "page_id",
             (F.col("pos") + 1).alias("position"),
-            _first_text(title_patterns, "Unknown").alias("title"),
-            _first_text((TIME, TIME_CLASS), "").alias("date"),
+            _unescape("h.title").alias("title"),
+            _unescape("h.date").alias("date"),
         )
     )
 
 
 def headline_report(
-    pages: DataFrame, heading: str = "Latest news:", **options
+    pages: DataFrame,
+    n: int = 8,
+    list_region: str | None = LIST,
+    title_patterns: tuple[str, ...] = (TITLE, PARAGRAPH),
+    heading: str = "Latest news:",
 ) -> DataFrame:
     """(page_id, report): the headlines as text, or a note that none were found."""
-    n = options.get("n", 8)
-    line = F.concat(
-        F.lit("  - "),
-        F.col("title"),
-        F.when(F.col("date") != "", F.concat(F.lit(" ("), F.col("date"), F.lit(")"))).otherwise(""),
-    )
-    # At most n headlines per page.
-    lines = (
-        page_headlines(pages, **options)
-        .groupBy("page_id")
-        .agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
-    )
-    text = F.concat_ws(
-        "\n", F.lit(heading), F.transform(F.slice("lines", 1, n), lambda x: x["line"])
-    )
+
+    def line(h: Column) -> Column:
+        date = F.when(h["date"] != "", F.concat(F.lit(" ("), h["date"], F.lit(")"))).otherwise("")
+        return F.concat(F.lit("  - "), h["title"], date)
+
+    lines = F.array_join(F.transform("headlines", line), "\n")
+    report = F.concat(F.lit(f"{heading}\n"), _unescape(lines))
     none = F.lit("Could not parse the news page. The page structure may have changed.")
-    return (
-        pages.select("page_id")
-        .join(lines, "page_id", "left")
-        .select("page_id", F.coalesce(F.when(F.col("lines").isNotNull(), text), none).alias("report"))
+    return _headlines(pages, n, list_region, title_patterns).select(
+        "page_id", F.when(F.size("headlines") > 0, report).otherwise(none).alias("report")
     )
 
 
-def _entries(pages: DataFrame, list_region: str | None) -> DataFrame:
+def _headlines(
+    pages: DataFrame, n: int, list_region: str | None, title_patterns: tuple[str, ...]
+) -> DataFrame:
+    """(page_id, headlines): an array of (title, date) per page, entities as they stand."""
+
     def found(text: Column, pattern: str, group: int) -> Column:
         return F.regexp_extract_all(text, F.lit("(?is)" + pattern), F.lit(group))
 
@@ -223,31 +222,42 @@ def _entries(pages: DataFrame, list_region: str | None) -> DataFrame:
         if list_region is None
         else F.array_join(found(F.col("body"), list_region, 2), "\n")
     )
-    own = found(F.col("body"), ENTRY, 1)
+    entries = F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("listed"))
+    headlines = F.transform(
+        F.slice(entries, 1, n),
+        lambda e: F.struct(
+            _first_text(e, title_patterns, "Unknown").alias("title"),
+            _first_text(e, (TIME, TIME_CLASS), "").alias("date"),
+        ),
+    )
     return (
         pages.select("page_id", body.alias("body"))
-        .select("page_id", own.alias("own"), found(region, LIST_ENTRY, 1).alias("listed"))
-        .select("page_id", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("listed")).alias("entries"))
+        .select(
+            "page_id",
+            found(F.col("body"), ENTRY, 1).alias("own"),
+            found(region, LIST_ENTRY, 1).alias("listed"),
+        )
+        .select("page_id", headlines.alias("headlines"))
     )
 
 
-def _first_text(patterns: tuple[str, ...], missing: str) -> Column:
+def _first_text(entry: Column, patterns: tuple[str, ...], missing: str) -> Column:
     """Text of the first pattern that occurs in the entry."""
-    result = F.lit(None).cast("string")
+    result = F.lit(missing)
     for pattern in reversed(patterns):
         pattern = "(?is)" + pattern
-        inner = F.regexp_extract("entry", pattern, 2)
-        result = F.when(F.col("entry").rlike(pattern), _plain(inner)).otherwise(result)
-    return F.coalesce(result, F.lit(missing))
+        inner = F.regexp_extract(entry, pattern, 2)
+        result = F.when(entry.rlike(pattern), _plain(inner)).otherwise(result)
+    return result
 
 
 def _plain(markup: Column) -> Column:
     """Text pieces between tags, each stripped, put together."""
     text = F.regexp_replace(markup, r"\s*<[^>]*>\s*", "")
-    return _unescape(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 @F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
-    # The named entities of HTML have no built-in function; titles are short.
+    # The named entities of HTML have no built-in function; headlines are short.
     return text.map(html.unescape, na_action="ignore")

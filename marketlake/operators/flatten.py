@@ -16,7 +16,7 @@ CHANNEL_TOPICS = {
 }
 
 # Columns that place a row in the order of arrival, where the source has them.
-ARRIVAL = ["_arrived", "_offset", "_pos"]
+ARRIVAL = ["_arrived", "_partition", "_offset", "_pos"]
 
 
 def parse_listings(raw: DataFrame, bad: Observation | None = None) -> tuple[DataFrame, DataFrame]:

@@ -11,15 +11,20 @@ LISTING_KEY = ["listing_id"]
 SALE_KEY = ["item_id", "world_id", "sale_timestamp"]
 
 
-def latest(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def latest(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], total: bool = False
+) -> DataFrame:
     """One row per key: the greatest by ``order_by``, then by all other columns.
 
     The further columns make the order total, so the result does not depend on
-    the order of arrival in a task. ``row_number() = 1`` keeps one row per key
-    in each map task before the shuffle, so a hot key never moves as a whole.
-    Keys must not be NULL; ingest sends such rows to quarantine.
+    which task saw a row first. With ``total`` the order already is, and a reader
+    of a few columns then scans and shuffles only those.
+
+    ``row_number() = 1`` keeps one row per key in each map task before the
+    shuffle, so a hot key never moves as a whole. Keys must not be NULL; ingest
+    sends such rows to quarantine.
     """
-    rest = [c for c in df.columns if c not in keys and c not in order_by]
+    rest = [] if total else [c for c in df.columns if c not in keys and c not in order_by]
     window = Window.partitionBy(*keys).orderBy(
         *[F.col(c).desc_nulls_last() for c in [*order_by, *rest]]
     )
@@ -36,6 +41,7 @@ def merge_latest(
     keys: Sequence[str],
     order_by: Sequence[str],
     fresh_is_small: bool,
+    total: bool = False,
 ) -> DataFrame:
     """``latest(base ∪ fresh)`` for a base that already has one row per key.
 
@@ -44,8 +50,8 @@ def merge_latest(
     fresh rows from the commit records, so the broadcast is of a checked size.
     """
     if not fresh_is_small:
-        return latest(base.unionByName(fresh), keys, order_by)
+        return latest(base.unionByName(fresh), keys, order_by, total)
     touched = F.broadcast(fresh.select(*keys).distinct())
     hit = base.join(touched, list(keys), "left_semi")
     kept = base.join(touched, list(keys), "left_anti")
-    return kept.unionByName(latest(hit.unionByName(fresh), keys, order_by))
+    return kept.unionByName(latest(hit.unionByName(fresh), keys, order_by, total))

@@ -52,6 +52,11 @@ QUOTE_DOC = _struct(
     listings=T.ArrayType(_struct(hq=FLAG, quantity=INT, pricePerUnit=LONG, total=LONG)),
     recentHistory=T.ArrayType(_struct(hq=FLAG, quantity=INT, pricePerUnit=LONG)),
 )
+# As text, a category may be a bare value or an object, and a level any value.
+_ITEM_FIELDS = dict.fromkeys(
+    ("ItemUICategory", "LevelItem", "LevelEquip", "CanBeHq", "Description"), TEXT
+)
+ITEM_DOC = _struct(fields=_struct(**_ITEM_FIELDS), **_ITEM_FIELDS)
 REQUEST_LOG = _struct(
     ts=T.TimestampType(), request_id=TEXT, iteration=INT, input_tokens=LONG,
     output_tokens=LONG, tool_name=TEXT, duration_ms=DOUBLE, method=TEXT, route=TEXT,

@@ -30,10 +30,12 @@ from marketlake.session import materialize
 # Fixed value: batches between two compactions.
 COMPACT_EVERY = 5
 
-# Keys of this many rows take some 10s of MB, which every executor can hold.
-BROADCAST_ROWS = 500_000
+# Up to this many keys, at some 100 bytes each, are sent to every executor.
+BROADCAST_ROWS = 1_000_000
 
 PARTITION = ["world", "dt"]
+
+# Order of arrival; no two rows of a table agree on all of it.
 ORDER = ["batch_id", *ARRIVAL]
 
 
@@ -57,6 +59,7 @@ class LakeTable:
         return (
             fields.add("batch_id", T.LongType())
             .add("_arrived", T.TimestampType())
+            .add("_partition", T.IntegerType())
             .add("_offset", T.LongType())
             .add("_pos", T.IntegerType())
         )
@@ -119,7 +122,7 @@ class LakeTable:
         if not batches:
             return version
         rows = sum(batches.values())
-        fresh = materialize(latest(self._log(spark, batches), self.keys, self.order), "fresh")
+        fresh = materialize(self._latest(self._log(spark, batches)), "fresh")
         base = self._base(spark, version)
         touched = fresh.select(*PARTITION)
         if not self.key_fixes_partition:
@@ -131,7 +134,7 @@ class LakeTable:
 
         new = version + 1
         old_rows = base.join(touched, PARTITION, "left_semi")
-        merged = latest(old_rows.unionByName(fresh), self.keys, self.order)
+        merged = self._latest(old_rows.unionByName(fresh))
         target = f"{self.path}/base/version={new}"
         (
             merged.hint("rebalance", *PARTITION)
@@ -162,7 +165,8 @@ class LakeTable:
         if not batches:
             return base.select(*self.schema.names)
         small = sum(batches.values()) <= BROADCAST_ROWS
-        merged = merge_latest(base, self._log(spark, batches), self.keys, self.order, small)
+        log = self._log(spark, batches)
+        merged = merge_latest(base, log, self.keys, self.order, small, total=True)
         return merged.select(*self.schema.names)
 
     def read_raw(self, spark: SparkSession) -> DataFrame:
@@ -170,6 +174,9 @@ class LakeTable:
         log = spark.read.schema(self.stored).parquet(f"{self.path}/log")
         return log.join(self._commits(spark), "batch_id", "left_semi").select(*self.schema.names)
 
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        return latest(rows, self.keys, self.order, total=True)
+
     def _commits(self, spark: SparkSession) -> DataFrame:
         schema = "rows BIGINT, batch_id BIGINT"
         return spark.read.schema(schema).json(f"{self.path}/commits")
@@ -238,7 +245,10 @@ def peek(raw: DataFrame, rows: int = PEEK_ROWS) -> DataFrame:
 
 
 def _with_arrival(rows: DataFrame) -> DataFrame:
-    defaults = {"_arrived": "timestamp", "_offset": "bigint", "_pos": "int"}
+    """Rows with all columns of arrival; rows without an offset get one."""
+    if "_offset" not in rows.columns:
+        rows = rows.withColumn("_offset", F.monotonically_increasing_id())
+    defaults = {"_arrived": "timestamp", "_partition": "int", "_pos": "int"}
     for name, kind in defaults.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))

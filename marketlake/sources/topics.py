@@ -15,7 +15,7 @@ STARTING_OFFSETS = "latest"
 def read_topic(
     spark: SparkSession, topic: str, servers: str, starting: str = STARTING_OFFSETS, **options: str
 ) -> DataFrame:
-    """Stream of (value, _arrived, _offset); resumes from the checkpoint if there is one."""
+    """Stream of (value, _arrived, _partition, _offset); resumes from the checkpoint if there is one."""
     return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -26,6 +26,7 @@ def read_topic(
         .select(
             F.col("value").cast("string").alias("value"),
             F.col("timestamp").alias("_arrived"),
+            F.col("partition").alias("_partition"),
             F.col("offset").alias("_offset"),
         )
     )

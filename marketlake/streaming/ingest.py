@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlake.operators.flatten import parse_listings, parse_sales
@@ -38,9 +37,6 @@ def start_ingest(
         spark = batch.sparkSession
         # The adaptive planner sizes the files of the batch.
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-        if "_offset" not in batch.columns:
-            # Files carry no offsets: their lines count in the order they are read.
-            batch = batch.withColumn("_offset", F.monotonically_increasing_id())
         if not table.has(spark, batch_id):
             bad = Observation()
             rows, quarantine = parse(batch, bad)
