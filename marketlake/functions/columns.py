@@ -25,9 +25,18 @@ def epoch_seconds(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
 
 
+def round2(x: Column) -> Column:
+    """Two places, by the binary value of ``x * 100`` as SQL engines on doubles do.
+
+    ``round(x, 2)`` looks at the shortest decimal text of ``x`` instead, and so
+    takes 16.025 up, although the double is below it.
+    """
+    return F.round(x * 100, 0) / 100
+
+
 def percent_change(new: Column, old: Column) -> Column:
     """``(new - old) / old * 100`` to two places; NULL where ``old`` is zero."""
-    return F.round(F.try_divide(new - old, old) * 100, 2)
+    return round2(F.try_divide(new - old, old) * 100)
 
 
 def rounded(x: Column) -> Column:

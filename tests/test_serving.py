@@ -111,6 +111,8 @@ def test_texts(spark):
     assert one(spark, fx.quality(F.lit(None).cast("boolean"))) == "NQ"
     assert one(spark, fx.cost_usd(F.lit(1_000_000), F.lit(1_000_000))) == 6.0
     assert one(spark, fx.percent_change(F.lit(1), F.lit(0))) is None
+    assert one(spark, fx.percent_change(F.lit(4641.0), F.lit(4000.0))) == 16.02
+    assert one(spark, fx.percent_change(F.lit(-3.0), F.lit(2.0))) == -250.0
     assert len(one(spark, fx.shorten(F.lit("x" * 300)))) == 300
     assert one(spark, fx.shorten(F.lit("é" * 301))) == "é" * 300 + "..."
 
