@@ -1,7 +1,8 @@
-"""Exact price percentiles per (item, quality), without gathering a group.
+"""Exact price percentiles per (item, quality), without gathering a large group.
 
-A group may hold a third of all listings, so no step sorts or buffers the prices
-of a group as a whole:
+Groups of up to ``HOT_ROWS`` listings take Spark's exact ``percentile``, whose
+buffer then has at most that many prices. Larger ones, each maybe a third of all
+listings, are split instead:
 
 1. count the listings of each distinct price (combined before the shuffle);
 2. add the counts up into price ranges of ``RANGE_WIDTH``;
@@ -19,7 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlake.session import materialize
+
 GROUP = ["item_id", "is_hq"]
+HOT_ROWS = 200_000
 RANGE_BITS = 16
 RANGE_WIDTH = 1 << RANGE_BITS
 
@@ -30,27 +34,45 @@ def price_bounds(
     hi: float = 0.85,
     min_rows: int = 10,
     approx: bool = False,
+    sizes: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(item_id, is_hq, p05, p85) of groups with at least ``min_rows`` listings.
 
-    Linear interpolation between the two nearest prices. ``approx`` trades
-    exactness for a sketch per group.
+    Linear interpolation between the two nearest prices. The hot groups are found
+    at once, by one count over the two group columns, or from ``sizes`` (item_id,
+    is_hq, n) if those are known. ``approx`` trades exactness for a sketch per
+    group.
     """
     if approx:
-        return (
-            listings.groupBy(*GROUP)
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.percentile_approx("price_per_unit", [lo, hi], 10000).alias("p"),
-            )
-            .where(F.col("n") >= min_rows)
-            .select(
-                *GROUP,
-                F.col("p")[0].cast("double").alias("p05"),
-                F.col("p")[1].cast("double").alias("p85"),
-            )
+        return _pair(listings, F.percentile_approx("price_per_unit", [lo, hi], 10000), min_rows)
+    exact = F.percentile("price_per_unit", [lo, hi])
+    if sizes is None:
+        sizes = listings.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(
+        sizes.where(F.col("n") > hot_rows).select(*[F.col(c).alias(f"hot_{c}") for c in GROUP]),
+        "hot_groups",
+    )
+    if hot.isEmpty():
+        return _pair(listings, exact, min_rows)
+    is_hot = [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in GROUP]
+    small = listings.join(hot, is_hot, "left_anti")
+    large = listings.join(hot, is_hot, "left_semi")
+    return _pair(small, exact, min_rows).unionByName(_by_ranges(large, lo, hi, min_rows))
+
+
+def _pair(listings: DataFrame, percentiles: Column, min_rows: int) -> DataFrame:
+    return (
+        listings.groupBy(*GROUP)
+        .agg(F.count(F.lit(1)).alias("n"), percentiles.alias("p"))
+        .where((F.col("n") >= min_rows) & F.col("p").isNotNull())
+        .select(
+            *GROUP, F.col("p")[0].cast("double").alias("p05"), F.col("p")[1].cast("double").alias("p85")
         )
+    )
+
 
+def _by_ranges(listings: DataFrame, lo: float, hi: float, min_rows: int) -> DataFrame:
     prices = listings.groupBy(*GROUP, "price_per_unit").agg(F.count(F.lit(1)).alias("n"))
     prices = prices.withColumn("range", F.shiftright("price_per_unit", RANGE_BITS))
 

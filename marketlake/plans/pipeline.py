@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketlake.operators.bounds import price_bounds
 from marketlake.plans import marts, quality
@@ -29,7 +30,8 @@ def build_marts(
     """
     summary = store(marts.price_summary(listings, items, worlds), f"{out}/price_summary")
     premium = store(marts.premium_of(summary), f"{out}/hq_premium")
-    bounds = store(price_bounds(listings), f"{out}/price_bounds")
+    sizes = summary.groupBy("item_id", "is_hq").agg(F.sum("listing_count").alias("n"))
+    bounds = store(price_bounds(listings, sizes=sizes), f"{out}/price_bounds")
     spread = store(marts.arbitrage(listings, items, worlds, bounds), f"{out}/arbitrage")
     history = store(marts.price_history(sales, items, worlds), f"{out}/price_history")
     velocity = store(marts.velocity_of(history), f"{out}/velocity")

@@ -63,15 +63,16 @@ def brute_bounds(rows, lo=0.05, hi=0.85, min_rows=10):
     return result
 
 
+@pytest.mark.parametrize("hot_rows", [0, 150, b.HOT_ROWS])
 @pytest.mark.parametrize("spread", [3, 5_000, 2**31, 2**45])
-def test_bounds_are_exact(spark, spread):
+def test_bounds_are_exact(spark, spread, hot_rows):
     rng = random.Random(spread)
     rows = [
         (rng.choice([1, 1, 1, 2, 3, None]), 1, rng.choice([True, False, None]), rng.randrange(-spread // 10, spread), 1)
         for _ in range(1500)
     ]
     rows += [(4, 1, True, 7, 1)] * 9 + [(5, 1, True, 7, 1)] * 10 + [(6, 1, True, None, 1)] * 4 + [(6, 1, True, 8, 1)] * 6
-    got = {(r["item_id"], r["is_hq"]): (r["p05"], r["p85"]) for r in b.price_bounds(listings(spark, rows)).collect()}
+    got = {(r["item_id"], r["is_hq"]): (r["p05"], r["p85"]) for r in b.price_bounds(listings(spark, rows), hot_rows=hot_rows).collect()}
     expected = brute_bounds(rows)
     assert got.keys() == expected.keys()
     for key, pair in expected.items():
@@ -81,7 +82,7 @@ def test_bounds_are_exact(spark, spread):
 
 def test_bounds_reuse_one_shuffle_of_the_prices(spark):
     df = listings(spark, [(1, 1, True, p, 1) for p in range(50)])
-    result = b.price_bounds(df)
+    result = b.price_bounds(df, hot_rows=0)
     result.collect()
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
@@ -136,7 +137,7 @@ def test_arbitrage_properties(spark, dims):
 def test_hot_item(spark, dims):
     rng = random.Random(5)
     rows = [(1 if rng.random() < 0.5 else rng.randrange(2, 19), rng.randrange(1, 6), True, rng.randrange(10**9), 1) for _ in range(6000)]
-    got = {(r["item_id"], r["is_hq"]): (r["p05"], r["p85"]) for r in b.price_bounds(listings(spark, rows)).collect()}
+    got = {(r["item_id"], r["is_hq"]): (r["p05"], r["p85"]) for r in b.price_bounds(listings(spark, rows), hot_rows=1000).collect()}
     for key, pair in brute_bounds(rows).items():
         assert got[key] == pytest.approx(pair, rel=1e-12)
 
