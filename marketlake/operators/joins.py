@@ -28,7 +28,7 @@ def center_worlds(centers: DataFrame, name: str) -> DataFrame:
 def center_line(centers: DataFrame, name: str) -> DataFrame:
     """One line of text: the worlds of a center, or the known centers if it is unknown.
 
-    A center holds a handful of worlds, so its list is one small group.
+    For the fixed map of centers: a center there holds a handful of worlds.
     """
     by_center = centers.groupBy("data_center").agg(
         F.array_join(

@@ -301,11 +301,13 @@ ORACLE: dict[str, str] = {
         LISTINGS,
     ),
     "dim_items": "SELECT p_partkey AS item_id, trim(p_name) AS item_name FROM part WHERE p_partkey <> 0",
-    "dim_worlds": """SELECT n_nationkey * 200 AS world_id, n_name AS world_name FROM nation
-        WHERE n_nationkey * 200 < 3000""",
-    "dim_centers": sql("SELECT * FROM centers", DIMS),
-    "region_worlds": """SELECT n_name AS world_name FROM nation
-        JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AMERICA'""",
+    "dim_worlds": "SELECT s_suppkey * 40 AS world_id, s_name AS world_name FROM supplier WHERE s_suppkey * 40 < 3000",
+    "dim_centers": """SELECT n_name AS data_center, n_nationkey AS center_position,
+        s_name AS world_name, s_suppkey AS position
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "region_worlds": """SELECT s_name AS world_name FROM supplier
+        JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        WHERE r_name = 'AMERICA'""",
     "parse_listings": sql("SELECT * FROM listing_events", LISTING_EVENTS),
     "parse_sales": sql("SELECT * FROM sale_events", SALE_EVENTS),
     "route_channels": """SELECT 'raw.' || event_type AS topic, COUNT(*) AS events FROM events
@@ -345,20 +347,8 @@ ORACLE: dict[str, str] = {
     "item_search": sql(
         "SELECT * FROM items WHERE item_name ILIKE '%ring%' ORDER BY item_id LIMIT 10", DIMS
     ),
-    "center_worlds": sql(
-        "SELECT data_center, world_name FROM centers WHERE lower(data_center) = 'asia'", DIMS
-    ),
-    "center_line": sql(
-        """SELECT data_center || ': ' || string_agg(world_name, ', ' ORDER BY position) AS line
-        FROM centers WHERE lower(data_center) = 'europe' GROUP BY data_center""",
-        DIMS,
-    ),
-    "center_unknown": sql(
-        """SELECT 'Unknown data center ''Atlantis''. Available: '
-        || string_agg(data_center, ', ' ORDER BY center_position) AS line
-        FROM (SELECT DISTINCT data_center, center_position FROM centers)""",
-        DIMS,
-    ),
+    "center_worlds": """SELECT n_name AS data_center, s_name AS world_name
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE lower(n_name) = 'nation_7'""",
     "center_prices": sql(
         """SELECT * FROM price_summary WHERE world_name IN
         (SELECT world_name FROM centers WHERE lower(data_center) = 'asia')""",

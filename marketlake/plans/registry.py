@@ -104,20 +104,20 @@ def dim_items(m: Market) -> DataFrame:
 
 
 def dim_worlds(m: Market) -> DataFrame:
-    source = m.table("nation").select(
-        (F.col("n_nationkey") * 200).alias("id"), F.col("n_name").alias("name")
+    source = m.table("supplier").select(
+        (F.col("s_suppkey") * 40).alias("id"), F.col("s_name").alias("name")
     )
     return dims.world_names(source)
 
 
 def region_worlds(m: Market) -> DataFrame:
-    nation = m.table("nation")
+    suppliers = m.table("supplier")
     centers = (
-        nation.join(m.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy(F.col("r_name").alias("region"))
-        .agg(F.collect_list("n_nationkey").alias("worlds"))
+        suppliers.join(m.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(m.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.col("r_name").alias("region"), F.array("s_suppkey").alias("worlds"))
     )
-    worlds = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    worlds = suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return dims.region_worlds(centers, worlds, "AMERICA")
 
 
@@ -201,33 +201,30 @@ def usage_means(m: Market) -> DataFrame:
     )
 
 
-def _ingested(m: Market) -> tuple[lake.LakeTable, lake.LakeTable]:
-    """Both event streams, from folders of JSON lines into fresh lake tables."""
-    root = work_path(m.spark, "ingest")
-    testdata.listing_events(m.spark, m.dir).write.text(f"{root}/in/listings")
-    testdata.sale_events(m.spark, m.dir).write.text(f"{root}/in/sales")
-    tables = lake.listings_table(f"{root}/listings"), lake.sales_table(f"{root}/sales")
-    streams = ingest.start_market_ingest(
-        topics.read_topic_files(m.spark, f"{root}/in/listings"),
-        topics.read_topic_files(m.spark, f"{root}/in/sales"),
-        *tables,
-        checkpoint=f"{root}/checkpoint",
-        interval=None,
-    )
-    for stream in streams:
-        stream.awaitTermination()
-    return tables
+def _ingest(m: Market, root: str, name: str) -> lake.LakeTable:
+    """One event stream, from a folder of JSON lines into a fresh lake table."""
+    events, table, parse = {
+        "listings": (testdata.listing_events, lake.listings_table, flatten.parse_listings),
+        "sales": (testdata.sale_events, lake.sales_table, flatten.parse_sales),
+    }[name]
+    events(m.spark, m.dir).write.text(f"{root}/in/{name}")
+    target = table(f"{root}/{name}")
+    raw = topics.read_topic_files(m.spark, f"{root}/in/{name}")
+    ingest.start_ingest(
+        raw, target, parse, f"{root}/checkpoint/{name}", interval=None
+    ).awaitTermination()
+    return target
 
 
 def stream_ingest(m: Market) -> DataFrame:
-    listings, _ = _ingested(m)
-    listings.compact(m.spark)
-    return listings.read(m.spark)
+    table = _ingest(m, work_path(m.spark, "ingest"), "listings")
+    table.compact(m.spark)
+    return table.read(m.spark)
 
 
 def stream_latest(m: Market) -> DataFrame:
-    _, sales = _ingested(m)
-    return sales.read(m.spark).groupBy("world", "dt").agg(F.count(F.lit(1)).alias("sales"))
+    table = _ingest(m, work_path(m.spark, "ingest"), "sales")
+    return table.read(m.spark).groupBy("world", "dt").agg(F.count(F.lit(1)).alias("sales"))
 
 
 def stream_rates(m: Market) -> DataFrame:
@@ -258,8 +255,9 @@ def pipeline_run(m: Market) -> DataFrame:
     root = work_path(m.spark, "pipeline")
     m.items.write.csv(f"{root}/items", header=True)
     m.worlds.write.csv(f"{root}/worlds", header=True)
+    tables = [_ingest(m, root, name) for name in ("listings", "sales")]
     return pipeline.run_pipeline(
-        m.spark, *_ingested(m), f"{root}/items", f"{root}/worlds", f"{root}/out", strict=False
+        m.spark, *tables, f"{root}/items", f"{root}/worlds", f"{root}/out", strict=False
     )
 
 
@@ -279,7 +277,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "lake_peek": lambda m: lake.peek(m.raw_listings),
     "dim_items": dim_items,
     "dim_worlds": dim_worlds,
-    "dim_centers": lambda m: m.centers,
+    "dim_centers": lambda m: testdata.suppliers_by_nation(m.spark, m.dir),
     "region_worlds": region_worlds,
     # Events
     "parse_listings": lambda m: flatten.parse_listings(
@@ -306,11 +304,9 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "price_lookup": lambda m: serving.price_lookup(m.price_summary, "RED_W%t"),
     "market_snapshot": lambda m: serving.market_snapshot(m.price_summary, "Bolt"),
     "item_search": lambda m: serving.item_search(m.items, "ring"),
-    "center_worlds": lambda m: joins.center_worlds(m.centers, "asia").select(
-        "data_center", "world_name"
-    ),
-    "center_line": lambda m: joins.center_line(m.centers, "Europe"),
-    "center_unknown": lambda m: joins.center_line(m.centers, "Atlantis"),
+    "center_worlds": lambda m: joins.center_worlds(
+        testdata.suppliers_by_nation(m.spark, m.dir), "Nation_7"
+    ).select("data_center", "world_name"),
     "center_prices": lambda m: joins.in_center(m.price_summary, m.centers, "asia"),
     "formatted_arbitrage": formatted_arbitrage,
     # Pages

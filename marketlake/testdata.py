@@ -108,6 +108,20 @@ def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def suppliers_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation → its suppliers, as data centers and their worlds."""
+    return (
+        table(spark, sf_dir, "supplier")
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("n_name").alias("data_center"),
+            F.col("n_nationkey").alias("center_position"),
+            F.col("s_name").alias("world_name"),
+            F.col("s_suppkey").alias("position"),
+        )
+    )
+
+
 def sales_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sales with their place in the order of arrival."""
     events = table(spark, sf_dir, "events")
