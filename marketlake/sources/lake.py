@@ -70,10 +70,6 @@ class LakeTable:
 
     def create(self, spark: SparkSession) -> LakeTable:
         """Write the empty table unless it is there."""
-        empty = spark.createDataFrame([], self.stored)
-        for folder in ("log", "base"):
-            empty.write.mode("ignore").parquet(f"{self.path}/{folder}")
-        _empty_parts(spark).write.mode("ignore").parquet(f"{self.path}/parts")
         _record(spark, f"{self.path}/commits/batch_id=-1", "ignore", rows=0)
         _record(spark, f"{self.path}/snapshots/version=0", "ignore", last_batch=-1)
         return self
@@ -121,21 +117,16 @@ class LakeTable:
         batches = self._new_batches(spark, last_batch)
         if not batches:
             return version
-        rows = sum(batches.values())
-        fresh = materialize(self._latest(self._log(spark, batches)), "fresh")
-        base = self._base(spark, version)
-        touched = fresh.select(*PARTITION)
-        if not self.key_fixes_partition:
-            keys = fresh.select(*self.keys)
-            keys = F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
-            old = base.join(keys, list(self.keys), "left_semi").select(*PARTITION)
-            touched = touched.unionByName(old)
-        touched = materialize(touched.distinct(), "touched")
-
         new = version + 1
-        old_rows = base.join(touched, PARTITION, "left_semi")
-        merged = self._latest(old_rows.unionByName(fresh))
         target = f"{self.path}/base/version={new}"
+        merged = self._latest(self._log(spark, batches))
+        kept = None
+        if version > 0:
+            fresh = materialize(merged, "fresh")
+            touched = self._touched(spark, version, fresh, sum(batches.values()))
+            old = self._base(spark, version, touched)
+            merged = self._latest(old.unionByName(fresh))
+            kept = self._parts(spark, version).join(touched, PARTITION, "left_anti")
         (
             merged.hint("rebalance", *PARTITION)
             .write.mode("overwrite")
@@ -143,36 +134,48 @@ class LakeTable:
             .parquet(target)
         )
         written = spark.read.schema(self.stored).parquet(target).select(*PARTITION).distinct()
-        (
-            self._parts(spark, version)
-            .join(touched, PARTITION, "left_anti")
-            .unionByName(written.withColumn("version", F.lit(new)))
-            .write.mode("overwrite")
-            .parquet(f"{self.path}/parts/snapshot={new}")
-        )
+        parts = written.withColumn("version", F.lit(new).cast("bigint"))
+        parts = parts if kept is None else kept.unionByName(parts)
+        parts.write.mode("overwrite").parquet(f"{self.path}/parts/snapshot={new}")
         _record(
             spark, f"{self.path}/snapshots/version={new}", "overwrite", last_batch=max(batches)
         )
         return new
 
+    def _touched(self, spark: SparkSession, version: int, fresh: DataFrame, rows: int) -> DataFrame:
+        """The (world, dt) that hold a new row or an older version of one."""
+        touched = fresh.select(*PARTITION)
+        if not self.key_fixes_partition:
+            keys = fresh.select(*self.keys)
+            keys = F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
+            older = self._base(spark, version).join(keys, list(self.keys), "left_semi")
+            touched = touched.unionByName(older.select(*PARTITION))
+        return materialize(touched.distinct(), "touched")
+
     # Reading
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The latest version of every key."""
         version, last_batch = self._snapshot(spark)
         batches = self._new_batches(spark, last_batch)
-        base = self._base(spark, version)
-        if not batches:
-            return base.select(*self.schema.names)
-        small = sum(batches.values()) <= BROADCAST_ROWS
         log = self._log(spark, batches)
-        merged = merge_latest(base, log, self.keys, self.order, small, total=True)
-        return merged.select(*self.schema.names)
+        if version == 0:
+            rows = self._latest(log)
+        elif not batches:
+            rows = self._base(spark, version)
+        else:
+            small = sum(batches.values()) <= BROADCAST_ROWS
+            base = self._base(spark, version)
+            rows = merge_latest(base, log, self.keys, self.order, small, total=True)
+        return rows.select(*self.schema.names)
 
     def read_raw(self, spark: SparkSession) -> DataFrame:
         """Every version ever written, without deduplication."""
+        commits = self._commits(spark)
+        if commits.where(F.col("batch_id") >= 0).isEmpty():
+            return spark.createDataFrame([], self.schema)
         log = spark.read.schema(self.stored).parquet(f"{self.path}/log")
-        return log.join(self._commits(spark), "batch_id", "left_semi").select(*self.schema.names)
+        return log.join(commits, "batch_id", "left_semi").select(*self.schema.names)
 
     def _latest(self, rows: DataFrame) -> DataFrame:
         return latest(rows, self.keys, self.order, total=True)
@@ -207,13 +210,20 @@ class LakeTable:
         parts = spark.read.schema(schema).parquet(f"{self.path}/parts")
         return parts.where(F.col("snapshot") == version).select(*PARTITION, "version")
 
-    def _base(self, spark: SparkSession, version: int) -> DataFrame:
-        """Current base rows. The join is on partition columns alone, so it prunes files."""
+    def _base(
+        self, spark: SparkSession, version: int, only: DataFrame | None = None
+    ) -> DataFrame:
+        """Current base rows, of all or of the given (world, dt).
+
+        One join, on partition columns alone, with a side that is filtered: this
+        lets Spark skip the files of other partitions and versions.
+        """
         schema = T.StructType(list(self.stored.fields)).add("version", T.LongType())
         base = spark.read.schema(schema).parquet(f"{self.path}/base")
-        return base.join(
-            self._parts(spark, version), [*PARTITION, "version"], "left_semi"
-        ).select(*self.stored.names)
+        parts = self._parts(spark, version)
+        if only is not None:
+            parts = parts.join(only, PARTITION, "left_semi")
+        return base.join(parts, [*PARTITION, "version"], "left_semi").select(*self.stored.names)
 
 
 def listings_table(path: str) -> LakeTable:
@@ -255,10 +265,6 @@ def _with_arrival(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _empty_parts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "version BIGINT, world INT, dt DATE")
-
-
 def _record(spark: SparkSession, path: str, mode: str, **values: int) -> None:
     schema = ", ".join(f"{name} BIGINT" for name in values)
     row = spark.createDataFrame([tuple(values.values())], schema)

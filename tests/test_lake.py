@@ -124,6 +124,18 @@ def test_base_scan_is_pruned_to_current_versions(spark, table):
     assert "dynamicpruning" in plan
 
 
+def test_compaction_reads_touched_partitions_only(spark, table):
+    table.append(listings(spark, *[listing(f"k{w}", T0, world=w) for w in range(4)]), 0)
+    table.compact(spark)
+    touched = table._touched(spark, 1, listings(spark, listing("k1", T0 + 1, world=1)), 1)
+    old = table._base(spark, 1, touched)
+    # the files of the other partitions are not opened: without them all goes well
+    for w in (0, 2, 3):
+        for file in glob.glob(f"{table.path}/base/version=1/world={w}/*/*.parquet"):
+            os.remove(file)
+    assert [r["listingID"] for r in old.collect()] == ["k1"]
+
+
 def write_events(folder, name, events):
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/{name}.json", "w") as f:
