@@ -29,10 +29,23 @@ CHART_BARS = 20
 IDS = ("item_id", "world_id", "is_hq", "sale_date")
 
 
-def top(df: DataFrame, metric: str, limit: int) -> DataFrame:
-    """The ``limit`` rows with the greatest metric, ties broken by the ids."""
+# The order in which a whole mart is shown; stored marts have none.
+MART_ORDER = {
+    "hq_premium": "hq_premium_pct",
+    "arbitrage": "profit_margin_pct",
+    "velocity": "sale_date",
+    "price_history": "sale_date",
+}
+
+
+def ordered(df: DataFrame, metric: str) -> DataFrame:
+    """Greatest metric first, ties broken by the ids."""
     ties = [F.col(c).asc_nulls_last() for c in IDS if c in df.columns and c != metric]
-    return df.orderBy(F.col(metric).desc_nulls_last(), *ties).limit(limit)
+    return df.orderBy(F.col(metric).desc_nulls_last(), *ties)
+
+
+def top(df: DataFrame, metric: str, limit: int) -> DataFrame:
+    return ordered(df, metric).limit(limit)
 
 
 def top_arbitrage(mart: DataFrame, min_margin: float = MIN_MARGIN, limit: int = TOP) -> DataFrame:

@@ -9,12 +9,14 @@ A table keeps an append log and a compacted base:
     snapshots/version=V             the last batch that compaction V includes
 
 Nothing that may be read is overwritten. A batch or compaction counts from the
-moment its small record is written, and a repeated one replaces its own folder,
-so a lost driver or executor leaves no half-written state behind.
+moment its small record is written, so a lost driver or executor leaves no
+half-written state behind: a repeated batch replaces its own folder, a repeated
+compaction writes a new one.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -111,13 +113,14 @@ class LakeTable:
         """Fold the new batches into the base; returns the snapshot version.
 
         Only the (world, dt) that hold a new row, or an old version of one, are
-        rewritten. The others keep their files.
+        rewritten. The others keep their files. Every attempt writes to a version
+        of its own, so compactions may overlap: each leaves a whole snapshot.
         """
         version, last_batch = self._snapshot(spark)
         batches = self._new_batches(spark, last_batch)
         if not batches:
             return version
-        new = version + 1
+        new = time.time_ns()
         target = f"{self.path}/base/version={new}"
         merged = self._latest(self._log(spark, batches))
         kept = None
@@ -127,19 +130,12 @@ class LakeTable:
             old = self._base(spark, version, touched)
             merged = self._latest(old.unionByName(fresh))
             kept = self._parts(spark, version).join(touched, PARTITION, "left_anti")
-        (
-            merged.hint("rebalance", *PARTITION)
-            .write.mode("overwrite")
-            .partitionBy(*PARTITION)
-            .parquet(target)
-        )
+        merged.hint("rebalance", *PARTITION).write.partitionBy(*PARTITION).parquet(target)
         written = spark.read.schema(self.stored).parquet(target).select(*PARTITION).distinct()
         parts = written.withColumn("version", F.lit(new).cast("bigint"))
         parts = parts if kept is None else kept.unionByName(parts)
-        parts.write.mode("overwrite").parquet(f"{self.path}/parts/snapshot={new}")
-        _record(
-            spark, f"{self.path}/snapshots/version={new}", "overwrite", last_batch=max(batches)
-        )
+        parts.write.parquet(f"{self.path}/parts/snapshot={new}")
+        _record(spark, f"{self.path}/snapshots/version={new}", "error", last_batch=max(batches))
         return new
 
     def _touched(self, spark: SparkSession, version: int, fresh: DataFrame, rows: int) -> DataFrame:
@@ -192,7 +188,7 @@ class LakeTable:
         record = (
             spark.read.schema("last_batch BIGINT, version BIGINT")
             .json(f"{self.path}/snapshots")
-            .agg(F.max(F.struct("version", "last_batch")).alias("s"))
+            .agg(F.max(F.struct("last_batch", "version")).alias("s"))
             .first()["s"]
         )
         return record["version"], record["last_batch"]
