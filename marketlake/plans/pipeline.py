@@ -80,7 +80,14 @@ def run_pipeline(
     strict: bool = True,
     raw: bool = False,
 ) -> DataFrame:
-    """``run`` over the lake tables and the CSV seeds; ``raw`` skips deduplication."""
+    """``run`` over the lake tables and the CSV seeds.
+
+    New batches are compacted first, so that every mart scans a base that needs no
+    merge. ``raw`` reads all versions instead, without deduplication.
+    """
+    if not raw:
+        for table in (listings, sales):
+            table.compact(spark)
     tables = [t.read_raw(spark) if raw else t.read(spark) for t in (listings, sales)]
     return run(
         *tables,

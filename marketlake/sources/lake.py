@@ -7,6 +7,7 @@ A table keeps an append log and a compacted base:
     base/version=V/world=W/dt=D     one row per key, as of compaction V
     parts/snapshot=V                which version holds each (world, dt)
     snapshots/version=V             the last batch that compaction V includes
+    quarantine/batch_id=N           events of batch N that were set aside
 
 Nothing that may be read is overwritten. A batch or compaction counts from the
 moment its small record is written, so a lost driver or executor leaves no
@@ -66,6 +67,10 @@ class LakeTable:
             .add("_pos", T.IntegerType())
         )
 
+    @property
+    def quarantine(self) -> str:
+        return f"{self.path}/quarantine"
+
     @property
     def order(self) -> list[str]:
         return [c for c in [self.precombine, *ORDER] if c not in self.keys]
@@ -173,6 +178,14 @@ class LakeTable:
         log = spark.read.schema(self.stored).parquet(f"{self.path}/log")
         return log.join(commits, "batch_id", "left_semi").select(*self.schema.names)
 
+    def read_quarantine(self, spark: SparkSession) -> DataFrame:
+        """(value, reason, batch_id) of the events that ingest set aside."""
+        schema = "value STRING, reason STRING, batch_id BIGINT"
+        try:
+            return spark.read.schema(schema).parquet(self.quarantine)
+        except AnalysisException:
+            return spark.createDataFrame([], schema)
+
     def _latest(self, rows: DataFrame) -> DataFrame:
         return latest(rows, self.keys, self.order, total=True)
 

@@ -45,9 +45,9 @@ def read_topic_files(spark: SparkSession, path: str, **options: str) -> DataFram
 
 
 def as_messages(df: DataFrame) -> DataFrame:
-    """Each row as one JSON text in the column ``value``; a ``topic`` column is kept."""
-    body = [c for c in df.columns if c != "topic"]
-    kept = ["topic"] if "topic" in df.columns else []
+    """Each row as one JSON text in the column ``value``; ``topic`` and ``key`` are kept."""
+    kept = [c for c in ("topic", "key") if c in df.columns]
+    body = [c for c in df.columns if c not in kept]
     if body == ["value"]:
         return df.select(*kept, "value")
     return df.select(*kept, F.to_json(F.struct(*body)).alias("value"))
@@ -66,7 +66,7 @@ def write_topic(df: DataFrame, servers: str, checkpoint: str, topic: str | None
 
 def write_topic_files(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """The same sink as JSON lines, one folder per topic."""
-    messages = as_messages(df)
+    messages = as_messages(df.drop("key"))
     writer = (
         messages.writeStream.format("text")
         .option("path", path)

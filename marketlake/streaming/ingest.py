@@ -43,7 +43,7 @@ def start_ingest(
             n = table.write(rows, batch_id)
             if bad.get.get("bad", 0):
                 quarantine.write.mode("overwrite").parquet(
-                    f"{table.path}/quarantine/batch_id={batch_id}"
+                    f"{table.quarantine}/batch_id={batch_id}"
                 )
             table.commit(spark, batch_id, n)
         if compact_every and (batch_id + 1) % compact_every == 0:

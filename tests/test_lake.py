@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from marketlake.operators.flatten import parse_listings, parse_sales
@@ -183,13 +184,41 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert state(table, spark) == {
         "a": (DAY, "2024-01-02"), "b": (7, "2024-01-01"), "c": (0, "2024-01-01"),
     }
-    quarantine = spark.read.parquet(f"{table.path}/quarantine/batch_id=*")
-    assert [(r["value"], r["reason"]) for r in quarantine.collect()] == [("{broken", "bad json")]
+    quarantine = table.read_quarantine(spark).collect()
+    assert [(r["value"], r["reason"]) for r in quarantine] == [("{broken", "bad json")]
     # nothing new: nothing changes
     drain()
     assert table.read_raw(spark).count() == 5
 
 
+def test_batch_that_fails_before_its_commit(spark, tmp_path, monkeypatch):
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    table = lake.listings_table(str(tmp_path / "t"))
+    write_events(source, "0", [event(1, 1, ("a", T0), ("b", T0))])
+
+    def drain():
+        ingest.start_ingest(
+            topics.read_topic_files(spark, source), table, parse_listings, checkpoint, interval=None
+        ).awaitTermination()
+
+    def lost(self, spark, batch_id, rows):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(lake.LakeTable, "commit", lost)
+        with pytest.raises(StreamingQueryException):
+            drain()
+    assert table.read_raw(spark).count() == 0
+    drain()
+    assert table.read_raw(spark).count() == 2 and table.read_quarantine(spark).count() == 0
+
+
+def test_messages_keep_key_and_topic(spark):
+    df = spark.createDataFrame([("t", "k", 1, "x")], "topic string, key string, a int, b string")
+    row = topics.as_messages(df).first()
+    assert (row["topic"], row["key"], json.loads(row["value"])) == ("t", "k", {"a": 1, "b": "x"})
+
+
 def test_two_streams_in_one_session(spark, tmp_path):
     write_events(str(tmp_path / "l"), "0", [event(1, 1, ("a", T0))])
     write_events(str(tmp_path / "s"), "0", [{"item": 1, "world": 1, "sales": [{"timestamp": T0}]}])
