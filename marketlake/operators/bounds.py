@@ -39,9 +39,9 @@ def price_bounds(
 ) -> DataFrame:
     """(item_id, is_hq, p05, p85) of groups with at least ``min_rows`` listings.
 
-    Linear interpolation between the two nearest prices. The hot groups are found
-    at once, by one count over the two group columns, or from ``sizes`` (item_id,
-    is_hq, n) if those are known. ``approx`` trades exactness for a sketch per
+    Linear interpolation between the two nearest prices. Whether there are hot
+    groups is found out at once, by one count over the two group columns, or from
+    ``sizes`` (item_id, is_hq, n) if those are known. ``approx`` trades exactness for a sketch per
     group.
     """
     if approx:
@@ -49,12 +49,12 @@ def price_bounds(
     exact = F.percentile("price_per_unit", [lo, hi])
     if sizes is None:
         sizes = listings.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= hot_rows:
+        return _pair(listings, exact, min_rows)
     hot = materialize(
         sizes.where(F.col("n") > hot_rows).select(*[F.col(c).alias(f"hot_{c}") for c in GROUP]),
         "hot_groups",
     )
-    if hot.isEmpty():
-        return _pair(listings, exact, min_rows)
     is_hot = [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in GROUP]
     small = listings.join(hot, is_hot, "left_anti")
     large = listings.join(hot, is_hot, "left_semi")
