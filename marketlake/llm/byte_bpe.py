@@ -26,6 +26,8 @@ from marketlake.llm import words
 
 #: Characters of a piece of a long text, or a little more.
 PIECE = 1 << 16
+#: Ids that are decoded between two results.
+IDS = 1 << 20
 # Python counts every blank of the pattern's engine as white space, and more.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -77,13 +79,22 @@ def _encode(column: str, path: str, pattern: str, batches: Iterator[pa.RecordBat
 
 def _decode(path: str, pattern: str, batches: Iterator[pa.RecordBatch]):
     encoder = encoding(path, pattern)
-    for batch in batches:
-        decoded = [
-            None if ids is None else encoder.decode_bytes(ids) for ids in batch["ids"].to_pylist()
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"]
-        )
+    for whole in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(whole["ids"]), 0)).to_numpy()
+        at = 0
+        while at < len(ends):
+            start = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, start + IDS, "right")))
+            batch = whole.slice(at, stop - at)
+            # One list of Python numbers at a time.
+            decoded = [
+                encoder.decode_bytes(ids.values.to_pylist()) if ids.is_valid else None
+                for ids in batch["ids"]
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"]
+            )
+            at = stop
 
 
 def encode(
