@@ -110,7 +110,8 @@ def _decided(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataF
     keys(rows, digest).write.parquet(f"{root}/keys")
     known = spark.read.schema(KEYS).parquet(f"{root}/keys")
     take_in(spark, f"{root}/keys", f"{root}/entries", f"{root}/checkpoint")
-    state = entries(spark, f"{root}/entries")
+    # Written, so that both sides of each join are plain shuffles, whose hot digests split.
+    state = materialize(entries(spark, f"{root}/entries"), "dedup-state")
     groups = known.join(state, ["digest", "n_bytes"])
 
     # Hits: the full bytes of a row against those of the row that stays.
