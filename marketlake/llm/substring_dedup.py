@@ -31,7 +31,7 @@ PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text in a slice, about.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _QUESTION = "bucket int, slice long, hashes binary, docs binary"
 _ANSWER = "slice long, bucket int, hashes binary"
@@ -229,8 +229,8 @@ def kept_words(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(-(-size // SLICE), 2 * partitions)
-    buckets = 4 * partitions
+    slices = max(-(-size // SLICE), 1)
+    buckets = 2 * partitions
     dealt = texts.withColumn(
         "slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices).cast("long"))
     ).repartition(partitions, "slice")
