@@ -52,36 +52,39 @@ def _seeds(words: str, at: str) -> Column:
 
 def _seeded(rows: DataFrame, words: str, at: str) -> DataFrame:
     """A row for each place and mask. Texts shorter than a mask have none."""
-    return (
-        rows.where(F.size(words) >= SPAN)
-        .withColumn(at, F.explode(F.sequence(F.lit(0), F.size(words) - SPAN)))
-        .withColumn("seed", F.explode(_seeds(words, at)))
-    )
+    places = F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN))
+    return rows.withColumn(at, F.explode(places)).withColumn("seed", F.explode(_seeds(words, at)))
 
 
-def _agreeing() -> Column:
-    """The most places that agree in a passage that holds the hit: item and document are
-    compared place by place, ``shift`` words apart."""
-    size = F.least(F.lit(PASSAGE), F.size("item_words"))
-    starts = F.sequence(
-        F.greatest(F.lit(0), F.col("item_at") + SPAN - size),
-        F.least(F.col("item_at"), F.size("item_words") - size),
-    )
+def _compared(found: DataFrame) -> DataFrame:
+    """``agreeing``, the most places that agree in a passage that holds the hit, and ``size``,
+    the words of the passage.
 
-    def agreeing(start: Column) -> Column:
-        same = F.zip_with(
-            F.slice("item_words", start + 1, size),
-            F.transform(
-                F.sequence(start, start + size - 1),
-                lambda place: F.when(
-                    place + F.col("shift") >= 0, F.get(F.col("words"), (place + F.col("shift")).cast("int"))
-                ),
-            ),
-            lambda a, b: F.when(a == b, 1).otherwise(0),
-        )
-        return F.aggregate(same, F.lit(0), lambda total, x: total + x)
-
-    return F.array_max(F.transform(starts, agreeing))
+    Item and document are compared place by place around the hit. Plain columns, no lambda:
+    these stay in the generated code of the join, so that no row carries its whole text.
+    """
+    around = range(SPAN - PASSAGE, PASSAGE)
+    same = {
+        o: F.when(
+            F.get("item_words", F.col("item_at") + o) == F.get("words", F.col("at") + o), 1
+        ).otherwise(0)
+        for o in around
+    }
+    found = found.select(
+        "_file", "_row", "item_id", "item_at", F.size("item_words").alias("item_size"),
+        *[x.alias(f"same{o}") for o, x in same.items()],
+    )
+    sums = []
+    for before in range(PASSAGE - SPAN + 1):
+        inside = (F.col("item_at") >= before) & (F.col("item_at") - before + PASSAGE <= F.col("item_size"))
+        total = sum((F.col(f"same{o}") for o in range(-before, PASSAGE - before)), F.lit(0))
+        sums.append(F.when(inside, total).otherwise(0))
+    whole = sum((F.col(f"same{o}") for o in around), F.lit(0))
+    return found.select(
+        "_file", "_row", "item_id",
+        F.when(F.col("item_size") < PASSAGE, whole).otherwise(F.greatest(*sums)).alias("agreeing"),
+        F.least(F.lit(PASSAGE), F.col("item_size")).alias("size"),
+    )
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -96,15 +99,12 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     if seeds.count() <= BROADCAST:
         seeds = F.broadcast(seeds)
-    size = F.least(F.lit(PASSAGE), F.size("item_words"))
     return (
-        _seeded(docs, "words", "at")
-        .join(seeds, "seed")
-        .withColumn("shift", F.col("at") - F.col("item_at"))
-        .select("_file", "_row", "item_id", _agreeing().alias("agreeing"), size.alias("size"))
-        .where(F.col("agreeing") * 100 >= F.col("size") * SIMILAR)
+        _compared(_seeded(docs, "words", "at").join(seeds, "seed"))
         .groupBy("_file", "_row", "item_id")
-        .agg(F.max("agreeing").alias("agreeing"))
+        .agg(F.max("agreeing").alias("agreeing"), F.max("size").alias("size"))
+        .where(F.col("agreeing") * 100 >= F.col("size") * SIMILAR)
+        .drop("size")
     )
 
 
