@@ -12,10 +12,13 @@ each hold ``c`` common ones.
 * The boundary is the size with the least cost: subsets written for light sets
   against list entries written and met for heavy ones, both counted from the data.
 
-Sets that share a list meet in the cell of the list's smallest set. Within a cell
-the inverted lists of the full sets are scanned for exact overlaps, as products of
-membership matrices. A cell of many sets is dealt in blocks: each task gets two
-blocks, and gives back at most one link per set, enough for the components.
+Sets that share a list meet in the cell of the list's smallest set. A cell first sees
+sketches: bit maps of the parity of shingles per bit, half a bit a shingle. Two sets differ
+in at least as many shingles as their bit maps do in bits, so sets that no partner in the
+cell can link with leave it. For those that remain the inverted lists of the full sets
+are scanned for exact overlaps, as products of membership matrices. A cell of many sets
+is dealt in blocks: each task gets two blocks, and gives back at most one link per set,
+enough for the components.
 
 The order only decides cost, never the result. Hashes have 64 bits.
 """
@@ -126,6 +129,45 @@ def _keys(
     return np.concatenate(found)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parity of the hashes on each of at least half as many bits, a power of two from 64."""
+    bits = 64
+    while 2 * bits < len(hashes):
+        bits *= 2
+    place = (hashes >> np.uint64(17)) & np.uint64(bits - 1)
+    parity = np.bincount(place.astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(parity).tobytes()
+
+
+def _folded(parity: np.ndarray, bits: int) -> np.ndarray:
+    while len(parity) > bits:
+        half = len(parity) // 2
+        parity = parity[:half] ^ parity[half:]
+    return parity
+
+
+def may_link(
+    left: list[bytes], right: list[bytes], n_left: np.ndarray, n_right: np.ndarray, percent: int
+) -> np.ndarray:
+    """Which sets of either side may link, by size and sketch. No pair that links is left out."""
+    small, large = np.minimum.outer(n_left, n_right), np.maximum.outer(n_left, n_right)
+    possible = 100 * small >= percent * large
+    sides = [[np.unpackbits(np.frombuffer(x, np.uint8)) for x in side] for side in (left, right)]
+    sizes = [np.array([len(x) for x in side]) for side in sides]
+    for bits in np.unique(np.concatenate(sizes)):
+        rows, columns = (np.flatnonzero(size >= bits) for size in sizes)
+        if not len(rows) or not len(columns):
+            continue
+        signs = [
+            np.array([_folded(side[i], bits) for i in chosen]).astype(np.float32) * 2 - 1
+            for side, chosen in zip(sides, (rows, columns))
+        ]
+        differ = (bits - signs[0] @ signs[1].T) / 2
+        both = n_left[rows][:, None] + n_right[columns][None, :]
+        possible[np.ix_(rows, columns)] &= differ * (100 + percent) <= both * (100 - percent)
+    return possible
+
+
 def _listed(
     k: int, percent: int, limit: int, shared, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
@@ -133,12 +175,12 @@ def _listed(
     frequent, rank = shared.value
     for batch in batches:
         for part in words.slices(batch, "text"):
-            sizes, ids, keys = [], [], []
+            sizes, ids, keys, sketches = [], [], [], []
             for s in words.shingle_sets(part["text"], k):
                 sizes.append(len(s))
-                digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
-                ids.append(int.from_bytes(digest, "little", signed=True) if len(s) else None)
+                ids.append(set_number(s) if len(s) else None)
                 keys.append(_keys(s, percent, limit, frequent, rank))
+                sketches.append(sketch(s) if len(keys[-1]) else None)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -147,18 +189,31 @@ def _listed(
                     part["code"],
                     pa.array(sizes, pa.int64()),
                     pa.array(ids, pa.int64()),
+                    pa.array(sketches, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["doc_id", "code", "n", "set_id", "keys"],
+                names=["doc_id", "code", "n", "set_id", "sketch", "keys"],
             )
 
 
+def set_number(hashes: np.ndarray) -> int:
+    """A digest of a set, the same for equal sets."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _full_sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text beside the number that it was fetched for: rows of one doc_id may
+    have different texts."""
     for batch in batches:
         for part in words.slices(batch, "text", words.BATCH // 4):
-            sets = [s.tobytes() for s in words.shingle_sets(part["text"], k)]
+            sets = list(words.shingle_sets(part["text"], k))
             yield pa.RecordBatch.from_arrays(
-                [part["set_id"], pa.array(sets, pa.binary())], names=["set_id", "elements"]
+                [
+                    part["set_id"],
+                    pa.array([set_number(s) for s in sets], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                names=["wanted", "set_id", "elements"],
             )
 
 
@@ -201,43 +256,80 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, in
         root = least
 
 
-def _cell(ids: list[list[int]], sets: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links of one cell: within its only block, or between its two."""
-    if not ids[1]:
-        if len(ids[0]) < 2:
-            return []
-        i, j = np.nonzero(np.triu(linked(sets[0], sets[0], percent), 1))
-        return _forest(np.array(ids[0]), i, j)
-    if not ids[0]:
-        return []
-    i, j = np.nonzero(linked(sets[0], sets[1], percent))
-    return _forest(np.array(ids[0] + ids[1]), i, j + len(ids[0]))
+def _cells(columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The cells of a partition, whose rows come one after the other: its key, and for either
+    block a list of the values of ``columns`` by row."""
+    cell, sides = None, ([], [])
+    for batch in batches:
+        values = [batch[x].to_pylist() for x in ("leader", "i", "j", "block", *columns)]
+        for leader, i, j, block, *row in zip(*values):
+            if (leader, i, j) != cell:
+                if cell:
+                    yield cell, sides
+                cell, sides = (leader, i, j), ([], [])
+            sides[block != i].append(row)
+    if cell:
+        yield cell, sides
+
+
+def _alone(cell: tuple, sides: tuple[list, list]) -> bool:
+    """Whether the cell has no pair: one block with one set, or two of which one is empty."""
+    return len(sides[0]) < 2 if cell[1] == cell[2] else not (sides[0] and sides[1])
+
+
+def _remaining(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of each cell that may link with another of it."""
+    names = ["leader", "i", "j", "block", "set_id"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    rows: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    for cell, sides in _cells(["set_id", "n", "sketch"], batches):
+        if _alone(cell, sides):
+            continue
+        same = cell[1] == cell[2]
+        left, right = sides[0], sides[0] if same else sides[1]
+        sizes = [np.array([n for _, n, _ in side]) for side in (left, right)]
+        possible = may_link(*[[x for _, _, x in side] for side in (left, right)], *sizes, percent)
+        if same:
+            np.fill_diagonal(possible, False)
+        rows += [(*cell, cell[1], left[k][0]) for k in np.flatnonzero(possible.any(axis=1))]
+        if not same:
+            rows += [(*cell, cell[2], right[k][0]) for k in np.flatnonzero(possible.any(axis=0))]
+        if len(rows) > 10_000:
+            yield made()
+    if rows:
+        yield made()
 
 
 def _links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the cells of a partition, which come one after the other."""
-    cell, ids, sets = None, [[], []], [[], []]
+    """Links of the cells of a partition, one at most for each set of a cell."""
     found: list[tuple[int, int]] = []
 
-    def rows() -> pa.RecordBatch:
-        made = pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())
+    def made() -> pa.RecordBatch:
+        columns = [pa.array(x, pa.int64()) for x in zip(*found)]
         found.clear()
-        return pa.RecordBatch.from_arrays(list(made), names=["a", "b"])
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-    for batch in batches:
-        columns = [batch[x].to_pylist() for x in ("leader", "i", "j", "block", "set_id", "elements")]
-        for leader, i, j, block, set_id, elements in zip(*columns):
-            if (leader, i, j) != cell:
-                found += _cell(ids, sets, percent)
-                cell, ids, sets = (leader, i, j), [[], []], [[], []]
-            side = int(block != i)
-            ids[side].append(set_id)
-            sets[side].append(np.frombuffer(elements, np.uint64))
-        if found:
-            yield rows()
-    found += _cell(ids, sets, percent)
+    for cell, sides in _cells(["set_id", "elements"], batches):
+        if _alone(cell, sides):
+            continue
+        ids = [[x for x, _ in side] for side in sides]
+        sets = [[np.frombuffer(x, np.uint64) for _, x in side] for side in sides]
+        if cell[1] == cell[2]:
+            i, j = np.nonzero(np.triu(linked(sets[0], sets[0], percent), 1))
+        else:
+            i, j = np.nonzero(linked(*sets, percent))
+            j = j + len(ids[0])
+        found += _forest(np.array(ids[0] + ids[1]), i, j)
+        if len(found) > 10_000:
+            yield made()
     if found:
-        yield rows()
+        yield made()
 
 
 def _code() -> Column:
@@ -298,7 +390,7 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     listed = common.materialize(
         texts.mapInArrow(
             partial(_listed, k, percent, limit, shared),
-            "doc_id long, code long, n long, set_id long, keys array<long>",
+            "doc_id long, code long, n long, set_id long, sketch binary, keys array<long>",
         ),
         "shingle-lists",
     )
@@ -307,13 +399,12 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
         rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least_doc")),
         "set-classes",
     )
-    entries = (
-        listed.where(F.size("keys") > 0)
-        .join(
-            classes.select("set_id", F.col("least_doc").alias("doc_id")), ["set_id", "doc_id"], "left_semi"
-        )
-        .select("set_id", F.explode("keys").alias("key"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_class = listed.where(F.size("keys") > 0).join(
+        classes.select("set_id", F.col("least_doc").alias("doc_id")), ["set_id", "doc_id"], "left_semi"
     )
+    # Dealt by key once, for the leaders of the lists and for their entries.
+    entries = of_class.select("set_id", F.explode("keys").alias("key")).repartition(partitions, "key")
     leaders = (
         entries.groupBy("key")
         .agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last"))
@@ -323,12 +414,6 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     met = common.materialize(
         entries.join(leaders, "key").select("leader", "set_id").distinct(), "shingle-cells"
     )
-    wanted = met.select("set_id").distinct().join(classes, "set_id")
-    sets = (
-        texts.join(wanted, F.col("doc_id") == F.col("least_doc"))
-        .select("set_id", "text")
-        .mapInArrow(partial(_full_sets, k), "set_id long, elements binary")
-    )
     blocks = met.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = (
         met.join(blocks, "leader")
@@ -339,12 +424,28 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         )
     )
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def by_cell(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions, "leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+
+    sketches = of_class.select("set_id", "n", "sketch").dropDuplicates(["set_id"])
+    remaining = common.materialize(
+        by_cell(dealt.join(sketches, "set_id")).mapInArrow(
+            partial(_remaining, percent), "leader long, i int, j int, block int, set_id long"
+        ),
+        "shingle-cells-left",
+    )
+    wanted = remaining.select("set_id").distinct().join(classes, "set_id")
+    sets = (
+        texts.join(wanted, F.col("doc_id") == F.col("least_doc"))
+        .select("set_id", "text")
+        .mapInArrow(partial(_full_sets, k), "wanted long, set_id long, elements binary")
+        .where("wanted = set_id")
+        .select("set_id", "elements")
+        .dropDuplicates(["set_id"])
+    )
     edges = common.materialize(
-        dealt.join(sets, "set_id")
-        .repartition(partitions, "leader", "i", "j")
-        .sortWithinPartitions("leader", "i", "j")
-        .select("leader", "i", "j", "block", "set_id", "elements")
+        by_cell(remaining.join(sets, "set_id"))
         .mapInArrow(partial(_links, percent), "a long, b long")
         .distinct(),
         "shingle-links",
