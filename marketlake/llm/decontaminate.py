@@ -60,29 +60,29 @@ def _compared(found: DataFrame) -> DataFrame:
     """``agreeing``, the most places that agree in a passage that holds the hit, and ``size``,
     the words of the passage.
 
-    Item and document are compared place by place around the hit. Plain columns, no lambda:
-    these stay in the generated code of the join, so that no row carries its whole text.
+    The words around the hit are cut out next to the join, in generated code that stays
+    small; so rows do not carry whole texts to the comparison.
     """
-    around = range(SPAN - PASSAGE, PASSAGE)
-    same = {
-        o: F.when(
-            F.get("item_words", F.col("item_at") + o) == F.get("words", F.col("at") + o), 1
-        ).otherwise(0)
-        for o in around
-    }
+    before = F.least(F.lit(PASSAGE - SPAN), F.col("at"), F.col("item_at"))
+
+    def around(words: str, at: str):
+        return F.slice(words, (F.col(at) - before + 1).cast("int"), before + PASSAGE)
+
     found = found.select(
-        "_file", "_row", "item_id", "item_at", F.size("item_words").alias("item_size"),
-        *[x.alias(f"same{o}") for o, x in same.items()],
+        "_file", "_row", "item_id", F.size("item_words").alias("item_size"),
+        around("words", "at").alias("near"), around("item_words", "item_at").alias("item_near"),
     )
-    sums = []
-    for before in range(PASSAGE - SPAN + 1):
-        inside = (F.col("item_at") >= before) & (F.col("item_at") - before + PASSAGE <= F.col("item_size"))
-        total = sum((F.col(f"same{o}") for o in range(-before, PASSAGE - before)), F.lit(0))
-        sums.append(F.when(inside, total).otherwise(0))
-    whole = sum((F.col(f"same{o}") for o in around), F.lit(0))
+    same = F.zip_with("near", "item_near", lambda a, b: F.when(a == b, 1).otherwise(0))
+    found = found.withColumn("same", same)
+
+    def agreeing(start: Column) -> Column:
+        part = F.slice("same", start, F.lit(PASSAGE))
+        return F.aggregate(part, F.lit(0), lambda total, x: total + x)
+
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("item_near") - PASSAGE + 1))
     return found.select(
         "_file", "_row", "item_id",
-        F.when(F.col("item_size") < PASSAGE, whole).otherwise(F.greatest(*sums)).alias("agreeing"),
+        F.array_max(F.transform(starts, agreeing)).alias("agreeing"),
         F.least(F.lit(PASSAGE), F.col("item_size")).alias("size"),
     )
 
