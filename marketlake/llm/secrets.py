@@ -159,9 +159,14 @@ def spans(docs: DataFrame) -> DataFrame:
     tokens = found.where("kind = 3").select("value")
     likely = score(tokens, model).where(F.col("ratio") >= RATIO).select("value", F.lit(True).alias("likely"))
     span = F.struct("first", "kind", "last", "value")
+    # Only tokens join by value: rows without any span would all have the same, no value.
+    judged = (
+        found.where("kind = 3").join(likely, "value", "left")
+        .select(*found.columns, "likely")
+        .union(found.where("kind IS NULL OR kind < 3").withColumn("likely", F.lit(None).cast("boolean")))
+    )
     gathered = (
-        found.join(likely, "value", "left")
-        .groupBy("row", "doc_id")
+        judged.groupBy("row", "doc_id")
         .agg(F.array_sort(F.collect_list(F.when(F.expr("kind < 3 OR likely"), span))).alias("all"))
     )
     base = F.filter("all", lambda x: x["kind"] < 3)
