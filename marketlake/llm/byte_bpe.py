@@ -27,7 +27,7 @@ from marketlake.llm import words
 #: Characters of a piece of a long text, or a little more.
 PIECE = 1 << 16
 #: Ids that are decoded between two results.
-IDS = 1 << 20
+IDS = 1 << 18
 # Python counts every blank of the pattern's engine as white space, and more.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -69,7 +69,7 @@ def encode_text(encoder: tiktoken.Encoding, text: str, limit: int = PIECE) -> np
 def _encode(column: str, path: str, pattern: str, batches: Iterator[pa.RecordBatch]):
     encoder = encoding(path, pattern)
     for batch in batches:
-        for part in words.slices(batch, column, words.BATCH // 4):
+        for part in words.slices(batch, column, words.BATCH // 8):
             texts = pc.fill_null(part[column], "").to_pylist()
             ids = [encode_text(encoder, text) for text in texts]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
@@ -126,17 +126,39 @@ def decode(
     return df.mapInArrow(partial(_decode, path, pattern), schema)
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
+def _round_trip(path: str, pattern: str, batches: Iterator[pa.RecordBatch]):
+    for batch in _decode(path, pattern, _encode("text", path, pattern, batches)):
+        yield batch.drop_columns(["text"])
+
+
+def round_trip(
+    docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN
+) -> DataFrame:
     """The columns of ``docs`` but text, with n_tokens, ids, and digests of the ids, as
-    decimals joined by one blank, and of the bytes that they decode to."""
-    coded = decode(encode(docs).drop("text"))
-    return coded.withColumns(
-        {
-            "n_tokens": F.size("ids").cast("long"),
-            "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256),
-            "decoded_sha256": F.sha2("decoded", 256),
-        }
-    ).drop("decoded")
+    decimals joined by one blank, and of the bytes that they decode to.
+
+    ``encode`` and then ``decode``, in one pass of one worker. The texts may have any other
+    columns but ids and decoded.
+    """
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    schema = StructType(
+        [
+            *docs.drop("text").schema.fields,
+            StructField("ids", ArrayType(IntegerType())),
+            StructField("decoded", BinaryType()),
+        ]
+    )
+    return (
+        docs.mapInArrow(partial(_round_trip, path, pattern), schema)
+        .withColumns(
+            {
+                "n_tokens": F.size("ids").cast("long"),
+                "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256),
+                "decoded_sha256": F.sha2("decoded", 256),
+            }
+        )
+        .drop("decoded")
+    )
 
 
 def digests(docs: DataFrame) -> DataFrame:
