@@ -152,8 +152,8 @@ HEADLINES = r"""body AS (
   SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>',
     '', 'g') AS body FROM pages),
 entries AS (
-  SELECT page_id, unnest(regexp_extract_all(body, '(?is)<li\b[^>]*>(.*?)</li>', 1)[1:4]) AS entry,
-    unnest(range(1, len(regexp_extract_all(body, '(?is)<li\b[^>]*>(.*?)</li>', 1)[1:4]) + 1)) AS position
+  SELECT page_id, unnest(regexp_extract_all(body, '(?is)<li\b[^>]*>(.*?)</li>', 1)[1:8]) AS entry,
+    unnest(range(1, len(regexp_extract_all(body, '(?is)<li\b[^>]*>(.*?)</li>', 1)[1:8]) + 1)) AS position
   FROM body),
 headlines AS (
   SELECT page_id, CAST(position AS INTEGER) AS position,

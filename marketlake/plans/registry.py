@@ -189,7 +189,7 @@ def item_details(m: Market) -> DataFrame:
 
 # The test pages carry their list items without classes, as plain links.
 PAGE_OPTIONS = {
-    "n": 4,
+    "n": 8,
     "list_region": None,
     "title_patterns": (documents.TITLE, documents.PARAGRAPH, r"<(a)\b[^>]*>(.*?)</a>"),
 }

@@ -12,17 +12,109 @@ TEST_WORLD_ID = 3000
 
 # Data centers and their worlds.
 DATA_CENTERS = {
-    "Aether": "Adamantoise Cactuar Faerie Gilgamesh Jenova Midgardsormr Sargatanas Siren",
-    "Primal": "Behemoth Excalibur Exodus Famfrit Hyperion Lamia Leviathan Ultros",
-    "Crystal": "Balmung Brynhildr Coeurl Diabolos Goblin Malboro Mateus Zalera",
-    "Dynamis": "Halicarnassus Maduin Marilith Seraph",
-    "Light": "Alpha Lich Odin Phoenix Raiden Shiva Twintania Zodiark",
-    "Chaos": "Cerberus Louisoix Moogle Omega Phantom Ragnarok Sagittarius Spriggan",
-    "Elemental": "Aegis Atomos Carbuncle Garuda Gungnir Kujata Tonberry Typhon",
-    "Gaia": "Alexander Bahamut Durandal Fenrir Ifrit Ridill Tiamat Ultima",
-    "Mana": "Anima Asura Chocobo Hades Ixion Masamune Pandaemonium Titan",
-    "Meteor": "Belias Mandragora Ramuh Shinryu Unicorn Valefor Yojimbo Zeromus",
-    "Materia": "Bismarck Ravana Sephirot Sophia Zurvan",
+    "Aether": [
+        "Adamantoise",
+        "Cactuar",
+        "Faerie",
+        "Gilgamesh",
+        "Jenova",
+        "Midgardsormr",
+        "Sargatanas",
+        "Siren",
+    ],
+    "Primal": [
+        "Behemoth",
+        "Excalibur",
+        "Exodus",
+        "Famfrit",
+        "Hyperion",
+        "Lamia",
+        "Leviathan",
+        "Ultros",
+    ],
+    "Crystal": [
+        "Balmung",
+        "Brynhildr",
+        "Coeurl",
+        "Diabolos",
+        "Goblin",
+        "Malboro",
+        "Mateus",
+        "Zalera",
+    ],
+    "Dynamis": [
+        "Halicarnassus",
+        "Maduin",
+        "Marilith",
+        "Seraph",
+    ],
+    "Light": [
+        "Alpha",
+        "Lich",
+        "Odin",
+        "Phoenix",
+        "Raiden",
+        "Shiva",
+        "Twintania",
+        "Zodiark",
+    ],
+    "Chaos": [
+        "Cerberus",
+        "Louisoix",
+        "Moogle",
+        "Omega",
+        "Phantom",
+        "Ragnarok",
+        "Sagittarius",
+        "Spriggan",
+    ],
+    "Elemental": [
+        "Aegis",
+        "Atomos",
+        "Carbuncle",
+        "Garuda",
+        "Gungnir",
+        "Kujata",
+        "Tonberry",
+        "Typhon",
+    ],
+    "Gaia": [
+        "Alexander",
+        "Bahamut",
+        "Durandal",
+        "Fenrir",
+        "Ifrit",
+        "Ridill",
+        "Tiamat",
+        "Ultima",
+    ],
+    "Mana": [
+        "Anima",
+        "Asura",
+        "Chocobo",
+        "Hades",
+        "Ixion",
+        "Masamune",
+        "Pandaemonium",
+        "Titan",
+    ],
+    "Meteor": [
+        "Belias",
+        "Mandragora",
+        "Ramuh",
+        "Shinryu",
+        "Unicorn",
+        "Valefor",
+        "Yojimbo",
+        "Zeromus",
+    ],
+    "Materia": [
+        "Bismarck",
+        "Ravana",
+        "Sephirot",
+        "Sophia",
+        "Zurvan",
+    ],
 }
 
 
@@ -69,11 +161,11 @@ def data_centers(spark: SparkSession) -> DataFrame:
     """(data_center, center_position, world_name, position) from the fixed map."""
     rows = [(name, i, worlds) for i, (name, worlds) in enumerate(DATA_CENTERS.items())]
     return spark.createDataFrame(
-        rows, "data_center string, center_position int, worlds string"
+        rows, "data_center string, center_position int, worlds array<string>"
     ).select(
         "data_center",
         "center_position",
-        F.posexplode(F.split("worlds", " ")).alias("position", "world_name"),
+        F.posexplode("worlds").alias("position", "world_name"),
     )
 
 
