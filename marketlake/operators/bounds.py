@@ -39,10 +39,10 @@ def price_bounds(
 ) -> DataFrame:
     """(item_id, is_hq, p05, p85) of groups with at least ``min_rows`` listings.
 
-    Linear interpolation between the two nearest prices. Whether there are hot
-    groups is found out at once, by one count over the two group columns, or from
-    ``sizes`` (item_id, is_hq, n) if those are known. ``approx`` trades exactness for a sketch per
-    group.
+    Linear interpolation between the two nearest prices, bit for bit the same for
+    small and for hot groups. Whether there are hot groups is found out at once, by
+    one count over the two group columns, or from ``sizes`` (item_id, is_hq, n) if
+    those are known. ``approx`` trades exactness for a sketch per group.
     """
     if approx:
         return _pair(listings, F.percentile_approx("price_per_unit", [lo, hi], 10000), min_rows)
@@ -142,9 +142,11 @@ def _position(p: float) -> Column:
 
 
 def _interpolate(below: str, above: str, p: float) -> Column:
+    """The weighted form that ``percentile`` uses too, so that both sides agree to the last bit."""
     low, high = F.col(below).cast("double"), F.col(above).cast("double")
-    fraction = _position(p) - F.floor(_position(p))
-    return low + (high - low) * fraction
+    position = _position(p)
+    between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+    return F.when(low == high, low).otherwise(between)
 
 
 def _any(conditions) -> Column:

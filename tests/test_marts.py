@@ -80,6 +80,13 @@ def test_bounds_are_exact(spark, spread, hot_rows):
     assert (4, True) not in got and got[(5, True)] == (7.0, 7.0)
 
 
+def test_bounds_do_not_depend_on_the_size_switch(spark):
+    rng = random.Random(11)
+    df = listings(spark, [(i, 1, True, rng.randrange(1, 10**6), 1) for i in range(60) for _ in range(10 + 7 * i)])
+    forms = [sorted(map(tuple, b.price_bounds(df, hot_rows=n).collect())) for n in (0, 150, b.HOT_ROWS)]
+    assert forms[0] == forms[1] == forms[2] and len(forms[0]) == 60
+
+
 def test_bounds_reuse_one_shuffle_of_the_prices(spark):
     df = listings(spark, [(1, 1, True, p, 1) for p in range(50)])
     result = b.price_bounds(df, hot_rows=0)
