@@ -1,13 +1,19 @@
 """Usage rollups over a request log.
 
-A log row is one round of a request: (ts, request_id, iteration, input_tokens,
-output_tokens, tool_name, duration_ms, method, route); fields that do not apply
-to a row are NULL. Every rollup is a grouped aggregate, combined before its
-shuffle; the windowed ones also run on a stream, given a watermark.
+A request leaves one log row per round or tool call and a closing row, the only
+one with a status: (ts, request_id, iteration, input_tokens, output_tokens,
+tool_name, duration_ms, method, route, status); fields that do not apply to a row
+are NULL. Only requests that succeed have a duration. Tokens and tools are summed
+over all rows; figures of requests first fold their rows by request_id (rows
+without one belong to no request). Every rollup is a grouped aggregate, combined
+before its shuffle. ``Rollup`` holds the ones that a stream can keep up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,55 +44,105 @@ def usage_tool_calls(log: DataFrame) -> DataFrame:
     return log.agg(F.count("tool_name").alias("calls"))
 
 
-def _window(window: str) -> Column:
-    return F.window("ts", window)
+@dataclass(frozen=True)
+class Rollup:
+    """A windowed figure in two steps: sums, which add up over any split of the log
+    in any order, and the figures that follow from the sums of a window."""
 
+    keys: tuple[str, ...]
+    sums: Callable[[DataFrame], DataFrame]
+    figures: Callable[[DataFrame], DataFrame]
 
-def _start(df: DataFrame) -> DataFrame:
-    return df.withColumn("window_start", F.col("window.start")).drop("window")
+    def __call__(self, log: DataFrame) -> DataFrame:
+        return self.figures(self.sums(log))
 
 
-def usage_rates(log: DataFrame, window: str = MINUTE, seconds: int = 60) -> DataFrame:
+def _by_window(df: DataFrame, time: str, window: str, keys: list[str], *sums: Column) -> DataFrame:
+    grouped = df.groupBy(F.window(time, window).alias("_window"), *keys).agg(*sums)
+    return grouped.select(F.col("_window.start").alias("window_start"), *keys, *grouped.columns[1 + len(keys) :])
+
+
+def rates(window: str = MINUTE, seconds: int = 60) -> Rollup:
     """Tokens per second in and out, and cost per minute, by time window."""
-    tokens_in, tokens_out = F.col("tokens_in"), F.col("tokens_out")
-    sums = log.groupBy(_window(window)).agg(
-        F.sum("input_tokens").alias("tokens_in"), F.sum("output_tokens").alias("tokens_out")
-    )
-    return _start(sums).select(
-        "window_start",
-        (tokens_in / seconds).alias("input_per_second"),
-        (tokens_out / seconds).alias("output_per_second"),
-        (cost_usd(tokens_in, tokens_out) / seconds * 60).alias("cost_per_minute"),
+
+    def sums(log: DataFrame) -> DataFrame:
+        return _by_window(
+            log, "ts", window, [],
+            F.sum("input_tokens").alias("tokens_in"), F.sum("output_tokens").alias("tokens_out"),
+        )
+
+    def figures(sums: DataFrame) -> DataFrame:
+        tokens_in, tokens_out = F.col("tokens_in"), F.col("tokens_out")
+        return sums.select(
+            "window_start",
+            (tokens_in / seconds).alias("input_per_second"),
+            (tokens_out / seconds).alias("output_per_second"),
+            (cost_usd(tokens_in, tokens_out) / seconds * 60).alias("cost_per_minute"),
+        )
+
+    return Rollup(("window_start",), sums, figures)
+
+
+def routes(window: str = MINUTE, seconds: int = 60) -> Rollup:
+    """Requests per second by method and route: a request counts once, when it closes."""
+    keys = ["method", "route"]
+
+    def sums(log: DataFrame) -> DataFrame:
+        closing = log.where(F.col("status").isNotNull())
+        return _by_window(closing, "ts", window, keys, F.count(F.lit(1)).alias("requests"))
+
+    def figures(sums: DataFrame) -> DataFrame:
+        per_second = (F.col("requests") / seconds).alias("requests_per_second")
+        return sums.select("window_start", *keys, per_second)
+
+    return Rollup(("window_start", *keys), sums, figures)
+
+
+def usage_rates(log: DataFrame, window: str = MINUTE, seconds: int = 60) -> DataFrame:
+    return rates(window, seconds)(log)
+
+
+def usage_routes(log: DataFrame, window: str = MINUTE, seconds: int = 60) -> DataFrame:
+    return routes(window, seconds)(log)
+
+
+def requests(log: DataFrame) -> DataFrame:
+    """One row per request: when it started and closed (NULL while open), its rounds,
+    duration (NULL if it failed or is open), method and route."""
+    closed = F.when(F.col("status").isNotNull(), F.col("ts"))
+    return (
+        log.where(F.col("request_id").isNotNull())
+        .groupBy("request_id")
+        .agg(
+            F.min("ts").alias("started"),
+            F.max(closed).alias("closed"),
+            F.max("iteration").alias("rounds"),
+            F.max("duration_ms").alias("duration_ms"),
+            F.max("method").alias("method"),
+            F.max("route").alias("route"),
+        )
     )
 
 
 def usage_means(log: DataFrame, window: str = MINUTE) -> DataFrame:
-    """Mean duration and mean rounds of the requests that ended in a window.
+    """Mean duration and mean rounds of the requests that closed in a window.
 
-    A finished request has a duration and the number of its last round.
+    Failed requests have rounds but no duration, and count for the rounds alone.
     """
-    done = log.where(F.col("duration_ms").isNotNull())
-    sums = done.groupBy(_window(window)).agg(
+    sums = _by_window(
+        requests(log).where(F.col("closed").isNotNull()), "closed", window, [],
         F.sum("duration_ms").alias("duration"),
         F.count("duration_ms").alias("durations"),
-        F.sum("iteration").alias("rounds"),
-        F.count("iteration").alias("counted"),
+        F.sum("rounds").alias("rounds"),
+        F.count("rounds").alias("counted"),
     )
-    return _start(sums).select(
+    return sums.select(
         "window_start",
         F.try_divide("duration", "durations").alias("mean_duration_ms"),
         F.try_divide("rounds", "counted").alias("mean_iterations"),
     )
 
 
-def usage_routes(log: DataFrame, window: str = MINUTE, seconds: int = 60) -> DataFrame:
-    """Requests per second by method and route."""
-    counts = log.groupBy(_window(window), "method", "route").agg(F.count(F.lit(1)).alias("n"))
-    return _start(counts).select(
-        "window_start", "method", "route", (F.col("n") / seconds).alias("requests_per_second")
-    )
-
-
 def usage_active(log: DataFrame, window: str = MINUTE) -> DataFrame:
     """Requests still open at the end of each window.
 
@@ -94,24 +150,20 @@ def usage_active(log: DataFrame, window: str = MINUTE) -> DataFrame:
     running total sees one row per window and not one per request. It runs within
     a day, on top of the total of the days before; days are few.
     """
-    ended = F.col("ts") + F.make_dt_interval(secs=F.col("duration_ms") / 1000)
-    changes = (
-        log.select(
+    moments = (
+        requests(log)
+        .select(
             F.inline(
                 F.array(
-                    F.struct(F.col("ts").alias("at"), F.lit(1).alias("change")),
-                    F.struct(ended.alias("at"), F.lit(-1).alias("change")),
+                    F.struct(F.col("started").alias("at"), F.lit(1).alias("step")),
+                    F.struct(F.col("closed").alias("at"), F.lit(-1).alias("step")),
                 )
             )
         )
         .where(F.col("at").isNotNull())
-        .groupBy(F.window("at", window).alias("window"))
-        .agg(F.sum("change").alias("change"))
-        .select(
-            F.col("window.start").alias("window_start"),
-            F.to_date("window.start").alias("day"),
-            "change",
-        )
+    )
+    changes = _by_window(moments, "at", window, [], F.sum("step").alias("change")).withColumn(
+        "day", F.to_date("window_start")
     )
     within = Window.partitionBy("day").orderBy("window_start").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -129,6 +181,6 @@ def usage_active(log: DataFrame, window: str = MINUTE) -> DataFrame:
 
 def active_at(log: DataFrame, cut: Column) -> DataFrame:
     """Requests open at one moment, per route."""
-    end = F.col("ts") + F.make_dt_interval(secs=F.col("duration_ms") / 1000)
-    open_now = (F.col("ts") <= cut) & (end.isNull() | (end > cut))
-    return log.groupBy("route").agg(F.count(F.when(open_now, 1)).alias("active"))
+    closed = F.col("closed")
+    open_now = (F.col("started") <= cut) & (closed.isNull() | (closed > cut))
+    return requests(log).groupBy("route").agg(F.count(F.when(open_now, 1)).alias("active"))

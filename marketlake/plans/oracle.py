@@ -192,11 +192,16 @@ ITEM_DETAILS = """details AS (
   FROM part LEFT JOIN documents ON p_partkey = doc_id)"""
 
 LOG = EVENTS_K + """, log AS (
-  SELECT ts, date_trunc('minute', ts) AS window_start, k % 5 + 1 AS iteration, k * 10 AS tokens_in,
-    k + 1 AS tokens_out, value * 10000 AS duration_ms, event_type AS route,
-    CASE WHEN k % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
-    ts + to_microseconds(CAST(round(value * 10000 * 1000) AS BIGINT)) AS ended
-  FROM ek)"""
+  SELECT ts, date_trunc('minute', ts) AS window_start, event_id // 4 AS request, event_id % 4 AS part,
+    k * 10 AS tokens_in, k + 1 AS tokens_out, value * 10000 AS duration_ms
+  FROM ek),
+requests AS (
+  SELECT request, MIN(ts) AS started, NULLIF(MAX(part), 0) AS rounds,
+    CASE WHEN request % 5 <> 0 THEN MAX(ts) FILTER (WHERE part = 3) END AS closed,
+    CASE WHEN request % 5 <> 0 AND request % 7 <> 0
+      THEN MAX(duration_ms) FILTER (WHERE part = 3) END AS duration_ms,
+    CASE WHEN request % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, '/route' || request % 3 AS route
+  FROM log GROUP BY request)"""
 
 
 def _checks_sql(listings: str, sales: str) -> str:
@@ -296,8 +301,9 @@ ORACLE: dict[str, str] = {
     "dim_items": "SELECT p_partkey AS item_id, trim(p_name) AS item_name FROM part WHERE p_partkey <> 0",
     "dim_worlds": "SELECT s_suppkey * 40 AS world_id, s_name AS world_name FROM supplier WHERE s_suppkey * 40 < 3000",
     "dim_centers": """SELECT n_name AS data_center, n_nationkey AS center_position,
-        s_name AS world_name, s_suppkey AS position
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+        s_name || suffix AS world_name, position
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        CROSS JOIN (VALUES (0, ''), (1, ' II')) v(position, suffix)""",
     "region_worlds": """SELECT s_name AS world_name FROM supplier
         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         WHERE r_name = 'AMERICA'""",
@@ -312,6 +318,10 @@ ORACLE: dict[str, str] = {
         "SELECT item_id, is_hq, ROUND(p05, 6) AS p05, ROUND(p85, 6) AS p85 FROM price_bounds",
         LISTINGS, PRICE_BOUNDS,
     ),
+    "price_bounds_hot": sql(
+        "SELECT item_id, is_hq, ROUND(p05, 6) AS p05, ROUND(p85, 6) AS p85, TRUE AS same FROM price_bounds",
+        LISTINGS, PRICE_BOUNDS,
+    ),
     "price_band": sql("SELECT * FROM price_band", LISTINGS, PRICE_BAND),
     "arbitrage": sql("SELECT * FROM arbitrage", *M3),
     "velocity": sql("SELECT * FROM velocity", *M45),
@@ -456,25 +466,30 @@ ORACLE: dict[str, str] = {
         LOG,
     ),
     "usage_means": sql(
-        """SELECT window_start, ROUND(SUM(duration_ms) / COUNT(*), 4) AS mean_duration_ms,
-        CAST(SUM(iteration) AS BIGINT) / COUNT(*) AS mean_iterations FROM log GROUP BY window_start""",
+        """SELECT date_trunc('minute', closed) AS window_start,
+        ROUND(SUM(duration_ms) / COUNT(duration_ms), 4) AS mean_duration_ms,
+        CAST(SUM(rounds) AS BIGINT) / COUNT(rounds) AS mean_iterations
+        FROM requests WHERE closed IS NOT NULL GROUP BY 1""",
         LOG,
     ),
     "usage_routes": sql(
-        """SELECT window_start, method, route, COUNT(*) / 60 AS requests_per_second
-        FROM log GROUP BY window_start, method, route""",
+        """SELECT date_trunc('minute', closed) AS window_start, method, route,
+        COUNT(*) / 60 AS requests_per_second
+        FROM requests WHERE closed IS NOT NULL GROUP BY 1, method, route""",
         LOG,
     ),
     "usage_active": sql(
         """SELECT window_start, CAST(SUM(change) OVER (ORDER BY window_start) AS BIGINT) AS active
         FROM (SELECT window_start, SUM(change) AS change FROM (
-          SELECT window_start, 1 AS change FROM log
-          UNION ALL SELECT date_trunc('minute', ended), -1 FROM log) GROUP BY window_start)""",
+          SELECT date_trunc('minute', started) AS window_start, 1 AS change FROM requests
+          UNION ALL SELECT date_trunc('minute', closed), -1 FROM requests WHERE closed IS NOT NULL)
+          GROUP BY window_start)""",
         LOG,
     ),
     "usage_active_at": sql(
-        """SELECT route, COUNT(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'
-        AND ended > TIMESTAMP '2024-01-15 12:00:00') AS active FROM log GROUP BY route""",
+        """SELECT route, COUNT(*) FILTER (WHERE started <= TIMESTAMP '2024-01-15 12:00:00'
+        AND (closed IS NULL OR closed > TIMESTAMP '2024-01-15 12:00:00')) AS active
+        FROM requests GROUP BY route""",
         LOG,
     ),
     "stream_ingest": sql("SELECT * FROM latest_listings", LISTING_EVENTS),

@@ -19,7 +19,7 @@ from marketlake.session import configure, materialize, work_path
 from marketlake.sources import dims, lake, topics
 from marketlake.sources.catalog import register_views
 from marketlake.streaming import ingest
-from marketlake.streaming.usage import read_rollup, start_rollup
+from marketlake.streaming.usage import fold_rollup, read_rollup, start_rollup
 
 
 class Market:
@@ -110,6 +110,18 @@ def dim_worlds(m: Market) -> DataFrame:
     return dims.world_names(source)
 
 
+def dim_centers(m: Market) -> DataFrame:
+    """Nations as centers, each supplier row listing itself and its trade name."""
+    source = m.table("supplier").join(m.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return dims.center_rows(
+        source.select(
+            F.col("n_name").alias("data_center"),
+            F.col("n_nationkey").alias("center_position"),
+            F.array("s_name", F.concat("s_name", F.lit(" II"))).alias("worlds"),
+        )
+    )
+
+
 def region_worlds(m: Market) -> DataFrame:
     suppliers = m.table("supplier")
     centers = (
@@ -228,24 +240,36 @@ def stream_latest(m: Market) -> DataFrame:
 
 
 def stream_rates(m: Market) -> DataFrame:
+    """The rollup over six files, one a batch: each has rows of all days, so that all
+    but the first bring rows far later than what was seen before. A fold comes between."""
     root = work_path(m.spark, "rates")
-    events = m.table("events")
-    log = (
-        m.spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(m.dir)
-        .select(
-            F.col("ts").cast("timestamp").alias("ts"),
-            F.length("event_type").cast("bigint").alias("input_tokens"),
-            F.lit(2).cast("bigint").alias("output_tokens"),
-        )
+    files = m.table("events").select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.length("event_type").cast("bigint").alias("input_tokens"),
+        F.lit(2).cast("bigint").alias("output_tokens"),
     )
-    stream = start_rollup(log, usage.usage_rates, f"{root}/out", f"{root}/checkpoint", interval=None)
-    stream.awaitTermination()
-    rates = read_rollup(m.spark, f"{root}/out", ["window_start"])
+    rollup = usage.rates()
+    for start in (0, 1):
+        half = files.where(F.hour("ts") % 2 == start)
+        half.repartition(3).write.mode("append").parquet(f"{root}/in")
+        log = m.spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        start_rollup(log, rollup, f"{root}/out", f"{root}/checkpoint", interval=None).awaitTermination()
+        if start == 0:
+            fold_rollup(m.spark, f"{root}/out", rollup)
+    rates = read_rollup(m.spark, f"{root}/out", rollup)
     return rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def price_bounds_hot(m: Market) -> DataFrame:
+    """Bounds with groups of over 20 listings taken by ranges, and whether both forms agree."""
+    hot = materialize(price_bounds(m.listings, hot_rows=20), "bounds")
+    plain = materialize(price_bounds(m.listings), "bounds").withColumnsRenamed({"p05": "q05", "p85": "q85"})
+    same = F.col("p05").eqNullSafe(F.col("q05")) & F.col("p85").eqNullSafe(F.col("q85"))
+    return hot.join(plain, ["item_id", "is_hq"], "full").select(
+        "item_id", "is_hq", F.round("p05", 6).alias("p05"), F.round("p85", 6).alias("p85"), same.alias("same")
+    )
+
+
 def dq_report(m: Market) -> DataFrame:
     out = work_path(m.spark, "marts")
     return pipeline.run(m.raw_listings, m.raw_sales, m.items, m.worlds, out, strict=False)
@@ -277,7 +301,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "lake_peek": lambda m: lake.peek(m.raw_listings),
     "dim_items": dim_items,
     "dim_worlds": dim_worlds,
-    "dim_centers": lambda m: testdata.suppliers_by_nation(m.spark, m.dir),
+    "dim_centers": dim_centers,
     "region_worlds": region_worlds,
     # Events
     "parse_listings": lambda m: flatten.parse_listings(
@@ -292,6 +316,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "price_bounds": lambda m: price_bounds(m.listings).select(
         "item_id", "is_hq", F.round("p05", 6).alias("p05"), F.round("p85", 6).alias("p85")
     ),
+    "price_bounds_hot": price_bounds_hot,
     "price_band": lambda m: price_band(m.listings, materialize(price_bounds(m.listings), "bounds")),
     "arbitrage": lambda m: m.arbitrage,
     "velocity": lambda m: m.velocity,

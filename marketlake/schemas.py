@@ -59,5 +59,5 @@ _ITEM_FIELDS = dict.fromkeys(
 ITEM_DOC = _struct(fields=_struct(**_ITEM_FIELDS), **_ITEM_FIELDS)
 REQUEST_LOG = _struct(
     ts=T.TimestampType(), request_id=TEXT, iteration=INT, input_tokens=LONG,
-    output_tokens=LONG, tool_name=TEXT, duration_ms=DOUBLE, method=TEXT, route=TEXT,
+    output_tokens=LONG, tool_name=TEXT, duration_ms=DOUBLE, method=TEXT, route=TEXT, status=INT,
 )

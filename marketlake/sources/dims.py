@@ -160,9 +160,14 @@ def world_names(source: DataFrame) -> DataFrame:
 def data_centers(spark: SparkSession) -> DataFrame:
     """(data_center, center_position, world_name, position) from the fixed map."""
     rows = [(name, i, worlds) for i, (name, worlds) in enumerate(DATA_CENTERS.items())]
-    return spark.createDataFrame(
-        rows, "data_center string, center_position int, worlds array<string>"
-    ).select(
+    return center_rows(
+        spark.createDataFrame(rows, "data_center string, center_position int, worlds array<string>")
+    )
+
+
+def center_rows(source: DataFrame) -> DataFrame:
+    """The same from any (data_center, center_position, worlds array of names)."""
+    return source.select(
         "data_center",
         "center_position",
         F.posexplode("worlds").alias("position", "world_name"),

@@ -20,7 +20,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +27,7 @@ from pyspark.sql import types as T
 from marketlake.operators.flatten import ARRIVAL
 from marketlake.operators.latest import latest, merge_latest
 from marketlake.schemas import RAW_LISTINGS, RAW_SALES
-from marketlake.session import materialize
+from marketlake.session import exists, materialize
 
 # Fixed value: batches between two compactions.
 COMPACT_EVERY = 5
@@ -77,8 +76,8 @@ class LakeTable:
 
     def create(self, spark: SparkSession) -> LakeTable:
         """Write the empty table unless it is there."""
-        _record(spark, f"{self.path}/commits/batch_id=-1", "ignore", rows=0)
-        _record(spark, f"{self.path}/snapshots/version=0", "ignore", last_batch=-1)
+        record(spark, f"{self.path}/commits/batch_id=-1", "ignore", rows=0)
+        record(spark, f"{self.path}/snapshots/version=0", "ignore", last_batch=-1)
         return self
 
     # Writing
@@ -90,11 +89,7 @@ class LakeTable:
 
     def has(self, spark: SparkSession, batch_id: int) -> bool:
         """Whether a batch is committed; looks at its own record, not at all of them."""
-        try:
-            record = spark.read.schema("rows BIGINT").json(f"{self.path}/commits/batch_id={batch_id}")
-            return not record.isEmpty()
-        except AnalysisException:
-            return False
+        return recorded(spark, f"{self.path}/commits/batch_id={batch_id}")
 
     def write(self, rows: DataFrame, batch_id: int) -> int:
         """Write the rows of a batch, unseen by readers until it is committed."""
@@ -112,7 +107,7 @@ class LakeTable:
         return counted.get.get("rows", 0)
 
     def commit(self, spark: SparkSession, batch_id: int, rows: int) -> None:
-        _record(spark, f"{self.path}/commits/batch_id={batch_id}", "overwrite", rows=rows)
+        record(spark, f"{self.path}/commits/batch_id={batch_id}", "overwrite", rows=rows)
 
     def compact(self, spark: SparkSession) -> int:
         """Fold the new batches into the base; returns the snapshot version.
@@ -140,7 +135,7 @@ class LakeTable:
         parts = written.withColumn("version", F.lit(new).cast("bigint"))
         parts = parts if kept is None else kept.unionByName(parts)
         parts.write.parquet(f"{self.path}/parts/snapshot={new}")
-        _record(spark, f"{self.path}/snapshots/version={new}", "error", last_batch=max(batches))
+        record(spark, f"{self.path}/snapshots/version={new}", "error", last_batch=max(batches))
         return new
 
     def _touched(self, spark: SparkSession, version: int, fresh: DataFrame, rows: int) -> DataFrame:
@@ -181,10 +176,9 @@ class LakeTable:
     def read_quarantine(self, spark: SparkSession) -> DataFrame:
         """(value, reason, batch_id) of the events that ingest set aside."""
         schema = "value STRING, reason STRING, batch_id BIGINT"
-        try:
+        if exists(spark, self.quarantine):
             return spark.read.schema(schema).parquet(self.quarantine)
-        except AnalysisException:
-            return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
 
     def _latest(self, rows: DataFrame) -> DataFrame:
         return latest(rows, self.keys, self.order, total=True)
@@ -274,7 +268,12 @@ def _with_arrival(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _record(spark: SparkSession, path: str, mode: str, **values: int) -> None:
+def recorded(spark: SparkSession, path: str) -> bool:
+    """Whether a record was written in full; a folder that a lost driver left empty does not count."""
+    return exists(spark, path) and not spark.read.schema("_any STRING").json(path).isEmpty()
+
+
+def record(spark: SparkSession, path: str, mode: str, **values: int) -> None:
     schema = ", ".join(f"{name} BIGINT" for name in values)
     row = spark.createDataFrame([tuple(values.values())], schema)
     row.coalesce(1).write.mode(mode).json(path)

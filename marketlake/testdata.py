@@ -308,21 +308,29 @@ def item_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a request log: the type as route and tool, the value as duration."""
+    """events as a request log: four rows a request, the last of them closes it.
+
+    Every fifth request stays open, every seventh fails and has no duration.
+    Method and route stand on the first row and the closing one.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
+    request, row = F.floor(F.col("event_id") / 4), F.col("event_id") % 4
+    closing = (row == 3) & (request % 5 != 0)
+    ends = (row == 0) | closing
     return (
         table(spark, sf_dir, "events")
         .withColumn("k", k)
         .select(
             "ts",
-            F.col("event_id").cast("string").alias("request_id"),
-            (F.col("k") % 5 + 1).alias("iteration"),
+            request.cast("string").alias("request_id"),
+            F.when(row != 0, row.cast("int")).alias("iteration"),
             (F.col("k").cast("bigint") * 10).alias("input_tokens"),
             (F.col("k").cast("bigint") + 1).alias("output_tokens"),
             F.when(F.col("event_type") != "view", F.col("event_type")).alias("tool_name"),
-            (F.col("value") * 10000).alias("duration_ms"),
-            F.when(F.col("k") % 2 == 0, "GET").otherwise("POST").alias("method"),
-            F.col("event_type").alias("route"),
+            F.when(closing & (request % 7 != 0), F.col("value") * 10000).alias("duration_ms"),
+            F.when(ends, F.when(request % 2 == 0, "GET").otherwise("POST")).alias("method"),
+            F.when(ends, F.concat(F.lit("/route"), (request % 3).cast("string"))).alias("route"),
+            F.when(closing, F.when(request % 7 == 0, 500).otherwise(200)).alias("status"),
         )
     )
 

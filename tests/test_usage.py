@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marketlake.operators import usage
 from marketlake.schemas import REQUEST_LOG
-from marketlake.streaming.usage import read_rollup, start_rollup
+from marketlake.streaming.usage import fold_rollup, read_rollup, start_rollup
 
 T0 = datetime.datetime(2024, 1, 1, 23, 58)
 
@@ -14,14 +14,17 @@ def at(seconds):
     return T0 + datetime.timedelta(seconds=seconds)
 
 
-# ts, request, iteration, in, out, tool, duration, method, route
+# ts, request, iteration, in, out, tool, duration, method, route, status
 ROWS = [
-    (at(0), "a", None, 100, 10, "search", None, None, None),
-    (at(10), "a", 2, 200, 20, None, 30_000.0, "POST", "/chat"),
-    (at(70), "b", None, 60, 6, "search", None, None, None),
-    (at(80), "b", None, 60, 6, "prices", None, None, None),
-    (at(119), "b", 4, 0, 0, None, 90_000.0, "POST", "/chat"),
-    (at(125), "c", 1, 30, 3, None, None, "GET", "/prices"),
+    (at(0), "a", 1, 100, 10, "search", None, "POST", "/chat", None),
+    (at(10), "a", 2, 150, 15, None, None, None, None, None),
+    (at(40), "a", None, 50, 5, None, 40_000.0, "POST", "/chat", 200),
+    (at(70), "b", 1, 60, 6, "search", None, "POST", "/chat", None),
+    (at(80), "b", 4, 60, 6, "prices", None, None, None, None),
+    (at(125), "c", 1, 30, 3, None, None, "GET", "/prices", None),
+    # b fails: rounds, but no duration. It is logged after c.
+    (at(119), "b", None, 0, 0, None, None, "POST", "/chat", 500),
+    (at(30), None, 9, None, None, None, None, None, None, None),
 ]
 
 
@@ -47,36 +50,52 @@ def test_rates(log):
     assert rows[0]["cost_per_minute"] == pytest.approx((300 + 30 * 5) / 1e6)
 
 
+def test_requests(log):
+    rows = {r["request_id"]: tuple(r)[1:] for r in usage.requests(log).collect()}
+    assert rows == {
+        "a": (at(0), at(40), 2, 40_000.0, "POST", "/chat"),
+        "b": (at(70), at(119), 4, None, "POST", "/chat"),
+        "c": (at(125), None, 1, None, "GET", "/prices"),
+    }
+
+
 def test_means(log):
     rows = usage.usage_means(log).orderBy("window_start").collect()
-    assert [(r["mean_duration_ms"], r["mean_iterations"]) for r in rows] == [(30_000.0, 2.0), (90_000.0, 4.0)]
+    assert [(r["mean_duration_ms"], r["mean_iterations"]) for r in rows] == [(40_000.0, 2.0), (None, 4.0)]
 
 
 def test_routes(log):
-    rows = usage.usage_routes(log.where("route IS NOT NULL")).collect()
-    assert sorted((r["method"], r["route"], r["requests_per_second"]) for r in rows) == [
-        ("GET", "/prices", 1 / 60), ("POST", "/chat", 1 / 60), ("POST", "/chat", 1 / 60),
-    ]
-
-
-def test_active(spark, log):
-    done = log.where("method IS NOT NULL")
-    rows = usage.usage_active(done).orderBy("window_start").collect()
-    # a: 23:58:10-23:58:40; b: 23:59:59-00:01:29; c: from 00:00:05, not ended
-    assert [(r["window_start"].minute, r["active"]) for r in rows] == [(58, 0), (59, 1), (0, 2), (1, 1)]
-    cut = F.lit(at(130))
-    assert {r["route"]: r["active"] for r in usage.active_at(done, cut).collect()} == {"/chat": 1, "/prices": 1}
-
-
-def test_stream_equals_batch(spark, log, tmp_path):
-    source = str(tmp_path / "log")
-    for i in range(3):
-        spark.createDataFrame(ROWS[2 * i : 2 * i + 2], REQUEST_LOG).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(REQUEST_LOG).option("maxFilesPerTrigger", 1).parquet(source)
-    for name, keys in [("usage_rates", ["window_start"]), ("usage_routes", ["window_start", "method", "route"])]:
-        rollup = getattr(usage, name)
-        out = str(tmp_path / name)
-        start_rollup(stream, rollup, out, f"{out}-c", interval=None).awaitTermination()
-        got = read_rollup(spark, out, keys)
-        expected = rollup(log)
-        assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+    rows = usage.usage_routes(log).collect()
+    assert [(r["method"], r["route"], r["requests_per_second"]) for r in rows] == [("POST", "/chat", 1 / 60)] * 2
+
+
+def test_active(log):
+    rows = usage.usage_active(log).orderBy("window_start").collect()
+    assert [(r["window_start"].minute, r["active"]) for r in rows] == [(58, 0), (59, 0), (0, 1)]
+    for second, chat, prices in [(20, 1, 0), (75, 1, 0), (130, 0, 1), (10**5, 0, 1)]:
+        got = {r["route"]: r["active"] for r in usage.active_at(log, F.lit(at(second))).collect()}
+        assert got == {"/chat": chat, "/prices": prices}
+
+
+@pytest.mark.parametrize("rollup", [usage.rates(), usage.routes()])
+def test_stream_equals_batch(spark, log, tmp_path, rollup):
+    """One row a batch, an hour-late and a day-late one among them, with folds between."""
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    late = [(at(-3600), "l", 1, 7, 1, None, None, "GET", "/late", 200), (at(-86400), "m", 1, 9, 1, None, 5.0, "GET", "/late", 200)]
+    rows = [*ROWS, *late, ROWS[3]]
+
+    def figures(df):
+        return sorted(map(str, df.collect()))
+
+    listed = []
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], REQUEST_LOG).coalesce(1).write.mode("append").parquet(source)
+        if i % 3 == 2 or i == len(rows) - 1:
+            stream = spark.readStream.schema(REQUEST_LOG).option("maxFilesPerTrigger", 1).parquet(source)
+            start_rollup(stream, rollup, out, str(tmp_path / "c"), interval=None).awaitTermination()
+            expected = figures(rollup(spark.createDataFrame(rows[: i + 1], REQUEST_LOG)))
+            assert figures(read_rollup(spark, out, rollup)) == expected
+            assert fold_rollup(spark, out, rollup) == i == fold_rollup(spark, out, rollup)
+            assert figures(read_rollup(spark, out, rollup)) == expected
+            listed.append(sum(1 for p in (tmp_path / "out").rglob("*") if p.is_dir()))
+    assert max(listed) <= 16
