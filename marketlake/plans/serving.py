@@ -6,6 +6,8 @@ sort last. ``orderBy().limit()`` keeps n rows per task and merges those.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ HISTORY_ROWS = 500
 SQL_ROWS = 20
 CHART_BARS = 20
 
+FILES_AS_TABLES = "spark.sql.runSQLOnFiles"
+
 IDS = ("item_id", "world_id", "is_hq", "sale_date")
 
 
@@ -162,23 +166,44 @@ def history_series(page: DataFrame, label: str) -> DataFrame:
     )
 
 
+# The functions that call any method of the JVM.
+JVM_CALLS = ("reflect", "java_method", "try_reflect")
+
+# Between a function's name and its parenthesis only space, a back quote or a comment can stand.
+JVM_CALL = re.compile(rf"\b(?:{'|'.join(JVM_CALLS)})[`\s]*(?:\(|/\*|--)", re.IGNORECASE)
+
+
 def select_only(spark: SparkSession, text: str) -> DataFrame:
     """The result of a query given as text, or as text with a fenced SQL block.
 
     The query runs as a subquery, so that a statement that would change anything
-    does not parse.
+    does not parse. It sees tables and views of the session only: files named by
+    path do not resolve, and functions that call JVM methods are refused (by
+    their text, also where it stands in a literal).
     """
     query = fenced_sql_text(text).rstrip().rstrip(";")
-    return spark.sql(f"SELECT * FROM (\n{query}\n)")
+    if JVM_CALL.search(query):
+        raise ValueError(f"not allowed in a query: {', '.join(JVM_CALLS)}")
+    before = spark.conf.get(FILES_AS_TABLES)
+    spark.conf.set(FILES_AS_TABLES, "false")
+    try:
+        return spark.sql(f"SELECT * FROM (\n{query}\n)")
+    finally:
+        spark.conf.set(FILES_AS_TABLES, before)
 
 
 def run_sql(spark: SparkSession, text: str, max_rows: int = SQL_ROWS) -> dict:
-    """First rows and full row count of a query; an error comes back as data."""
+    """First rows and full row count of a query; an error comes back as data.
+
+    Only a result of more than ``max_rows`` rows is run again, to be counted, which
+    needs neither its order nor most of its columns.
+    """
     sql = fenced_sql_text(text)
     try:
         result = select_only(spark, sql)
-        data = [row.asDict(recursive=True) for row in result.limit(max_rows).collect()]
-        rows = len(data) if len(data) < max_rows else result.count()
+        head = result.limit(max_rows + 1).collect()
+        rows = len(head) if len(head) <= max_rows else result.count()
+        data = [row.asDict(recursive=True) for row in head[:max_rows]]
         return {"sql": sql, "rows": rows, "data": data, "error": None}
     except Exception as error:
         return {"sql": sql, "rows": 0, "data": [], "error": str(error)}

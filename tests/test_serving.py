@@ -85,7 +85,9 @@ def test_run_sql(spark):
 
 @pytest.mark.parametrize(
     "statement",
-    ["DROP VIEW price_summary", "CREATE TABLE t AS SELECT 1", "INSERT INTO price_summary SELECT 1", "SELECT 1) t; DROP VIEW price_summary; SELECT * FROM (SELECT 1"],
+    ["DROP VIEW price_summary", "CREATE TABLE t AS SELECT 1", "INSERT INTO price_summary SELECT 1", "SELECT 1) t; DROP VIEW price_summary; SELECT * FROM (SELECT 1",
+     "SELECT java_method('java.lang.Integer', 'toString', 7)", "SELECT `Reflect` ('java.lang.Integer', 'toString', 7)",
+     "SELECT * FROM (SELECT try_reflect/* x */('java.lang.Integer', 'toString', 7))", "(DROP VIEW price_summary)"],
 )
 def test_only_queries_run(spark, statement):
     mart(spark).createOrReplaceTempView("price_summary")
@@ -93,6 +95,15 @@ def test_only_queries_run(spark, statement):
     assert spark.table("price_summary").count() == 72
 
 
+def test_no_files_by_path(spark, tmp_path):
+    path = str(tmp_path / "secret")
+    spark.range(1).write.parquet(path)
+    assert spark.sql(f"SELECT * FROM parquet.`{path}`").count() == 1
+    assert serving.run_sql(spark, f"SELECT * FROM parquet.`{path}`")["error"]
+    assert spark.sql(f"SELECT * FROM parquet.`{path}`").count() == 1
+    assert serving.run_sql(spark, "SELECT 'reflect' AS x")["data"] == [{"x": "reflect"}]
+
+
 def test_table_columns(spark):
     spark.sql("CREATE TABLE IF NOT EXISTS base_t (b INT, a STRING) USING parquet")
     spark.range(1).createOrReplaceTempView("some_view")
