@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import html
+from collections import Counter
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from marketlake.functions.columns import quality, shorten, thousands
 from marketlake.schemas import ITEM_DOC, QUOTE_DOC, SNAPSHOT_DOC
@@ -152,46 +152,39 @@ def item_details(docs: DataFrame, column: str = "doc") -> DataFrame:
     return details.withColumn("report", report)
 
 
-# Where a news page keeps its entries, their titles and dates.
-ENTRY = r'<li\b[^>]*\bclass="(?:[^"]*\s)?news__list--link(?:\s[^"]*)?"[^>]*>(.*?)</li>'
-LIST = r'<(\w+)\b[^>]*\bclass="(?:[^"]*\s)?news__list(?:\s[^"]*)?"[^>]*>(.*?)</\1>'
-LIST_ENTRY = r"<li\b[^>]*>(.*?)</li>"
-TITLE = r'<(\w+)\b[^>]*\bclass="(?:[^"]*\s)?news__list--title(?:\s[^"]*)?"[^>]*>(.*?)</\1>'
-PARAGRAPH = r"<(p)\b[^>]*>(.*?)</p>"
-TIME = r"<(time)\b[^>]*>(.*?)</time>"
-TIME_CLASS = r'<(\w+)\b[^>]*\bclass="(?:[^"]*\s)?news__list--time(?:\s[^"]*)?"[^>]*>(.*?)</\1>'
+# Where a news page keeps its entries, their titles and dates. A
+# selector is a tag name, or a class name after a dot.
+ENTRY = ".news__list--link"
+LIST = ".news__list"
+TITLES = (".news__list--title", "p")
+DATES = ("time", ".news__list--time")
+
+# Elements without content, and those whose text is not shown.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HIDDEN = frozenset({"script", "style", "template", "rt", "rp"})
 
 
 def page_headlines(
-    pages: DataFrame,
-    n: int = 8,
-    list_region: str | None = LIST,
-    title_patterns: tuple[str, ...] = (TITLE, PARAGRAPH),
+    pages: DataFrame, n: int = 8, lists: str | None = LIST, titles: tuple[str, ...] = TITLES
 ) -> DataFrame:
     """(page_id, position, title, date) of the first ``n`` entries of each page.
 
-    Entries carry a class of their own, or else are list items of a list region
-    (of the whole page if ``list_region`` is None). Pages without any give no
-    rows; ``headline_report`` names them. Patterns read the whole page; comments
-    and scripts are cut out first.
+    Entries are the list items with a class of their own, or else those anywhere
+    inside a list region (on the page if ``lists`` is None), nested ones included.
+    Pages without any give no rows; ``headline_report`` names them.
     """
     return (
-        _headlines(pages, n, list_region, title_patterns)
+        _headlines(pages, n, lists, titles)
         .select("page_id", F.posexplode("headlines").alias("pos", "h"))
-        .select(
-            "page_id",
-            (F.col("pos") + 1).alias("position"),
-            _unescape("h.title").alias("title"),
-            _unescape("h.date").alias("date"),
-        )
+        .select("page_id", (F.col("pos") + 1).alias("position"), "h.title", "h.date")
     )
 
 
 def headline_report(
     pages: DataFrame,
     n: int = 8,
-    list_region: str | None = LIST,
-    title_patterns: tuple[str, ...] = (TITLE, PARAGRAPH),
+    lists: str | None = LIST,
+    titles: tuple[str, ...] = TITLES,
     heading: str = "Latest news:",
 ) -> DataFrame:
     """(page_id, report): the headlines as text, or a note that none were found."""
@@ -201,63 +194,101 @@ def headline_report(
         return F.concat(F.lit("  - "), h["title"], date)
 
     lines = F.array_join(F.transform("headlines", line), "\n")
-    report = F.concat(F.lit(f"{heading}\n"), _unescape(lines))
+    report = F.concat(F.lit(f"{heading}\n"), lines)
     none = F.lit("Could not parse the news page. The page structure may have changed.")
-    return _headlines(pages, n, list_region, title_patterns).select(
+    return _headlines(pages, n, lists, titles).select(
         "page_id", F.when(F.size("headlines") > 0, report).otherwise(none).alias("report")
     )
 
 
 def _headlines(
-    pages: DataFrame, n: int, list_region: str | None, title_patterns: tuple[str, ...]
+    pages: DataFrame, n: int, lists: str | None, titles: tuple[str, ...]
 ) -> DataFrame:
-    """(page_id, headlines): an array of (title, date) per page, entities as they stand."""
+    """(page_id, headlines): an array of (title, date) per page; empty for NULL."""
 
-    def found(text: Column, pattern: str, group: int) -> Column:
-        return F.regexp_extract_all(text, F.lit("(?is)" + pattern), F.lit(group))
+    # Patterns cannot follow nested elements, hence a parser; pages go to it in Arrow batches.
+    @F.pandas_udf("array<struct<title: string, date: string>>")
+    def read(html: pd.Series) -> pd.Series:
+        return html.map(lambda page: _News(page or "", n, lists, titles).headlines())
 
-    body = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
-    region = (
-        F.col("body")
-        if list_region is None
-        else F.array_join(found(F.col("body"), list_region, 2), "\n")
-    )
-    entries = F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("listed"))
-    headlines = F.transform(
-        F.slice(entries, 1, n),
-        lambda e: F.struct(
-            _first_text(e, title_patterns, "Unknown").alias("title"),
-            _first_text(e, (TIME, TIME_CLASS), "").alias("date"),
-        ),
-    )
-    return (
-        pages.select("page_id", body.alias("body"))
-        .select(
-            "page_id",
-            found(F.col("body"), ENTRY, 1).alias("own"),
-            found(region, LIST_ENTRY, 1).alias("listed"),
-        )
-        .select("page_id", headlines.alias("headlines"))
-    )
+    return pages.select("page_id", read("html").alias("headlines"))
 
 
-def _first_text(entry: Column, patterns: tuple[str, ...], missing: str) -> Column:
-    """Text of the first pattern that occurs in the entry."""
-    result = F.lit(missing)
-    for pattern in reversed(patterns):
-        pattern = "(?is)" + pattern
-        inner = F.regexp_extract(entry, pattern, 2)
-        result = F.when(entry.rlike(pattern), _plain(inner)).otherwise(result)
-    return result
-
-
-def _plain(markup: Column) -> Column:
-    """Text pieces between tags, each stripped, put together."""
-    text = F.regexp_replace(markup, r"\s*<[^>]*>\s*", "")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+class _News(HTMLParser):
+    """The first ``n`` entries of one page, read in one pass.
 
+    An end tag closes the nearest open element of its name and all inside it; one
+    without a start is ignored.
+    """
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    # The named entities of HTML have no built-in function; headlines are short.
-    return text.map(html.unescape, na_action="ignore")
+    def __init__(self, page: str, n: int, lists: str | None, titles: tuple[str, ...]):
+        super().__init__()
+        self.n, self.lists, self.titles = n, lists, titles
+        self.own, self.listed = [], []
+        #: open elements as (tag, inside a list region), and how many there are of each tag
+        self.open, self.count = [], Counter()
+        #: what the open elements began, as (depth, entry) and (depth, text): few, as entries are
+        self.entries, self.texts = [], []
+        self.text = []
+        self.feed(page)
+        self.close()
+        self._flush()
+
+    def handle_starttag(self, tag, attrs):
+        self._flush()
+        names = {tag, *(f".{c}" for c in (dict(attrs).get("class") or "").split())}
+        around = bool(self.open) and self.open[-1][1]
+        if tag in VOID:
+            return
+        depth = len(self.open)
+        for _, entry in self.entries:
+            for selector in names.intersection(self.titles + DATES) - entry.keys():
+                entry[selector] = []
+                self.texts.append((depth, entry[selector]))
+        if tag == "li":
+            kinds = [self.own] * (ENTRY in names) + [self.listed] * (around or self.lists is None)
+            wanting = [kind for kind in kinds if len(kind) < self.n]
+            if wanting:
+                self.entries.append((depth, {}))
+            for kind in wanting:
+                kind.append(self.entries[-1][1])
+        self.open.append((tag, around or self.lists in names))
+        self.count[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        self._flush()
+        if not self.count[tag]:
+            return
+        closed = None
+        while closed != tag:
+            closed = self.open.pop()[0]
+            self.count[closed] -= 1
+        for begun in (self.entries, self.texts):
+            while begun and begun[-1][0] >= len(self.open):
+                begun.pop()
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+    def handle_comment(self, data):
+        self._flush()
+
+    def _flush(self):
+        piece = "".join(self.text).strip()
+        self.text.clear()
+        if piece and not (self.open and self.open[-1][0] in HIDDEN):
+            for _, text in self.texts:
+                text.append(piece)
+
+    def headlines(self) -> list[dict[str, str]]:
+        def first(entry: dict, selectors: tuple[str, ...], missing: str) -> str:
+            return next(("".join(entry[s]) for s in selectors if s in entry), missing)
+
+        return [
+            {"title": first(e, self.titles, "Unknown"), "date": first(e, DATES, "")}
+            for e in self.own or self.listed
+        ]

@@ -91,6 +91,19 @@ def test_headlines(spark):
     }
 
 
+def test_headlines_of_nested_lists(spark):
+    page = (
+        "<div class='x news__list'><ul><li><p>One</p><ul><li><p>Inner</p></li></ul></li>"
+        "<LI><p>Two &lt;b&gt;<br>more</p><time>May 1</time></li><li><p>Three</p></li></ul></div><li>outside</li>"
+    )
+    bare = "<ul class=news__list><li class=news__list--link><p class='news__list--title'>Own</p><p>Other"
+    found = [tuple(r)[2:] for r in documents.page_headlines(pages(spark, page)).orderBy("position").collect()]
+    assert found == [("One", ""), ("Inner", ""), ("Two <b>more", "May 1"), ("Three", "")]
+    assert [r.title for r in documents.page_headlines(pages(spark, bare, "", None)).collect()] == ["Own"]
+    many = "<ul class='news__list'>" + "<li><p>open" * 100_000
+    assert documents.page_headlines(pages(spark, many)).count() == 8
+
+
 def test_item_names_from_csv(spark, tmp_path):
     path = tmp_path / "items.csv"
     path.write_text('x,#,Name\n1,0,zero\n1,5,"  Iron, Ore "\n1,6,\n1,,lost\n1,7,"two ""q"""\n')
