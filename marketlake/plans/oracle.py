@@ -493,6 +493,7 @@ ORACLE: dict[str, str] = {
         LOG,
     ),
     "stream_ingest": sql("SELECT * FROM latest_listings", LISTING_EVENTS),
+    "stream_upsert": sql("SELECT * FROM latest_listings", LISTING_EVENTS),
     "stream_latest": sql(
         """SELECT world, dt, COUNT(*) AS sales FROM
         (SELECT DISTINCT item, world, ts, dt FROM sale_events) GROUP BY world, dt""",

@@ -200,11 +200,7 @@ def item_details(m: Market) -> DataFrame:
 
 
 # The test pages carry their list items without classes, as plain links.
-PAGE_OPTIONS = {
-    "n": 8,
-    "list_region": None,
-    "title_patterns": (documents.TITLE, documents.PARAGRAPH, r"<(a)\b[^>]*>(.*?)</a>"),
-}
+PAGE_OPTIONS = {"lists": None, "titles": (*documents.TITLES, "a")}
 
 
 def usage_means(m: Market) -> DataFrame:
@@ -234,6 +230,23 @@ def stream_ingest(m: Market) -> DataFrame:
     return table.read(m.spark)
 
 
+BATCHES = 5
+
+
+def stream_upsert(m: Market) -> DataFrame:
+    """Listings over several batches, versions of a key in any of them: one
+    compaction on the way, another onto that base, and a tail merged on reading."""
+    root = work_path(m.spark, "upsert")
+    events = testdata.listing_events(m.spark, m.dir)
+    table = lake.listings_table(f"{root}/listings")
+    events.repartition(BATCHES).write.text(f"{root}/in")
+    raw = topics.read_topic_files(m.spark, f"{root}/in", maxFilesPerTrigger="1")
+    ingest.start_ingest(
+        raw, table, flatten.parse_listings, f"{root}/checkpoint", interval=None, compact_every=2
+    ).awaitTermination()
+    return table.read(m.spark)
+
+
 def stream_latest(m: Market) -> DataFrame:
     table = _ingest(m, work_path(m.spark, "ingest"), "sales")
     return table.read(m.spark).groupBy("world", "dt").agg(F.count(F.lit(1)).alias("sales"))
@@ -379,6 +392,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     ),
     # Streams and the scheduled run
     "stream_ingest": stream_ingest,
+    "stream_upsert": stream_upsert,
     "stream_latest": stream_latest,
     "stream_rates": stream_rates,
     "pipeline_run": pipeline_run,

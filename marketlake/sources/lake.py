@@ -126,7 +126,7 @@ class LakeTable:
         kept = None
         if version > 0:
             fresh = materialize(merged, "fresh")
-            touched = self._touched(spark, version, fresh, sum(batches.values()))
+            touched = self._touched(spark, version, fresh)
             old = self._base(spark, version, touched)
             merged = self._latest(old.unionByName(fresh))
             kept = self._parts(spark, version).join(touched, PARTITION, "left_anti")
@@ -138,12 +138,15 @@ class LakeTable:
         record(spark, f"{self.path}/snapshots/version={new}", "error", last_batch=max(batches))
         return new
 
-    def _touched(self, spark: SparkSession, version: int, fresh: DataFrame, rows: int) -> DataFrame:
-        """The (world, dt) that hold a new row or an older version of one."""
+    def _touched(self, spark: SparkSession, version: int, fresh: DataFrame) -> DataFrame:
+        """The (world, dt) that hold a new row or an older version of one.
+
+        ``fresh`` is a written table of one row per key, so the planner knows its
+        bytes and broadcasts the keys only below its threshold.
+        """
         touched = fresh.select(*PARTITION)
         if not self.key_fixes_partition:
             keys = fresh.select(*self.keys)
-            keys = F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
             older = self._base(spark, version).join(keys, list(self.keys), "left_semi")
             touched = touched.unionByName(older.select(*PARTITION))
         return materialize(touched.distinct(), "touched")
