@@ -141,7 +141,7 @@ def test_base_scan_is_pruned_to_current_versions(spark, table):
 def test_compaction_reads_touched_partitions_only(spark, table):
     table.append(listings(spark, *[listing(f"k{w}", T0, world=w) for w in range(4)]), 0)
     version = table.compact(spark)
-    touched = table._touched(spark, version, listings(spark, listing("k1", T0 + 1, world=1)), 1)
+    touched = table._touched(spark, version, listings(spark, listing("k1", T0 + 1, world=1)))
     old = table._base(spark, version, touched)
     # the files of the other partitions are not opened: without them all goes well
     for w in (0, 2, 3):
