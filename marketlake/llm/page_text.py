@@ -17,11 +17,10 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -31,8 +30,8 @@ from marketlake.llm import words
 from marketlake.llm.common import located, materialize
 
 FURNITURE, OPEN, MAIN = 0, 1, 2
-#: Pairs of equal lines of two pages up to which the subsequence is the longest.
-PAIRS = 1_000_000
+#: Pairs of lines, a bit each, that a subsequence is followed through at once.
+PAIRS = 100_000_000
 
 #: Elements whose content is never text of the page.
 _HIDDEN = "script|style|noscript|template|textarea|iframe|svg|canvas|object|math|select|head|title"
@@ -120,22 +119,65 @@ def code(line: str) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
-def _ranked(codes: list[int]) -> list[tuple[int, int]]:
-    """Each code with the number of its occurrence."""
-    seen: Counter = Counter()
-    out = []
-    for x in codes:
-        out.append((x, seen[x]))
-        seen[x] += 1
-    return out
+def _rows(one: list[int], two: list[int]) -> Iterator[int]:
+    """After each line of ``one``, where the length of the longest common subsequence with a
+    beginning of ``two`` grows: a bit of 0 at the place where that beginning ends."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(two):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(two)) - 1
+    row = full
+    for x in one:
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _lengths(one: list[int], two: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``one`` with every beginning of ``two``."""
+    row = (1 << len(two)) - 1
+    for row in _rows(one, two):
+        pass
+    bits = np.frombuffer(row.to_bytes(-(-len(two) // 8), "little"), np.uint8)
+    grows = np.unpackbits(bits, bitorder="little")[: len(two)] == 0
+    return np.concatenate(([0], np.cumsum(grows)))
+
+
+def _longest(one: list[int], two: list[int]) -> Iterator[int]:
+    """Places in ``one`` of a longest common subsequence. Of more than ``PAIRS`` pairs of lines
+    ``one`` is halved and ``two`` cut where the lengths of both halves add up to the most."""
+    parts = [(0, len(one), 0, len(two))]
+    while parts:
+        start, end, first, last = parts.pop()
+        if start == end or first == last:
+            continue
+        some, others = one[start:end], two[first:last]
+        if len(some) == 1:
+            if some[0] in others:
+                yield start
+            continue
+        if len(some) * len(others) > PAIRS:
+            half = len(some) // 2
+            after = _lengths(some[:half - 1 : -1], others[::-1])[::-1]
+            cut = first + int(np.argmax(_lengths(some[:half], others) + after))
+            parts += [(start, start + half, first, cut), (start + half, end, cut, last)]
+            continue
+        rows = list(_rows(some, others))
+        i, j = len(some), len(others)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                yield start + i
+                j -= 1
 
 
 def common_lines(one: list[int], two: list[int]) -> set[int]:
-    """Places in ``one`` of a longest common subsequence with ``two``.
+    """Places in ``one`` of a longest common subsequence with ``two``, of pages of any size.
 
-    Equal ends are taken off first. If repeated lines would give more than ``PAIRS`` pairs of
-    places, the n-th occurrence of a line only matches the n-th; the subsequence is then
-    common, but there may be a longer one.
+    Equal ends are taken off first, then lines that the other does not have.
     """
     start = 0
     while start < min(len(one), len(two)) and one[start] == two[start]:
@@ -144,28 +186,10 @@ def common_lines(one: list[int], two: list[int]) -> set[int]:
     while end < min(len(one), len(two)) - start and one[-1 - end] == two[-1 - end]:
         end += 1
     shared = set(range(start)) | set(range(len(one) - end, len(one)))
-    where: dict = {}
-    for j in range(start, len(two) - end):
-        where.setdefault(two[j], []).append(j)
-    if sum(len(where.get(one[i], ())) for i in range(start, len(one) - end)) > PAIRS:
-        one, two = _ranked(one), _ranked(two)
-        where = {two[j]: [j] for j in range(start, len(two) - end)}
-    ends: list[int] = []
-    links: list[tuple[int, tuple | None]] = []
-    for i in range(start, len(one) - end):
-        # From the right, so that one line is matched at most once.
-        for j in reversed(where.get(one[i], ())):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    link = links[-1] if links else None
-    while link:
-        shared.add(link[0])
-        link = link[1]
+    known = set(one[start : len(one) - end]) & set(two[start : len(two) - end])
+    places = [i for i in range(start, len(one) - end) if one[i] in known]
+    other = [x for x in two[start : len(two) - end] if x in known]
+    shared.update(places[i] for i in _longest([one[i] for i in places], other))
     return shared
 
 

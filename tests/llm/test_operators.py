@@ -325,6 +325,27 @@ def test_common_lines(monkeypatch):
     assert page_text.common_lines(one, two) >= {0, 4}
 
 
+@pytest.mark.parametrize("pairs", [0, 200, page_text.PAIRS])
+def test_common_lines_are_the_longest(monkeypatch, pairs):
+    monkeypatch.setattr(page_text, "PAIRS", pairs)
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        one, two = (rng.integers(0, 4, rng.integers(0, 40)).tolist() for _ in range(2))
+        best = np.zeros((len(one) + 1, len(two) + 1), int)
+        for i, x in enumerate(one):
+            for j, y in enumerate(two):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        places = sorted(page_text.common_lines(one, two))
+        rest = iter(two)
+        assert len(places) == best[-1, -1] and all(one[i] in rest for i in places)
+
+
+def test_common_lines_of_many_repeats():
+    """The n-th occurrence need not match the n-th: lines that only one page has shift them."""
+    one, two = [1, 2] * 1500, [3, *[2] * 600, *[1, 2] * 1500, 4]
+    assert len(page_text.common_lines(one, two)) == len(one)
+
+
 def test_decontaminate(spark, odd, empty):
     item = PASSAGE.split()
     changed = item.copy()
