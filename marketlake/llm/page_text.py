@@ -3,9 +3,9 @@
 A page is cut into lines at its block elements. Lines inside menus, headers, footers,
 side columns, notices, adverts, forms and comments are furniture; lines inside an
 article are main; the rest is open. Pages of a host are sorted by URL path, and each
-is paired with the neighbour that shares the longer path prefix. The lines of both that are
-not main are aligned by a longest common subsequence; the shared ones are the template
-of the site and are deleted. Main lines stay even if another page repeats them, as copies
+is paired with the neighbour that shares the longer path prefix; copies and near copies of
+a page, whose text is the same, are passed over. The lines of both are aligned by a longest
+common subsequence; the shared ones are the template of the site and are deleted. Main lines stay even if another page repeats them, as copies
 of an article do; furniture goes even if it is unique.
 
 Neighbours are found on rows of identifier and URL only, dealt by ranges of (host, path),
@@ -18,6 +18,7 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm import words
-from marketlake.llm.common import located, materialize
+from marketlake.llm.common import components, located, materialize
 
 FURNITURE, OPEN, MAIN = 0, 1, 2
 #: Pairs of lines, a bit each, that a subsequence is followed through at once.
 PAIRS = 100_000_000
+#: Percentage of shared lines from which a page is a near copy of another.
+NEAR = 80
 
 #: Elements whose content is never text of the page.
 _HIDDEN = "script|style|noscript|template|textarea|iframe|svg|canvas|object|math|select|head|title"
@@ -204,52 +207,89 @@ def place(url: str | None) -> tuple[str, str]:
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host, path and the lines outside the main text, as codes."""
+    """Host, path and the lines of each page, as codes and kinds."""
     for batch in batches:
         for part in words.slices(batch, "html"):
             hosts, paths = zip(*[place(url) for url in part["url"].to_pylist()])
-            codes = [
-                [code(text) for kind, text in lines(page) if kind != MAIN]
-                for page in pc.fill_null(part["html"], "").to_pylist()
-            ]
+            found = [lines(page) for page in pc.fill_null(part["html"], "").to_pylist()]
+            codes = [[code(text) for _, text in page] for page in found]
+            kinds = [bytes(kind for kind, _ in page) for page in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part["_file"], part["_row"], pa.array(hosts, pa.string()),
-                    pa.array(paths, pa.string()), pa.array(codes, pa.list_(pa.int64())),
+                    part["_file"], part["_row"], pa.array(hosts, pa.string()), pa.array(paths, pa.string()),
+                    pa.array(codes, pa.list_(pa.int64())), pa.array(kinds, pa.binary()),
                 ],
-                names=["_file", "_row", "host", "path", "codes"],
+                names=["_file", "_row", "host", "path", "codes", "kinds"],
             )
 
 
-def _neighbours(outlines: DataFrame) -> DataFrame:
-    """(_file, _row, n_file, n_row): the page of the host with the nearest path.
+def copies(one: bytes, two: bytes, shared: set[int]) -> bool:
+    """Whether a page is a near copy of another, given the kinds of the lines of both and the
+    places of shared ones: most lines are shared, or much of the main text, which no template is."""
+    if 100 * len(shared) >= NEAR * max(len(one), len(two)):
+        return True
+    mine, main = one.count(MAIN), sum(one[at] == MAIN for at in shared)
+    return main > 0 and 2 * main >= mine or main > 1 and 2 * main >= two.count(MAIN)
 
-    Pages are sorted within ranges; the first and last page of a range meet their neighbours
-    through a table of two rows per range.
+
+def _sides(pages: DataFrame) -> DataFrame:
+    """``pages`` (range, host, path, _file, _row, group) with ``prev`` and ``next``, the nearest
+    pages by path on either side that are of another group or host.
+
+    Pages are sorted within ranges; pages next to an end of a range meet those beyond
+    through a table of a row per range.
     """
-    key = F.struct("host", "path", "_file", "_row")
-    ranged = materialize(
-        outlines.select("host", "path", "_file", "_row")
-        .repartitionByRange("host", "path", "_file", "_row")
-        .withColumn("range", F.spark_partition_id()),
-        "page-ranges",
-    )
-    ends = ranged.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last"))
-    over = Window.orderBy("range")  # a row for each range
-    ends = ends.select(
-        "range", F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after")
-    )
+    key = F.struct("host", "path", "_file", "_row", "group")
     inside = Window.partitionBy("range").orderBy("host", "path", "_file", "_row")
-    sides = (
-        ranged.withColumn("prev", F.lag(key).over(inside))
-        .withColumn("next", F.lead(key).over(inside))
-        .join(F.broadcast(ends), "range")  # as many rows as there are partitions
+    sides = pages.withColumn("key", key)
+    for side, beside, run in (
+        ("prev", F.lag("key").over(inside), inside.rowsBetween(Window.unboundedPreceding, 0)),
+        ("next", F.lead("key").over(inside), inside.rowsBetween(0, Window.unboundedFollowing)),
+    ):
+        other = (F.col(f"{side}.host") != F.col("host")) | (F.col(f"{side}.group") != F.col("group"))
+        nearest = F.last if side == "prev" else F.first
+        sides = sides.withColumn(side, beside).withColumn(side, F.when(other, F.col(side)))
+        sides = sides.withColumn(side, nearest(side, ignorenulls=True).over(run))
+    sides = materialize(sides, "page-sides")
+    ends = (
+        sides.groupBy("range")
+        .agg(
+            F.min("key").alias("first"), F.max("key").alias("last"),
+            F.max_by("prev", "key").alias("prev"), F.min_by("next", "key").alias("next"),
+        )
+        .orderBy("range")
+        .collect()  # as many rows as there are partitions
+    )
+
+    def beyond(ranges: list, page, end: str, other: str):
+        """Of the ranges from the nearest on, the first page of another run than ``page``."""
+        for r in ranges:
+            if (r[end].host, r[end].group) != (page.host, page.group):
+                return r[end]
+            if r[other]:
+                return r[other]
+        return None
+
+    met = [
+        (r.range, beyond(ends[:n][::-1], r.first, "last", "prev"), beyond(ends[n + 1 :], r["last"], "first", "next"))
+        for n, r in enumerate(ends)
+    ]
+    page = sides.schema["key"].dataType.simpleString()
+    met = pages.sparkSession.createDataFrame(met, f"range int, before {page}, after {page}")
+    return (
+        sides.join(F.broadcast(met), "range")
         .withColumn("prev", F.coalesce("prev", "before"))
         .withColumn("next", F.coalesce("next", "after"))
     )
 
+
+def _neighbours(pages: DataFrame) -> DataFrame:
+    """(_file, _row, group, n_file, n_row, n_group): the page of the host with the nearest path
+    that is of another group."""
+    sides = _sides(pages)
+
     def alike(side: str):
-        """Length of the common path prefix; NULL for another host or an unknown one."""
+        """Length of the common path prefix; NULL for another host."""
         n = F.least(F.length("path"), F.length(f"{side}.path"))
         same = F.aggregate(
             F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
@@ -259,24 +299,79 @@ def _neighbours(outlines: DataFrame) -> DataFrame:
                 i,
             ).otherwise(k),
         )
-        return F.when((F.col(f"{side}.host") == F.col("host")) & (F.col("host") != ""), same)
+        return F.when(F.col(f"{side}.host") == F.col("host"), same)
 
     prev, after = alike("prev"), alike("next")
     near = F.when(F.coalesce(prev, F.lit(-1)) >= F.coalesce(after, F.lit(-1)), F.col("prev")).otherwise(F.col("next"))
     return (
         sides.withColumn("near", F.when(prev.isNotNull() | after.isNotNull(), near))
         .where("near IS NOT NULL")
-        .select("_file", "_row", F.col("near._file").alias("n_file"), F.col("near._row").alias("n_row"))
+        .select(
+            "_file", "_row", "group", F.col("near._file").alias("n_file"),
+            F.col("near._row").alias("n_row"), F.col("near.group").alias("n_group"),
+        )
     )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs = zip(batch["codes"].to_pylist(), batch["n_codes"].to_pylist())
-        found = [sorted(common_lines(one, two)) for one, two in pairs]
+        names = ("codes", "n_codes", "kinds", "n_kinds")
+        found, near = [], []
+        for one, two, kinds, n_kinds in zip(*[batch[x].to_pylist() for x in names]):
+            shared = common_lines(one, two)
+            near.append(copies(kinds, n_kinds, shared))
+            found.append([] if near[-1] else sorted(shared))
         yield pa.RecordBatch.from_arrays(
-            [batch["_file"], batch["_row"], pa.array(found, pa.list_(pa.int32()))],
-            names=["_file", "_row", "shared"],
+            [*[batch[x] for x in ("_file", "_row", "group", "n_group")], pa.array(near, pa.bool_()),
+             pa.array(found, pa.list_(pa.int32()))],
+            names=["_file", "_row", "group", "n_group", "copy", "shared"],
+        )
+
+
+def _differences(outlines: DataFrame) -> DataFrame:
+    """(_file, _row, shared): the lines that a page shares with the nearest page of its host that
+    is no copy or near copy of it. Pages without such a page have no row.
+
+    Pages of a host with the same lines are a group. Where the nearest page of another
+    group proves to be a near copy, both groups become one and the page looks further,
+    so most pages are done in the first round and copies in one or two more.
+    """
+    pages = materialize(
+        outlines.where("host <> ''")
+        .select("host", "path", "_file", "_row", F.xxhash64("host", "codes").alias("group"))
+        .repartitionByRange("host", "path", "_file", "_row")
+        .withColumn("range", F.spark_partition_id()),
+        "page-ranges",
+    )
+    mine = outlines.select("_file", "_row", "codes", "kinds")
+    other = outlines.select(
+        F.col("_file").alias("n_file"), F.col("_row").alias("n_row"),
+        F.col("codes").alias("n_codes"), F.col("kinds").alias("n_kinds"),
+    )
+    done, left = [], None
+    while True:
+        pairs = _neighbours(pages)
+        if left is not None:
+            pairs = pairs.join(left, ["_file", "_row"], "left_semi")
+        found = materialize(
+            pairs.join(other, ["n_file", "n_row"])
+            .join(mine, ["_file", "_row"])
+            .select("_file", "_row", "group", "n_group", "codes", "n_codes", "kinds", "n_kinds")
+            .mapInArrow(
+                _compared,
+                "_file string, _row long, group long, n_group long, copy boolean, shared array<int>",
+            ),
+            "page-compared",
+        )
+        done.append(found.where("NOT copy").select("_file", "_row", "shared"))
+        left = found.where("copy")
+        if left.isEmpty():
+            return reduce(DataFrame.union, done)
+        roots = components(left.select(F.col("group").alias("a"), F.col("n_group").alias("b")))
+        pages = materialize(
+            pages.join(roots, F.col("group") == F.col("node"), "left")
+            .select("range", "host", "path", "_file", "_row", F.coalesce("root", "group").alias("group")),
+            "page-groups",
         )
 
 
@@ -286,16 +381,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             pages = pc.fill_null(part["html"], "").to_pylist()
             for page, shared in zip(pages, part["shared"].to_pylist()):
-                shared, kept, at = set(shared or ()), [], 0
+                shared, kept = set(shared or ()), []
                 cut = lines(page)
                 main = any(kind == MAIN for kind, _ in cut)
-                for kind, text in cut:
-                    if kind == MAIN:
-                        kept.append(text)
-                        continue
-                    if kind == OPEN and at not in shared and not main:
+                for at, (kind, text) in enumerate(cut):
+                    if kind == MAIN or kind == OPEN and at not in shared and not main:
                         kept.append(text)
-                    at += 1
                 out.append(" ".join(kept))
             yield pa.RecordBatch.from_arrays(
                 [part["page_id"], part["url"], pa.array(out, pa.string()),
@@ -308,31 +399,20 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) for every row of ``pages`` (page_id, url, html).
 
     ``text`` joins the main lines by one blank; of a page without an article these are the
-    open lines that the nearest page of the host does not share. ``n_shared`` counts the
-    lines outside the main text that it shares. NULL and empty html gives an empty text.
-    Pages without a URL or alone on their host have no neighbour. Repeated rows are pages
-    of their own. Other columns are not read.
+    open lines that the nearest page of the host does not share, copies and near copies left
+    out. ``n_shared`` counts the lines that it shares. NULL and empty html gives an empty text.
+    Pages without a URL, alone on their host or with copies only have no neighbour. Repeated
+    rows are pages of their own. Other columns are not read.
     """
     rows = located(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
     outlines = materialize(
         rows.select("_file", "_row", "url", "html").mapInArrow(
-            _outlines, "_file string, _row long, host string, path string, codes array<long>"
+            _outlines,
+            "_file string, _row long, host string, path string, codes array<long>, kinds binary",
         ),
         "page-outlines",
     )
-    codes = outlines.select("_file", "_row", "codes")
-    other = outlines.select(
-        F.col("_file").alias("n_file"), F.col("_row").alias("n_row"), F.col("codes").alias("n_codes")
-    )
-    shared = materialize(
-        _neighbours(outlines)
-        .join(other, ["n_file", "n_row"])
-        .join(codes, ["_file", "_row"])
-        .select("_file", "_row", "codes", "n_codes")
-        .mapInArrow(_shared, "_file string, _row long, shared array<int>")
-        .where(F.size("shared") > 0),
-        "page-shared",
-    )
+    shared = _differences(outlines)
     return (
         rows.join(shared, ["_file", "_row"], "left")
         .select("page_id", "url", "html", "shared")

@@ -318,6 +318,26 @@ def test_page_text(spark, pages):
     assert page_text.main_text(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_page_text_of_copies(spark, partitions):
+    """Copies and near copies by URL keep their text; the template goes where another page shows it."""
+    lines = [f"line {k}" for k in range(12)]
+    page = lambda x: "".join(f"<p>{y}</p>" for y in ["Top", *x, "Bottom"])
+    near = ["changed", *lines[1:]]
+    rows = [
+        (1, "http://c.example/a", page(lines)), (2, "http://c.example/a", page(lines)),
+        (3, "http://www.c.example/a?again", page(near)), (4, "http://c.example/b", page(lines)),
+        (5, "http://c.example/z", page(["other"])),
+        (6, "http://d.example/a", "<p>same</p>"), (7, "http://d.example/b", "<p>same</p>"),
+    ]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
+    found = {r.page_id: r.text for r in page_text.main_text(docs).collect()}
+    text = " ".join(lines)
+    assert found == {
+        1: text, 2: text, 3: " ".join(near), 4: text, 5: "other", 6: "same", 7: "same",
+    }
+
+
 def test_common_lines(monkeypatch):
     one, two = [1, 2, 3, 2, 9], [1, 3, 2, 2, 9]
     assert len(page_text.common_lines(one, two)) == 4
