@@ -1,12 +1,13 @@
-"""Main text of web pages: structure, and the difference to the nearest page of the host.
+"""Main text of web pages: the difference to the nearest page of the host, checked by structure.
 
-A page is cut into lines at its block elements. Lines inside menus, headers, footers,
-side columns, notices, adverts, forms and comments are furniture; lines inside an
-article are main; the rest is open. Pages of a host are sorted by URL path, and each
-is paired with the neighbour that shares the longer path prefix; copies and near copies of
-a page, whose text is the same, are passed over. The lines of both are aligned by a longest
-common subsequence; the shared ones are the template of the site and are deleted. Main lines stay even if another page repeats them, as copies
-of an article do; furniture goes even if it is unique.
+A page is cut into lines at its block elements. Pages of a host are sorted by URL path, and
+each is paired with the neighbour that shares the longer path prefix; copies and near
+copies of a page, whose text is the same, are passed over. The lines of both are aligned by
+a longest common subsequence; the shared ones, wherever they stand, are the template of
+the site and are deleted. Structure checks what is left: lines inside menus, headers,
+footers, side columns, notices, adverts, forms and comments are furniture that differs
+from page to page, and go as well. Lines inside an article are main, the rest is open.
+A page without a neighbour is left to structure: its main lines, or else its open ones.
 
 Neighbours are found on rows of identifier and URL only, dealt by ranges of (host, path),
 so a host with a third of all pages is spread over many tasks.
@@ -239,17 +240,18 @@ def _sides(pages: DataFrame) -> DataFrame:
     Pages are sorted within ranges; pages next to an end of a range meet those beyond
     through a table of a row per range.
     """
-    key = F.struct("host", "path", "_file", "_row", "group")
-    inside = Window.partitionBy("range").orderBy("host", "path", "_file", "_row")
+    names = ("host", "path", "_file", "_row")
+    key = F.struct(*names, "group")
+    inside = Window.partitionBy("range").orderBy(*names)
+    back = Window.partitionBy("range").orderBy(*[F.desc(name) for name in names])
     sides = pages.withColumn("key", key)
-    for side, beside, run in (
-        ("prev", F.lag("key").over(inside), inside.rowsBetween(Window.unboundedPreceding, 0)),
-        ("next", F.lead("key").over(inside), inside.rowsBetween(0, Window.unboundedFollowing)),
-    ):
+    # Either way from the start of the window: a frame to its end is added up again for each row.
+    for side, over in (("prev", inside), ("next", back)):
+        beside = F.lag("key").over(over)
         other = (F.col(f"{side}.host") != F.col("host")) | (F.col(f"{side}.group") != F.col("group"))
-        nearest = F.last if side == "prev" else F.first
         sides = sides.withColumn(side, beside).withColumn(side, F.when(other, F.col(side)))
-        sides = sides.withColumn(side, nearest(side, ignorenulls=True).over(run))
+        run = over.rowsBetween(Window.unboundedPreceding, 0)
+        sides = sides.withColumn(side, F.last(side, ignorenulls=True).over(run))
     sides = materialize(sides, "page-sides")
     ends = (
         sides.groupBy("range")
@@ -381,12 +383,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             pages = pc.fill_null(part["html"], "").to_pylist()
             for page, shared in zip(pages, part["shared"].to_pylist()):
-                shared, kept = set(shared or ()), []
                 cut = lines(page)
-                main = any(kind == MAIN for kind, _ in cut)
-                for at, (kind, text) in enumerate(cut):
-                    if kind == MAIN or kind == OPEN and at not in shared and not main:
-                        kept.append(text)
+                if shared is None:
+                    least = max((kind for kind, _ in cut), default=OPEN)
+                else:
+                    least, gone = OPEN, set(shared)
+                    cut = [line for at, line in enumerate(cut) if at not in gone]
+                kept = [text for kind, text in cut if kind >= max(least, OPEN)]
                 out.append(" ".join(kept))
             yield pa.RecordBatch.from_arrays(
                 [part["page_id"], part["url"], pa.array(out, pa.string()),
@@ -398,11 +401,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) for every row of ``pages`` (page_id, url, html).
 
-    ``text`` joins the main lines by one blank; of a page without an article these are the
-    open lines that the nearest page of the host does not share, copies and near copies left
-    out. ``n_shared`` counts the lines that it shares. NULL and empty html gives an empty text.
-    Pages without a URL, alone on their host or with copies only have no neighbour. Repeated
-    rows are pages of their own. Other columns are not read.
+    ``text`` joins by one blank the lines that the nearest page of the host does not share, copies
+    and near copies left out, but for those that structure tells to be furniture. Pages without
+    a URL, alone on their host or with copies only have no neighbour: of these it joins the
+    main lines or, without any, the open ones. ``n_shared`` counts the lines shared. NULL and
+    empty html gives an empty text. Repeated rows are pages of their own. Other columns are
+    not read.
     """
     rows = located(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
     outlines = materialize(

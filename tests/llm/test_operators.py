@@ -338,6 +338,18 @@ def test_page_text_of_copies(spark, partitions):
     }
 
 
+def test_page_text_by_difference_in_articles(spark):
+    """The difference to the neighbour decides inside and outside of articles."""
+    html = "<nav>Home {0}</nav><p>Site</p><p>Lead {0}</p><article><p>{0}</p><p>{0} more</p><p>Read on</p></article>"
+    rows = [(i, f"http://h.example/{i}", html.format(x)) for i, x in enumerate(["one", "two"])]
+    rows.append((2, "http://alone.example/", html.format("three")))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: (r.text, r.n_shared) for r in page_text.main_text(docs).collect()}
+    assert found == {
+        0: ("Lead one one one more", 2), 1: ("Lead two two two more", 2), 2: ("three three more Read on", 0),
+    }
+
+
 def test_common_lines(monkeypatch):
     one, two = [1, 2, 3, 2, 9], [1, 3, 2, 2, 9]
     assert len(page_text.common_lines(one, two)) == 4
