@@ -48,9 +48,7 @@ NULL_ID = -(1 << 63)
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 def _byte_characters() -> dict[int, str]:

@@ -180,6 +180,13 @@ def test_token_file(spark, sf_dir, odd, tmp_path):
         token_file.fetch(bytes(data), table[0], width)
 
 
+def test_token_file_special_tokens():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, full = token_file.WordCoder(path), Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|> é<|endoftext|>"):
+        assert coder.encode(text) == np.array(full.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+
 def test_token_file_empty(spark, empty):
     assert token_file.digests(empty).count() == 0
 
