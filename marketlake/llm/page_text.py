@@ -335,8 +335,7 @@ def _differences(outlines: DataFrame) -> DataFrame:
     is no copy or near copy of it. Pages without such a page have no row.
 
     Pages of a host with the same lines are a group. Where the nearest page of another
-    group proves to be a near copy, both groups become one and the page looks further,
-    so most pages are done in the first round and copies in one or two more.
+    group proves to be a near copy, both groups become one and the page looks further.
     """
     pages = materialize(
         outlines.where("host <> ''")
