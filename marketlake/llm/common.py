@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlake.session import materialize, work_path
@@ -35,13 +35,53 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_file`` and ``_row``; rows that come from no file are written first."""
-    place = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-    try:
-        return docs.select("*", *place)
-    except AnalysisException:
-        return materialize(docs, "content").select("*", *place)
+def located(docs: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """``docs`` with its place in two columns; rows that come from no file are written first.
+
+    The names of the two must be free. A column ``_metadata`` of ``docs`` does not matter.
+    """
+    for rows in (docs, None):
+        rows = materialize(docs, "content") if rows is None else rows
+        try:
+            place = rows.metadataColumn("_metadata")
+            return rows.select("*", place["file_path"].alias(file), place["row_index"].alias(row))
+        except AnalysisException:
+            pass
+    raise AnalysisException("written rows have no place")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``docs`` has no such column in any case."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """``rows`` with their place in a total order, from 0.
+
+    Rows are dealt by ranges of ``order`` and written sorted; a table with a row per
+    partition says how many rows stand before each. No task sees more than a range.
+    """
+    placed = materialize(
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn(name, F.monotonically_increasing_id()),
+        "numbered",
+    )
+    part = F.shiftright(name, 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = sizes.select(
+        F.col("_part").alias("_of"),
+        (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"),
+    )
+    inside = F.col(name).bitwiseAND((1 << 33) - 1)
+    return (
+        placed.join(F.broadcast(before), part == F.col("_of"))  # a row per partition
+        .withColumn(name, F.col("_before") + inside)
+        .drop("_of", "_before")
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -84,5 +124,6 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "DOCUMENT", "components", "importable", "located", "lower_ascii", "materialize", "table", "work_path",
+    "DOCUMENT", "components", "free_name", "importable", "located", "lower_ascii", "materialize",
+    "numbered", "table", "work_path",
 ]
