@@ -29,9 +29,13 @@ TUPLE = 2
 SKETCHES = 64
 
 
-def kmers(text: Column, k: int = K) -> Column:
+def tokens(text: Column) -> Column:
+    """Hashes of the tokens of a text in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x))
+
+
+def kmers(tokens: Column, k: int = K) -> Column:
     """Hashes of the k-mers of a text in order; of fewer tokens, the whole sequence is one."""
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x))
     found = tokens
     for i in range(1, k):
         shifted = F.slice(tokens, i + 1, F.greatest(F.size(tokens) - i, F.lit(0)))
@@ -61,8 +65,9 @@ def fingerprints(texts: DataFrame, *key: str, k: int = K, size: int = TUPLE, ske
     counts as an empty text; texts without tokens are alike.
     """
     parts = size * sketches
-    text = F.coalesce("text", F.lit(""))
-    rows = texts.select(*key, F.posexplode_outer(kmers(text, k)).alias("at", "kmer"))
+    # Tokens in a step of their own: the k-mers take them several times.
+    cut = texts.select(*key, tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    rows = cut.select(*key, F.posexplode_outer(kmers(F.col("tokens"), k)).alias("at", "kmer"))
     # The k-mer first: rows are sorted by it, and the columns of the key hardly ever decide.
     same = Window.partitionBy("kmer", *key).orderBy("at")
     numbered = rows.withColumn("hash", F.xxhash64("kmer", F.row_number().over(same)))

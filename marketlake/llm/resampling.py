@@ -39,15 +39,13 @@ def words(text: Column) -> Column:
 
 def buckets(words: Column, run: int = RUN, n: int = BUCKETS) -> Column:
     """The bucket of every run of up to ``run`` words, repeats included."""
-    found = []
+    found, runs = [], words
     for k in range(1, run + 1):
-        runs = words
         if k > 1:
-            starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1))
-            runs = F.transform(
-                F.coalesce(starts, F.array().cast("array<int>")),
-                lambda i, k=k: F.array_join(F.slice(words, i, k), " "),
-            )
+            # Each run with the word after it. Shifted arrays, since a lambda would split the text again.
+            more = F.greatest(F.size(words) - (k - 1), F.lit(0))
+            last = F.slice(words, F.lit(k), more)
+            runs = F.zip_with(F.slice(runs, F.lit(1), more), last, lambda a, b: F.concat(a, F.lit(" "), b))
         found.append(F.transform(runs, lambda x: (F.crc32(x.cast("binary")) % n).cast("int")))
     return F.concat(*found)
 
