@@ -8,15 +8,17 @@ that is not. The selected k-mers of ``TUPLE`` ranges, in the order of the text,
 one value of the fingerprint. The likeness of two texts is the share of equal values:
 k-mers that moved past each other give other tuples.
 
-Everything is expressed with DataFrame functions, and no text is gathered in a group: its
-k-mers are rows, dealt by document, sorted and aggregated where they are.
+Everything is expressed with DataFrame functions on arrays of 64-bit integers, one text at a
+time and without a shuffle. Places of k-mers are kept in the lowest bits of their hashes, as
+many as the text needs, so that one sort of integers brings equal k-mers together in order
+of the text, and another the least of each range to its front.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import located, materialize, numbered
@@ -43,42 +45,92 @@ def kmers(tokens: Column, k: int = K) -> Column:
     return F.slice(found, 1, F.greatest(F.size(tokens) - (k - 1), F.least(F.size(tokens), F.lit(1))))
 
 
-def _values(ranges: Column, size: int, sketches: int) -> Column:
-    """The values of a fingerprint, from its selected k-mers (range, hash, at) sorted by range."""
+def fingerprints(
+    texts: DataFrame, column: str = "text", name: str = "values", k: int = K, size: int = TUPLE, sketches: int = SKETCHES
+) -> DataFrame:
+    """``texts`` with the fingerprint of the text in ``column`` as ``name``, an array of integers.
 
-    def value(i: Column) -> Column:
-        picked = F.transform(
-            F.sequence(i * size, i * size + size - 1),
-            # Of an empty range, the next that is not, or else the first.
-            lambda r: F.coalesce(F.get(F.filter(ranges, lambda x: x["range"] >= r), F.lit(0)), F.get(ranges, F.lit(0))),
-        )
-        in_order = F.array_sort(F.transform(picked, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"))))
-        return F.hash(F.transform(in_order, lambda x: x["hash"]))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), value)
-
-
-def fingerprints(texts: DataFrame, *key: str, k: int = K, size: int = TUPLE, sketches: int = SKETCHES) -> DataFrame:
-    """(*key, values): the fingerprint of each row of ``texts`` (*key, text), an array of integers.
-
-    ``key`` must be unique. If ``texts`` are dealt by some of its columns, nothing is shuffled. NULL
-    counts as an empty text; texts without tokens are alike.
+    NULL counts as an empty text; texts without tokens are alike. ``size`` times ``sketches`` must be
+    a power of 2. Names that begin with ``name`` and a dot must be free.
     """
     parts = size * sketches
-    # Tokens in a step of their own: the k-mers take them several times.
-    cut = texts.select(*key, tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    rows = cut.select(*key, F.posexplode_outer(kmers(F.col("tokens"), k)).alias("at", "kmer"))
-    # The k-mer first: rows are sorted by it, and the columns of the key hardly ever decide.
-    same = Window.partitionBy("kmer", *key).orderBy("at")
-    numbered = rows.withColumn("hash", F.xxhash64("kmer", F.row_number().over(same)))
-    least = (
-        numbered.withColumn("range", F.when(F.col("kmer").isNotNull(), F.pmod("hash", F.lit(parts))))
-        .groupBy(*key, "range")
-        .agg(F.min("hash").alias("hash"), F.min_by("at", "hash").alias("at"))
+    if parts & parts - 1:
+        raise ValueError("size times sketches must be a power of 2")
+    at = {
+        step: f"{name}.{step}"
+        for step in ("tokens", "kmers", "low", "sorted", "first", "later", "starts", "hashed", "least", "filled")
+    }
+    cut, kmer, low, ordered, first, later, starts, hashed, least, filled = [F.col(f"`{x}`") for x in at.values()]
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(low).cast("int")
+
+    def upper(x: Column) -> Column:
+        return x.bitwiseAND(-low - 1)
+
+    def number(x: Column, occurrence: Column) -> Column:
+        """The hash of a k-mer and its occurrence number, packed with the place."""
+        return upper(F.xxhash64(F.get(kmer, place(x)), occurrence)).bitwiseOR(x.bitwiseAND(low))
+
+    def range_of(x: Column) -> Column:
+        """The range of a hash; ranges ascend with the hashes."""
+        return F.shiftright(x, 65 - parts.bit_length())
+
+    # The k-mers that occur again stand in runs; the i-th of a run, from 0, has the number i + 2.
+    length = lambda s, i: F.coalesce(F.get(starts, i + 1), F.size(later)) - s
+    again = F.flatten(
+        F.transform(
+            starts,
+            lambda s, i: F.transform(
+                F.slice(later, s + 1, length(s, i)), lambda x, j: number(F.coalesce(x, F.lit(0).cast("long")), j + 2)
+            ),
+        )
     )
-    picked = F.array_sort(F.collect_list(F.when(F.col("range").isNotNull(), F.struct("range", "hash", "at"))))
-    return least.groupBy(*key).agg(picked.alias("ranges")).select(
-        *key, _values(F.col("ranges"), size, sketches).alias("values")
+    picked = F.filter(hashed, lambda x, i: ~range_of(x).eqNullSafe(range_of(F.get(hashed, i - 1))))
+    # What an empty range takes: the selection of the next, after the last that of the first.
+    ends = F.transform(
+        least, lambda x, i: F.array_repeat(x, x["range"] - F.coalesce(F.get(least, i - 1)["range"], F.lit(-1)))
+    )
+    last = F.coalesce(F.get(least, F.size(least) - 1)["range"], F.lit(-1))
+    values = F.transform(
+        F.sequence(F.lit(0), (F.size(filled) / size).cast("int") - 1),
+        lambda i: F.hash(F.transform(F.sort_array(F.slice(filled, i * size + 1, size)), lambda x: x["kmer"])),
+    )
+    # A step that a lambda or several places of the next one read is a column of its own.
+    digits = F.length(F.bin(F.size(kmer)))
+    return (
+        texts.withColumn(at["tokens"], tokens(F.coalesce(column, F.lit(""))))
+        .withColumn(at["kmers"], kmers(cut, k))
+        .drop(at["tokens"])
+        .withColumn(at["low"], F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), digits) - 1, F.lit(0)))
+        .withColumn(at["sorted"], F.sort_array(F.transform(kmer, lambda x, i: upper(x).bitwiseOR(i.cast("long")))))
+        .withColumn(at["first"], F.filter(ordered, lambda x, i: ~upper(x).eqNullSafe(upper(F.get(ordered, i - 1)))))
+        .withColumn(at["later"], F.array_except(ordered, first))
+        .withColumn(
+            at["starts"],
+            F.filter(
+                F.sequence(F.lit(0), F.size(later)),
+                lambda i: (i < F.size(later)) & ~upper(F.get(later, i)).eqNullSafe(upper(F.get(later, i - 1))),
+            ),
+        )
+        .withColumn(at["hashed"], F.sort_array(F.concat(F.transform(first, lambda x: number(x, F.lit(1))), again)))
+        .withColumn(
+            at["least"],
+            F.transform(
+                picked,
+                lambda x: F.struct(
+                    place(x).alias("at"),
+                    F.get(kmer, place(x)).alias("kmer"),
+                    (range_of(x) + parts // 2).cast("int").alias("range"),
+                ),
+            ),
+        )
+        .withColumn(
+            at["filled"],
+            F.concat(F.flatten(ends), F.array_repeat(F.get(least, F.lit(0)), F.lit(parts - 1) - last)),
+        )
+        .withColumn(name, values)
+        .drop(*at.values())
     )
 
 
@@ -154,21 +206,14 @@ def digests(docs: DataFrame) -> DataFrame:
     rows = _placed(docs)
     followers = _followers(rows)
     pairs = edited(rows, followers)
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"))
-    )
-    both = pairs.select("file", "row", F.explode(sides).alias("x")).select("file", "row", "x.side", "x.text")
-
-    def of(side: int) -> Column:
-        return F.first(F.when(F.col("side") == side, F.col("values")), ignorenulls=True)
-
-    found = fingerprints(both, "file", "row", "side").groupBy("file", "row").agg(
-        of(0).alias("mine"), of(1).alias("changed")
-    )
-    facts = pairs.select(
-        "file", "row", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
+    found = fingerprints(fingerprints(pairs, "text", "mine"), "edited", "changed")
+    found = materialize(
+        found.select(
+            "file", "row", "mine", "changed", F.length("text").cast("long").alias("n_chars"),
+            F.sha2("edited", 256).alias("edited_sha256"),
+        ),
+        "fingerprints",
     )
-    found = materialize(found.join(facts, ["file", "row"]), "fingerprints")
     following = followers.join(found.select("file", "row", F.col("mine").alias("next")), ["file", "row"])
     following = following.select(
         F.col("p_file").alias("file"), F.col("p_row").alias("row"), F.col("p_doc_id").alias("doc_id"), "next"

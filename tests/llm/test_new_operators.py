@@ -237,7 +237,7 @@ def signed(x):
 
 def chained(*values, seed=42):
     for x in values:
-        data = x.encode() if isinstance(x, str) else x.to_bytes(8 if abs(x) >= 1 << 31 else 8, "little", signed=True)
+        data = x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True)
         seed = xxhash.xxh64_intdigest(data, seed)
     return signed(seed)
 
@@ -249,17 +249,16 @@ def selected(text, k=2, size=2, sketches=64):
     seen, least = {}, {}
     for at, gram in enumerate(grams):
         seen[gram] = seen.get(gram, 0) + 1
-        value = int.from_bytes(signed(xxhash.xxh64_intdigest(
-            seen[gram].to_bytes(4, "little"), chained(gram) & ((1 << 64) - 1))).to_bytes(8, "little", signed=True), "little", signed=True)
-        r = value % (size * sketches)
+        value = signed(xxhash.xxh64_intdigest(seen[gram].to_bytes(4, "little"), chained(gram) & ((1 << 64) - 1)))
+        r = (value + (1 << 63)) * size * sketches >> 64
         least[r] = min(least.get(r, (value, at)), (value, at))
     out = []
     for i in range(sketches):
         picked = []
         for r in range(i * size, i * size + size):
-            at = next((x for x in sorted(least) if x >= r), min(least, default=None))
-            picked.append((least[at][1], least[at][0]) if at is not None else ())
-        out.append(tuple(x[1] if x else None for x in sorted(picked)))
+            near = next((x for x in sorted(least) if x >= r), min(least, default=None))
+            picked.append((least[near][1], grams[least[near][1]]) if near is not None else (0, None))
+        out.append(tuple(x for _, x in sorted(picked)))
     return out
 
 
@@ -294,7 +293,7 @@ def test_fingerprints_see_order(spark):
     rng = random.Random(9)
     lines = [f"line{i} {' '.join(str(rng.random()) for _ in range(12))}" for i in range(60)]
     texts = spark.createDataFrame([(0, " ".join(lines)), (1, " ".join(lines[::-1])), (2, " ".join(lines[:57]))], "id int, text string")
-    values = {r.id: r["values"] for r in fingerprints.fingerprints(texts, "id").collect()}
+    values = {r.id: r["values"] for r in fingerprints.fingerprints(texts).collect()}
     near = lambda a, b: sum(x == y for x, y in zip(values[a], values[b])) / 64
     assert near(0, 1) < 0.65 and near(0, 2) > 0.75
 
