@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text in a slice, about.
 SLICE = 2 << 20
+#: Bytes of text whose anchors and windows fall into one bucket, about.
+BUCKET = 8 << 20
 
 _QUESTION = "bucket int, slice long, hashes binary, docs binary"
 _ANSWER = "slice long, bucket int, hashes binary"
@@ -49,10 +52,11 @@ class _Words:
         self.starts, self.ends, self.hashes, first = words.split(self.data, bounds, lower=False)
         self.first = first
         n = np.diff(first)
-        doc = table["doc_id"].to_numpy()
-        known = ~np.isnan(doc) if doc.dtype.kind == "f" else np.ones(len(doc), bool)
+        # Values and NULLs apart: together they would become floats, which are not exact.
+        known = pc.is_valid(table["doc_id"]).to_numpy().astype(bool)
+        doc = pc.fill_null(table["doc_id"], 0).to_numpy()
         self.row = np.repeat(np.arange(len(n)), n)
-        self.doc = np.where(known, doc, 0).astype(np.int64)[self.row]
+        self.doc = doc.astype(np.int64)[self.row]
         self.place = np.arange(len(self.hashes)) - first[self.row]
         left = first[1:][self.row] - np.arange(len(self.hashes))
         total = n[self.row]
@@ -230,10 +234,10 @@ def kept_words(docs: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(-(-size // SLICE), 1)
-    buckets = 2 * partitions
-    dealt = texts.withColumn(
-        "slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices).cast("long"))
-    ).repartition(partitions, "slice")
+    buckets = max(2 * partitions, -(-size // BUCKET))
+    # The row's number deals repeated rows over all slices.
+    key = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    dealt = texts.withColumn("slice", F.pmod(key, F.lit(slices).cast("long"))).repartition(partitions, "slice")
     by_slice = dealt.groupBy("slice")
     anchors = (
         by_slice.applyInArrow(lambda table: _ask_anchors(buckets, table), _QUESTION)
