@@ -124,59 +124,103 @@ def requests(log: DataFrame) -> DataFrame:
     )
 
 
-def usage_means(log: DataFrame, window: str = MINUTE) -> DataFrame:
-    """Mean duration and mean rounds of the requests that closed in a window.
+#: Changes of requests: with weight 1 what a request adds to the figures, with -1 what it takes back.
+CHANGED = (
+    "request_id string, weight int, started timestamp, closed timestamp, rounds int, duration_ms double, "
+    "expired boolean"
+)
+
+
+def _as_changes(log: DataFrame) -> DataFrame:
+    """Every request of a whole log, once."""
+    return requests(log).select("*", F.lit(1).alias("weight"), F.lit(False).alias("expired"))
+
+
+def means(window: str = MINUTE) -> Rollup:
+    """Mean duration and mean rounds of the requests that closed in a window, from ``CHANGED``.
 
     Failed requests have rounds but no duration, and count for the rounds alone.
     """
-    sums = _by_window(
-        requests(log).where(F.col("closed").isNotNull()), "closed", window, [],
-        F.sum("duration_ms").alias("duration"),
-        F.count("duration_ms").alias("durations"),
-        F.sum("rounds").alias("rounds"),
-        F.count("rounds").alias("counted"),
-    )
-    return sums.select(
-        "window_start",
-        F.try_divide("duration", "durations").alias("mean_duration_ms"),
-        F.try_divide("rounds", "counted").alias("mean_iterations"),
-    )
 
+    def sums(changes: DataFrame) -> DataFrame:
+        weight = F.col("weight")
+        return _by_window(
+            changes.where(F.col("closed").isNotNull() & ~F.col("expired")), "closed", window, [],
+            F.sum(weight * F.col("duration_ms")).alias("duration"),
+            F.sum(F.when(F.col("duration_ms").isNotNull(), weight)).alias("durations"),
+            F.sum(weight * F.col("rounds")).alias("rounds"),
+            F.sum(F.when(F.col("rounds").isNotNull(), weight)).alias("counted"),
+            F.sum(weight).alias("requests"),
+        )
+
+    def figures(sums: DataFrame) -> DataFrame:
+        return sums.where("requests > 0").select(
+            "window_start",
+            F.try_divide("duration", "durations").alias("mean_duration_ms"),
+            F.try_divide("rounds", "counted").alias("mean_iterations"),
+        )
+
+    return Rollup(("window_start",), sums, figures)
 
-def usage_active(log: DataFrame, window: str = MINUTE) -> DataFrame:
-    """Requests still open at the end of each window.
+
+def active(window: str = MINUTE) -> Rollup:
+    """Requests still open at the end of each window in which one starts or ends, from ``CHANGED``.
 
     Starts and ends are summed up per window before anything is ordered, so the
     running total sees one row per window and not one per request. It runs within
     a day, on top of the total of the days before; days are few.
     """
-    moments = (
-        requests(log)
-        .select(
+
+    def sums(changes: DataFrame) -> DataFrame:
+        moments = changes.select(
+            "weight",
             F.inline(
                 F.array(
                     F.struct(F.col("started").alias("at"), F.lit(1).alias("step")),
                     F.struct(F.col("closed").alias("at"), F.lit(-1).alias("step")),
                 )
-            )
+            ),
+        ).where(F.col("at").isNotNull())
+        return _by_window(
+            moments, "at", window, [],
+            F.sum(F.col("weight") * F.col("step")).alias("change"), F.sum("weight").alias("moments"),
         )
-        .where(F.col("at").isNotNull())
-    )
-    changes = _by_window(moments, "at", window, [], F.sum("step").alias("change")).withColumn(
-        "day", F.to_date("window_start")
-    )
-    within = Window.partitionBy("day").orderBy("window_start").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = (
-        changes.groupBy("day")
-        .agg(F.sum("change").alias("day_change"))
-        .select("day", F.coalesce(F.sum("day_change").over(before), F.lit(0)).alias("carried"))
-    )
-    return changes.join(days, "day").select(
-        "window_start", (F.col("carried") + F.sum("change").over(within)).alias("active")
-    )
+
+    def figures(sums: DataFrame) -> DataFrame:
+        changes = sums.where("moments > 0").withColumn("day", F.to_date("window_start"))
+        within = Window.partitionBy("day").orderBy("window_start").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+        days = (
+            changes.groupBy("day")
+            .agg(F.sum("change").alias("day_change"))
+            .select("day", F.coalesce(F.sum("day_change").over(before), F.lit(0)).alias("carried"))
+        )
+        return changes.join(days, "day").select(
+            "window_start", (F.col("carried") + F.sum("change").over(within)).alias("active")
+        )
+
+    return Rollup(("window_start",), sums, figures)
+
+
+def expired(window: str = MINUTE) -> Rollup:
+    """Open requests that a stream gave up, by the window of their last row, from ``CHANGED``."""
+
+    def sums(changes: DataFrame) -> DataFrame:
+        return _by_window(changes.where("expired"), "closed", window, [], F.sum("weight").alias("expired"))
+
+    return Rollup(("window_start",), sums, lambda sums: sums.where("expired > 0"))
+
+
+def usage_means(log: DataFrame, window: str = MINUTE) -> DataFrame:
+    """Mean duration and mean rounds of the requests that closed in a window."""
+    return means(window)(_as_changes(log))
+
+
+def usage_active(log: DataFrame, window: str = MINUTE) -> DataFrame:
+    """Requests still open at the end of each window."""
+    return active(window)(_as_changes(log))
 
 
 def active_at(log: DataFrame, cut: Column) -> DataFrame:

@@ -19,6 +19,7 @@ from marketlake.session import configure, materialize, work_path
 from marketlake.sources import dims, lake, topics
 from marketlake.sources.catalog import register_views
 from marketlake.streaming import ingest
+from marketlake.streaming.requests import read_request_figures, start_request_figures
 from marketlake.streaming.usage import fold_rollup, read_rollup, start_rollup
 
 
@@ -273,6 +274,33 @@ def stream_rates(m: Market) -> DataFrame:
     return rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _live_figures(m: Market, name: str) -> DataFrame:
+    """Request figures of a stream over six files, one a batch, with a restart after three.
+
+    The closing rows come in the last three, and each file has rows of all days, so that requests
+    stay open over several batches and change long after later ones have closed.
+    """
+    root = work_path(m.spark, "requests")
+    late = F.col("status").isNotNull() | (F.crc32(F.concat("request_id", F.coalesce("iteration", F.lit(0)))) % 5 == 0)
+    rows = m.request_log.withColumn("ts", F.col("ts").cast("timestamp"))
+    for half in (~late, late):
+        rows.where(half).repartition(3).write.mode("append").parquet(f"{root}/in")
+        log = m.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        start_request_figures(log, f"{root}/out", f"{root}/checkpoint", interval=None).awaitTermination()
+    figures = read_request_figures(m.spark, f"{root}/out", name)
+    return figures.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def stream_means(m: Market) -> DataFrame:
+    return _live_figures(m, "means").select(
+        "window_start", F.round("mean_duration_ms", 4).alias("mean_duration_ms"), "mean_iterations"
+    )
+
+
+def stream_active(m: Market) -> DataFrame:
+    return _live_figures(m, "active")
+
+
 def price_bounds_hot(m: Market) -> DataFrame:
     """Bounds with groups of over 20 listings taken by ranges, and whether both forms agree."""
     hot = materialize(price_bounds(m.listings, hot_rows=20), "bounds")
@@ -395,6 +423,8 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "stream_upsert": stream_upsert,
     "stream_latest": stream_latest,
     "stream_rates": stream_rates,
+    "stream_means": stream_means,
+    "stream_active": stream_active,
     "pipeline_run": pipeline_run,
 }
 

@@ -28,15 +28,10 @@ def start_rollup(
 
     A batch that is already in is left alone.
     """
-    spark = log.sparkSession
-    if not _folds(spark, path):
-        _write_base(rollup.sums(spark.createDataFrame([], log.schema)), path, -1)
+    open_rollup(log.sparkSession.createDataFrame([], log.schema), rollup, path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        commit = f"{path}/commits/batch_id={batch_id}"
-        if not recorded(batch.sparkSession, commit):
-            rollup.sums(batch).write.mode("overwrite").parquet(f"{path}/sums/batch_id={batch_id}")
-            record(batch.sparkSession, commit, "overwrite", batch=batch_id)
+        add_batch(batch, rollup, path, batch_id)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
@@ -47,6 +42,20 @@ def start_rollup(
     )
 
 
+def open_rollup(nothing: DataFrame, rollup: Rollup, path: str) -> None:
+    """Write the empty base of a rollup unless it has one; ``nothing`` has the columns of its input."""
+    if not _folds(nothing.sparkSession, path):
+        _write_base(rollup.sums(nothing), path, -1)
+
+
+def add_batch(batch: DataFrame, rollup: Rollup, path: str, batch_id: int) -> None:
+    """Add the sums of one batch; a batch that is already in is left alone."""
+    commit = f"{path}/commits/batch_id={batch_id}"
+    if not recorded(batch.sparkSession, commit):
+        rollup.sums(batch).write.mode("overwrite").parquet(f"{path}/sums/batch_id={batch_id}")
+        record(batch.sparkSession, commit, "overwrite", batch=batch_id)
+
+
 def read_rollup(spark: SparkSession, path: str, rollup: Rollup) -> DataFrame:
     """The figures of every window, over all batches so far."""
     return rollup.figures(_sums(spark, path, rollup))

@@ -1,10 +1,12 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from marketlake.operators import usage
 from marketlake.schemas import REQUEST_LOG
+from marketlake.streaming.requests import read_request_figures, start_request_figures
 from marketlake.streaming.usage import fold_rollup, read_rollup, start_rollup
 
 T0 = datetime.datetime(2024, 1, 1, 23, 58)
@@ -99,3 +101,47 @@ def test_stream_equals_batch(spark, log, tmp_path, rollup):
             assert figures(read_rollup(spark, out, rollup)) == expected
             listed.append(sum(1 for p in (tmp_path / "out").rglob("*") if p.is_dir()))
     assert max(listed) <= 16
+
+
+def _figures(spark, path):
+    return {
+        name: {r["window_start"]: tuple(r)[1:] for r in read_request_figures(spark, str(path), name).collect()}
+        for name in ("means", "active", "expired")
+    }
+
+
+def _run(spark, tmp_path, keep, **options):
+    log = spark.readStream.schema(REQUEST_LOG).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    start_request_figures(
+        log, f"{tmp_path}/out", f"{tmp_path}/checkpoint", interval=None, keep=keep
+    ).awaitTermination()
+
+
+@pytest.mark.parametrize("order", [([0, 4, 7], [2, 6], [5, 1], [3]), ([6, 2], [3, 0], [5], [1, 4, 7])])
+def test_request_stream_in_any_order(spark, tmp_path, order):
+    """Four batches, the closing rows before or after the others, and a restart in between."""
+    for start in (0, 2):
+        for batch in order[start : start + 2]:
+            rows = spark.createDataFrame([ROWS[i] for i in batch], REQUEST_LOG).coalesce(1)
+            rows.write.mode("append").parquet(f"{tmp_path}/in")
+        _run(spark, tmp_path, 10**9)
+    log = spark.createDataFrame(ROWS, REQUEST_LOG)
+    found = _figures(spark, f"{tmp_path}/out")
+    assert found["means"] == {r["window_start"]: tuple(r)[1:] for r in usage.usage_means(log).collect()}
+    assert found["active"] == {r["window_start"]: tuple(r)[1:] for r in usage.usage_active(log).collect()}
+    assert found["expired"] == {}
+
+
+def test_request_stream_expires(spark, tmp_path):
+    """c never closes: its timer ends it at its last row, and it is counted."""
+    spark.createDataFrame(ROWS, REQUEST_LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    _run(spark, tmp_path, 1)
+    time.sleep(0.5)
+    spark.createDataFrame([(at(500), "d", 1, 1, 1, None, None, None, None, None)], REQUEST_LOG).coalesce(1).write.mode(
+        "append"
+    ).parquet(f"{tmp_path}/in")
+    _run(spark, tmp_path, 1)
+    found = _figures(spark, f"{tmp_path}/out")
+    minute = at(120)
+    assert found["expired"] == {minute: (1,)}
+    assert found["active"][minute] == (0,) and found["active"][at(480)] == (1,)
