@@ -511,3 +511,16 @@ ORACLE: dict[str, str] = {
 # A stream gives the same figures as a query over the whole log.
 ORACLE["stream_means"] = ORACLE["usage_means"]
 ORACLE["stream_active"] = ORACLE["usage_active"]
+
+# What a second session reads from the published marts is what the marts hold.
+ORACLE["published_pages"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS page, item_name, world_name, CAST({figure} AS DOUBLE) AS figure FROM ({ORACLE[name]})"
+    for name, figure in {
+        "top_arbitrage": "profit_margin_pct",
+        "price_lookup": "listing_count",
+        "top_velocity": "sale_count",
+        "hq_premium": "hq_premium_pct",
+        "price_summary": "listing_count",
+        "arbitrage": "profit_margin_pct",
+    }.items()
+)

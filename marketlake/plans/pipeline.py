@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlake.operators.bounds import price_bounds
 from marketlake.plans import marts, quality
+from marketlake.plans.publish import new_run, publish
 from marketlake.sources import dims
 from marketlake.sources.catalog import register_views
 from marketlake.sources.lake import LakeTable
@@ -51,11 +52,13 @@ def run(
     worlds: DataFrame,
     out: str,
     strict: bool = True,
+    database: str | None = None,
 ) -> DataFrame:
     """Rebuild all marts and return the check report.
 
     With ``strict`` a failing check of severity error raises, and the views keep
-    showing the run before.
+    showing the run before. With ``database`` the marts, names and report are published
+    there for other sessions.
     """
     staged = {"stg_listings": stg_listings(raw_listings), "stg_sales": stg_sales(raw_sales)}
     seeds = {
@@ -67,6 +70,10 @@ def run(
     if strict:
         quality.require(report)
     register_views({**staged, **seeds, **built})
+    if database:
+        spark = report.sparkSession
+        names = [*seeds, *built, "check_report"]
+        publish(spark, database, new_run(), {name: f"{out}/{name}" for name in names})
     return report
 
 
@@ -79,6 +86,7 @@ def run_pipeline(
     out: str,
     strict: bool = True,
     raw: bool = False,
+    database: str | None = None,
 ) -> DataFrame:
     """``run`` over the lake tables and the CSV seeds.
 
@@ -95,4 +103,5 @@ def run_pipeline(
         dims.read_world_names(spark, world_seed),
         out,
         strict,
+        database,
     )

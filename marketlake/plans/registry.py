@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from marketlake.operators import documents, flatten, joins, usage
 from marketlake.operators.bounds import price_band, price_bounds
 from marketlake.operators.latest import LISTING_KEY, SALE_KEY, latest
 from marketlake.plans import marts, pipeline, quality, serving, staging
+from marketlake.plans.publish import published
 from marketlake.schemas import RAW_SALES
 from marketlake.session import configure, materialize, work_path
 from marketlake.sources import dims, lake, topics
@@ -316,6 +318,28 @@ def dq_report(m: Market) -> DataFrame:
     return pipeline.run(m.raw_listings, m.raw_sales, m.items, m.worlds, out, strict=False)
 
 
+def published_pages(m: Market) -> DataFrame:
+    """Pages and lookups of a second session, from the marts that a run has published."""
+    database = f"market_{uuid.uuid4().hex}"
+    out = work_path(m.spark, "marts")
+    pipeline.run(m.raw_listings, m.raw_sales, m.items, m.worlds, out, strict=False, database=database)
+    reader = configure(m.spark.newSession())
+    found = published(reader, database)
+    pages = {
+        "top_arbitrage": (serving.top_arbitrage(found["arbitrage"]), "profit_margin_pct"),
+        "price_lookup": (serving.price_lookup(found["price_summary"], "RED_W%t"), "listing_count"),
+        "top_velocity": (serving.top_velocity(found["velocity"]), "sale_count"),
+        "hq_premium": (found["hq_premium"], "hq_premium_pct"),
+        "price_summary": (found["price_summary"], "listing_count"),
+        "arbitrage": (found["arbitrage"], "profit_margin_pct"),
+    }
+    rows = [
+        page.select(F.lit(name).alias("page"), "item_name", "world_name", F.col(figure).cast("double").alias("figure"))
+        for name, (page, figure) in pages.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def pipeline_run(m: Market) -> DataFrame:
     root = work_path(m.spark, "pipeline")
     m.items.write.csv(f"{root}/items", header=True)
@@ -426,6 +450,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "stream_means": stream_means,
     "stream_active": stream_active,
     "pipeline_run": pipeline_run,
+    "published_pages": published_pages,
 }
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake import session
-from marketlake.plans import pipeline, quality
+from marketlake.plans import pipeline, publish, quality, serving
 from marketlake.schemas import RAW_LISTINGS, RAW_SALES
 from marketlake.sources import lake
 from tests.test_lake import T0, listing, sale
@@ -62,6 +62,34 @@ def test_unknown_item_fails_the_run(spark, parts, tmp_path):
         pipeline.run(listings.union(strange), sales, items, worlds, str(tmp_path))
 
 
+def test_published_marts(spark, parts, tmp_path):
+    """A second session reads stored marts; a failing run changes nothing; a reader keeps its run."""
+    listings, sales, items, worlds = parts
+    database = "published_test"
+    reader = spark.newSession()
+    assert publish.published(reader, database) == {}
+    pipeline.run(*parts, f"{tmp_path}/one", database=database)
+    first = publish.published(reader, database)
+    assert set(first) == {
+        "price_summary", "hq_premium", "arbitrage", "velocity", "price_history", "item_names", "world_names",
+        "check_report",
+    }
+    assert first["check_report"].count() == 40
+    before = first["price_summary"].orderBy("world_id").collect()
+    strange = spark.createDataFrame([listing("z", T0, item=99)], RAW_LISTINGS)
+    with pytest.raises(quality.ChecksFailed):
+        pipeline.run(listings.union(strange), sales, items, worlds, f"{tmp_path}/bad", database=database)
+    assert publish.published(reader, database)["price_summary"].orderBy("world_id").collect() == before
+    more = listings.union(spark.createDataFrame([listing("new", T0, 99)], RAW_LISTINGS))
+    pipeline.run(more, sales, items, worlds, f"{tmp_path}/two", database=database)
+    now = publish.published(reader, database)["price_summary"].agg(F.sum("listing_count")).first()[0]
+    assert now == 13 and first["price_summary"].agg(F.sum("listing_count")).first()[0] == 12
+    assert serving.run_sql(reader, f"SELECT SUM(listing_count) AS n FROM {database}.price_summary")["data"] == [{"n": 13}]
+    assert len(publish.retire(spark, database, keep=1)) == 1
+    assert publish.published(reader, database)["arbitrage"].count() >= 0 and publish.retire(spark, database) == []
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 def test_duplicate_in_a_dimension_fails_the_run(spark, parts, tmp_path):
     listings, sales, items, worlds = parts
     twice = worlds.union(spark.createDataFrame([(3, "w1")], worlds.schema))
