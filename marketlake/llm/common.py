@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 from marketlake.session import materialize, work_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A worker outlives its task: what a task has freed goes back to the system.
+WORKERS = {
+    "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576",
+    "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1",
+}
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's path.
+    """Let Python workers import this package from the driver's path, and give back memory.
 
     Enough where workers share the driver's files; elsewhere ship the package
     with ``--py-files``.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment
+    known.update(WORKERS)
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH")]))
 
@@ -58,6 +64,12 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def located_freely(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``located`` rows with all columns of ``docs``, and the names of the columns of the place."""
+    file, row = free_name(docs, "_file"), free_name(docs, "_row")
+    return located(docs, file, row), file, row
+
+
 def numbered(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """``rows`` with their place in a total order, from 0.
 
@@ -124,6 +136,6 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "DOCUMENT", "components", "free_name", "importable", "located", "lower_ascii", "materialize",
+    "DOCUMENT", "components", "free_name", "importable", "located", "located_freely", "lower_ascii", "materialize",
     "numbered", "table", "work_path",
 ]

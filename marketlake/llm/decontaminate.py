@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import located, lower_ascii, materialize
+from marketlake.llm.common import located, located_freely, lower_ascii, materialize
 
 #: Places of a mask that count, from 0.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 7, 8), (0, 2, 3, 6, 7, 8))
@@ -131,7 +131,7 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     make a document contaminated but are not listed. Repeated rows each give a row. Other
     columns are not read. An empty benchmark leaves all documents clean.
     """
-    rows = located(docs)
+    rows = located(docs.select("doc_id", "text"))
     found = _found(rows, benchmark)
     return rows.join(found, ["_file", "_row"], "left").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -143,6 +143,7 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of ``benchmark``, with all their columns."""
-    rows = located(docs)
-    found = _found(rows, benchmark)
-    return rows.join(found, ["_file", "_row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    rows, file, row = located_freely(docs)
+    found = _found(rows.select("text", F.col(file).alias("_file"), F.col(row).alias("_row")), benchmark)
+    gone = found.select(F.col("_file").alias(file), F.col("_row").alias(row))
+    return rows.join(gone, [file, row], "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import located, lower_ascii, materialize, work_path
+from marketlake.llm.common import located, located_freely, lower_ascii, materialize, work_path
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -27,7 +27,13 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Many small stores: no disk space in advance.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # All stores of an executor share this much memory; the rest of the state is on disk.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "150",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
+#: Keys for which a stream that begins plans a store, at most as many as shuffle partitions.
+STORE = 100_000
 KEYS = "doc_id long, digest binary, n_bytes long, file string, row long"
 ENTRIES = (
     "digest binary, n_bytes long, stays struct<doc_id: long, file: string, row: long>, group_size long"
@@ -61,8 +67,13 @@ def take_in(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None
     Each batch writes the entries it changed to a folder of its own below ``out``;
     a batch that is run again replaces that folder.
     """
-    before = {key: spark.conf.get(key, None) for key in STATE}
-    for key, value in STATE.items():
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = spark.read.schema(KEYS).parquet(folder).count()
+    # A checkpoint keeps the number of stores that it began with.
+    stores = min(partitions, max(16, -(-n // STORE)))
+    settings = STATE | {"spark.sql.shuffle.partitions": str(stores)}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         (
@@ -102,10 +113,9 @@ def _is(place: str) -> Column:
     return (F.col("file") == F.col(f"{place}.file")) & (F.col("row") == F.col(f"{place}.row"))
 
 
-def _decided(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """The rows with their place, and for each place the row that stays and its group's size."""
-    spark = docs.sparkSession
-    rows = located(docs)
+def _decided(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """For each place of ``rows`` (doc_id, text, _file, _row) the row that stays and its group's size."""
+    spark = rows.sparkSession
     root = work_path(spark, "dedup-stream")
     keys(rows, digest).write.parquet(f"{root}/keys")
     known = spark.read.schema(KEYS).parquet(f"{root}/keys")
@@ -137,13 +147,13 @@ def _decided(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataF
         "dedup-odd",
     )
     if odd.isEmpty():
-        return rows, groups
+        return groups
     by_text = odd.groupBy("digest", "n_bytes", "text").agg(
         F.max(F.struct("doc_id", "file", "row")).alias("own_stays"), F.count("*").alias("own_size")
     )
     own = odd.join(by_text, ["digest", "n_bytes", "text"]).select("file", "row", "own_stays", "own_size")
     less = odd.groupBy("digest", "n_bytes").agg(F.count("*").alias("less"))
-    return rows, (
+    return (
         groups.join(less, ["digest", "n_bytes"], "left")
         .join(own, ["file", "row"], "left")
         .withColumn(
@@ -164,8 +174,7 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
     other. Other columns, whatever their names, are not read. An empty table gives
     an empty result. ``digest`` maps a text to binary; the result holds for any.
     """
-    _, decided = _decided(docs, digest)
-    return decided.select(
+    return _decided(located(docs.select("doc_id", "text")), digest).select(
         "doc_id",
         F.col("stays.doc_id").alias("keep_id"),
         "group_size",
@@ -176,6 +185,9 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
 
 def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    rows, decided = _decided(docs, digest)
-    gone = decided.where(~_is("stays")).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return rows.join(gone, ["_file", "_row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    rows, file, row = located_freely(docs)
+    decided = _decided(
+        rows.select("doc_id", "text", F.col(file).alias("_file"), F.col(row).alias("_row")), digest
+    )
+    gone = decided.where(~_is("stays")).select(F.col("file").alias(file), F.col("row").alias(row))
+    return rows.join(gone, [file, row], "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -42,8 +42,9 @@ FREQUENT = 1 << 17
 REPORTED = 4096
 #: Sizes for which light and heavy cost are compared.
 LARGEST_LIGHT = 256
-#: Sets in a block of a cell.
+#: Sets in a block of a cell, and shingles of them, on average.
 BLOCK = 400
+BLOCK_SHINGLES = 400_000
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _COLUMNS = 2048
@@ -61,8 +62,8 @@ def can_link(n: int, percent: int) -> bool:
 
 def _profile(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frequent shingles of each batch; by set size the sets and the list entries they meet."""
-    for batch in batches:
-        sets = [s for part in words.slices(batch, "text") for s in words.shingle_sets(part["text"], k)]
+    for part in (part for batch in batches for part in words.slices(batch, "text", words.BATCH // 2)):
+        sets = list(words.shingle_sets(part["text"], k))
         if not sets:
             continue
         sizes = np.array([len(s) for s in sets])
@@ -174,7 +175,7 @@ def _listed(
     """Per document its set size, the set's digest and the keys it is listed under."""
     frequent, rank = shared.value
     for batch in batches:
-        for part in words.slices(batch, "text"):
+        for part in words.slices(batch, "text", words.BATCH // 8):
             sizes, ids, keys, sketches = [], [], [], []
             for s in words.shingle_sets(part["text"], k):
                 sizes.append(len(s))
@@ -205,7 +206,7 @@ def _full_sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     """The set of each text beside the number that it was fetched for: rows of one doc_id may
     have different texts."""
     for batch in batches:
-        for part in words.slices(batch, "text", words.BATCH // 4):
+        for part in words.slices(batch, "text", words.BATCH // 8):
             sets = list(words.shingle_sets(part["text"], k))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -356,12 +357,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the
     document with the smallest doc_id, and all rows without doc_id."""
+    doc, code = common.free_name(docs, "_doc"), common.free_name(docs, "_code")
     gone = (
         _labelled(docs, k, percent)
         .where("component < doc_id")
-        .select(F.col("doc_id").alias("_doc"), F.col("code").alias("_code"))
+        .select(F.col("doc_id").alias(doc), F.col("code").alias(code))
     )
-    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (_code() == F.col("_code"))
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (_code() == F.col(code))
     return docs.join(gone, same, "left_anti")
 
 
@@ -404,7 +406,7 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
         classes.select("set_id", F.col("least_doc").alias("doc_id")), ["set_id", "doc_id"], "left_semi"
     )
     # Dealt by key once, for the leaders of the lists and for their entries.
-    entries = of_class.select("set_id", F.explode("keys").alias("key")).repartition(partitions, "key")
+    entries = of_class.select("set_id", "n", F.explode("keys").alias("key")).repartition(partitions, "key")
     leaders = (
         entries.groupBy("key")
         .agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last"))
@@ -412,9 +414,11 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
         .select("key", "leader")
     )
     met = common.materialize(
-        entries.join(leaders, "key").select("leader", "set_id").distinct(), "shingle-cells"
+        entries.join(leaders, "key").select("leader", "set_id", "n").distinct(), "shingle-cells"
+    )
+    blocks = met.groupBy("leader").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    blocks = met.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = (
         met.join(blocks, "leader")
         .withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))

@@ -46,7 +46,7 @@ THRESHOLD = 0.7
 #: Decision values are cut off here before the logistic function.
 LARGEST = 3.0
 #: Words whose scores a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _SYMBOLS = 32
 # Signs often put for letters.
@@ -107,7 +107,7 @@ def features(parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         if n < 3:
             continue
         places, weights = _shapes(int(n))
-        for rows in np.array_split(np.flatnonzero(sizes == n), -(-int((sizes == n).sum()) // 2000)):
+        for rows in np.array_split(np.flatnonzero(sizes == n), -(-int((sizes == n).sum()) // 500)):
             symbols = np.array([[ord(c) for c in parts[r]] for r in rows])
             symbols = np.where(symbols < len(_TABLE), _TABLE[np.minimum(symbols, len(_TABLE) - 1)], 0)
             a, b, c = (symbols[:, places[:, i]] for i in range(3))
@@ -295,7 +295,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least hashes of each text's shingles, in a few orders."""
     seeds = words.mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
     for batch in batches:
-        for part in words.slices(batch, "text"):
+        for part in words.slices(batch, "text", words.BATCH // 8):
             sketches = [
                 [int(words.mix(s ^ seed).min().view(np.int64)) if len(s) else 0 for seed in seeds]
                 for s in words.shingle_sets(part["text"], 4)
@@ -331,8 +331,8 @@ class Scorer(dict):
         found = [set(tokens(t)) for t in texts]
         new = sorted(set().union(*found).difference(self)) if found else []
         values = {}
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
             values.update(zip(some, score_words(some, self.model.weight, self.model.bias).tolist()))
         top = np.array(
             [max((self[w] if w in self else values[w] for w in text), default=-LARGEST) for text in found]
