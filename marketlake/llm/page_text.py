@@ -38,7 +38,13 @@ PAIRS = 100_000_000
 NEAR = 80
 
 #: Elements whose content is never text of the page.
-_HIDDEN = "script|style|noscript|template|textarea|iframe|svg|canvas|object|math|select|head|title"
+_HIDDEN = {
+    name: re.compile(rf"</{name}\s*>", re.I)
+    for name in (
+        "script", "style", "noscript", "template", "textarea", "iframe", "svg", "canvas", "object", "math",
+        "select", "head", "title",
+    )
+}
 _FURNITURE = {
     "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "address",
 }
@@ -58,22 +64,97 @@ _MARKS = re.compile(
     r"complementary|contentinfo|disqus\w*|hidden)(?![a-z])"
 )
 _MAIN_MARKS = re.compile(r"(?<![a-z])(article|articlebody|main|main-content|post-content|entry-content)(?![a-z])")
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_GONE = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
+#: What is furniture inside an article too, as a whole name or the start of a longer one.
+_INSIDE = re.compile(
+    r"(ads?|advert\w*|comments?|repl(?:y|ies)|disqus\w*|related|newsletter|subscribe|signup|social|share|sharing|"
+    r"promo\w*|sponsor\w*|cookies?|consent|notices?|sidebar|breadcrumbs?|pagination|pager|popup|modal|banner|"
+    r"nav|navbar|navigation|menu|footer|skip|widget|disclaimer|copyright)"
+    r"(?:[-_](?:list|section|box|block|wrapper|container|area|form|item|items|banner|bar|links|buttons?|thread|"
+    r"slot|unit|notice|posts?|articles?|menu|nav|inner|content|\d+))*"
 )
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9-]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)\s*(=?)\s*|=")
+_BARE = re.compile(r"[^\s>]*")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+
 
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from behind its name on, and the place of its end, -1 without one.
 
-def _kind(name: str, attributes: str, around: int) -> int:
+    A quote begins a value only behind an equals sign, as in browsers.
+    """
+    found: dict[str, str] = {}
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= len(page):
+            return found, -1
+        if page[at] == ">":
+            return found, at
+        name = _ATTRIBUTE.match(page, at)
+        at, value = name.end(), ""
+        if name[2]:
+            quote = page[at : at + 1]
+            if quote in ("'", '"') and quote:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return found, -1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        if name[1]:
+            found.setdefault(name[1].lower(), value)
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str]]]:
+    """Start, end, name, whether it closes, and attributes of every tag; comments, hidden elements
+    with all they hold and other markup have no name. Linear in the length of the page: a tag that
+    never ends makes the rest of the page be read without regard to quotes."""
+    at, plain, never = 0, False, set()
+    while (start := page.find("<", at)) >= 0:
+        mark = page[start : start + 9]
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+            if mark.startswith(opening):
+                end = page.find(closing, start + len(opening))
+                at = len(page) if end < 0 else end + len(closing)
+                yield start, at, "", False, {}
+                break
+        else:
+            closes = mark.startswith("</")
+            name = _NAME.match(page, start + 1 + closes)
+            if not name:
+                at = start + 1
+                continue
+            attributes, end = ({}, page.find(">", name.end())) if plain else _attributes(page, name.end())
+            if end < 0 and not plain:
+                plain, end = True, page.find(">", name.end())
+            if end < 0:
+                return
+            at, tag = end + 1, name[0].lower()
+            if tag in _HIDDEN and not closes and page[end - 1] != "/":
+                # To the end tag of the name, or without one to the end of the page.
+                after = None if tag in never else _HIDDEN[tag].search(page, at)
+                if after is None:
+                    never.add(tag)
+                at = after.end() if after else len(page)
+                tag = ""
+            yield start, at, tag, closes, attributes
+
+
+def _kind(name: str, attributes: dict[str, str], around: int) -> int:
     """Of a container, given the kind of what is around it."""
     if around == FURNITURE or name in _FURNITURE:
         return FURNITURE
     if attributes:
-        named = " ".join(_NAMED.findall(attributes)).lower()
-        if _MARKS.search(named) or _GONE.search(attributes):
+        if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+            return FURNITURE
+        if _NONE.search(attributes.get("style", "")):
+            return FURNITURE
+        named = " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower()
+        if around == MAIN or name in _MAIN:
+            return FURNITURE if any(_INSIDE.fullmatch(x) for x in named.split()) else MAIN
+        if _MARKS.search(named):
             return FURNITURE
         if _MAIN_MARKS.search(named):
             return MAIN
@@ -84,6 +165,7 @@ def lines(page: str) -> list[tuple[int, str]]:
     """Kind and text of every line of a page, in order."""
     found: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
     kind, text, at = OPEN, [], 0
 
     def flush() -> None:
@@ -92,25 +174,25 @@ def lines(page: str) -> list[tuple[int, str]]:
         if line:
             found.append((kind, line))
 
-    for tag in _TAG.finditer(page):
-        if tag.start() > at:
-            text.append(page[at : tag.start()])
-        at = tag.end()
-        name = (tag[3] or "").lower()
+    for start, end, name, closes, attributes in _tags(page):
+        if start > at:
+            text.append(page[at:start])
+        at = end
         if name not in _BLOCKS:
             continue
         flush()
         if name not in _CONTAINERS:
             continue
-        if not tag[2]:
-            if not tag[4].endswith("/"):
+        if not closes:
+            if page[end - 2] != "/":
                 stack.append((name, kind))
-                kind = _kind(name, tag[4], kind)
+                opened[name] = opened.get(name, 0) + 1
+                kind = _kind(name, attributes, kind)
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                kind = stack[i][1]
-                del stack[i:]
+        while opened.get(name):
+            last, kind = stack.pop()
+            opened[last] -= 1
+            if last == name:
                 break
     if at < len(page):
         text.append(page[at:])
@@ -198,7 +280,7 @@ def common_lines(one: list[int], two: list[int]) -> set[int]:
 
 
 def place(url: str | None) -> tuple[str, str]:
-    """Host without www, and path with query, of a URL; a broken one has no host."""
+    """Host without www, and path without query, of a URL; a broken one has no host."""
     try:
         parts = urlsplit(url or "")
         host = (parts.hostname or "").removeprefix("www.")

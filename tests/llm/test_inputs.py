@@ -1,5 +1,7 @@
 """Columns whose names the operators use, identifiers beyond 2^53, and the whole pipeline."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,25 @@ def test_pipeline(spark, sf_dir):
             assert kept == ids
     again = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert again == kept
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<article aria-hidden="false"><p>one</p></article>', "one"),
+    ('<article style="overflow:hidden"><p>one</p></article>', "one"),
+    ("<article><p class=it's>one</p><p>two</p></article>", "one two"),
+    ('<article><p>one</p><div class="share-price form">two</div></article>', "one two"),
+    ('<article><p>a < b <i title="x > y">c</i></p></article>', "a < b c"),
+    ('<article><p>one</p><div hidden>no</div><div aria-hidden=true>no</div><div class="comment-list">no</div></article>', "one"),
+    ('<article><p>one</p><div style="display : none">no</div><svg/><p>two</p></article>', "one two"),
+    ('<article><p>one</p><p class="never closed>two</p></article>', "one two"),
+])
+def test_lines_of_articles(html, text):
+    assert " ".join(line for kind, line in page_text.lines(html) if kind == page_text.MAIN) == text
+
+
+@pytest.mark.parametrize("piece", ['<a b="', '<a b="x', "<p", "<div>", "<svg>", "</div>", "<a =' ", "<!--", "<"])
+def test_tags_are_scanned_in_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    page_text.lines(page)
+    assert time.perf_counter() - start < 20  # quadratic work would take hours
