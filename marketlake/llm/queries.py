@@ -121,9 +121,11 @@ ORACLE: dict[str, str] = {
             doc_id = max(doc_id) OVER same AS kept, sha256({_LOWER}) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY {_LOWER})
     """,
-    "op7_warc": """
+    "op7_warc": r"""
         WITH coded AS (
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+                regexp_extract(regexp_replace(coalesce(url, ''), '[\x00-\x20]', '%20', 'g'),
+                    '^[a-z]+://[^/?#]*([^#]*)', 1) AS path,
                 max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
             FROM pages
         )
@@ -134,7 +136,9 @@ ORACLE: dict[str, str] = {
                         >> (35 - 5 * (k % 8))) & 31)::BIGINT]
                 FOR k IN range(0, 32)], '') AS payload_digest,
             CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-            CASE WHEN last <> page_id THEN last END AS refers_to
+            CASE WHEN last <> page_id THEN last END AS refers_to,
+            CASE WHEN path = '' THEN '/' ELSE path END AS request_target,
+            CAST(octet_length(encode(html)) AS BIGINT) AS metadata_bytes
         FROM coded
     """,
     "op11_importance_resampling": f"""

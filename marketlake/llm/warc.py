@@ -275,9 +275,15 @@ def captures(records: DataFrame) -> DataFrame:
     )
 
 
+def _said(record: str, pattern: str) -> Column:
+    """What a pattern finds in the block of a record of a capture."""
+    return F.regexp_extract(F.decode(F.col(f"{record}.payload"), "UTF-8"), pattern, 1)
+
+
 def digests(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, from
-    archives written for it."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, request_target, metadata_bytes)
+    of every page, from archives written for it: the target that its request record asks for and
+    the length that its metadata record states, NULL for a capture without such a record."""
     spark = pages.sparkSession
     folder = work_path(spark, "warc")
     write(pages, folder)
@@ -287,4 +293,6 @@ def digests(pages: DataFrame) -> DataFrame:
         "response.payload_digest",
         F.col("response.type").alias("record_type"),
         F.col("response.referred_page").alias("refers_to"),
+        _said("request", r"^GET ([^ ]*) HTTP").alias("request_target"),
+        _said("metadata", r"payload-length: (\d+)").cast("long").alias("metadata_bytes"),
     )

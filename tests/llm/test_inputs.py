@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketlake.llm import common, decontaminate, exact_dedup, fingerprints, jaccard_join, page_text, substring_dedup
+from marketlake.llm import common, decontaminate, exact_dedup, fingerprints, jaccard_join, page_text, substring_dedup, warc
 
 PASSAGE = " ".join(f"passage{i}" for i in range(20))
 CLASHES = ["_file", "_row", "_metadata", "_doc", "_code", "file", "row", "digest", "n", "component", "words", "score"]
@@ -115,3 +115,32 @@ def test_tags_are_scanned_in_linear_time(piece):
     start = time.perf_counter()
     page_text.lines(page)
     assert time.perf_counter() - start < 20  # quadratic work would take hours
+
+
+def test_transactions_over_a_whole_table(spark, tmp_path):
+    """Requests and metadata of every capture; records without a partner, and double ones."""
+    rows = [(i, f"http://h{i % 3}.example/p{i}?q", f"<p>{i % 7}</p>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    records = common.materialize(warc.read(spark, str(tmp_path / "w")), "warc-test")
+    found = {r.page_id: r for r in warc.captures(records).collect()}
+    assert len(found) == 40
+    for i, url, html in rows:
+        assert found[i].request.payload.startswith(f"GET /p{i}?q HTTP/1.1".encode())
+        assert f"payload-length: {len(html)}\r\n".encode() in found[i].metadata.payload
+        assert found[i].response.payload.decode() == html
+    # The request of page 3 and the metadata of page 4 are lost, those of page 5 are there twice.
+    lost = ((F.col("type") == "request") & (F.col("page_id") == 3)) | ((F.col("type") == "metadata") & (F.col("page_id") == 4))
+    double = records.where("type <> 'response' AND type <> 'revisit' AND page_id = 5")
+    double = double.withColumn("record_id", F.concat("record_id", F.lit("-again")))
+    orphan = double.withColumn("concurrent_to", F.lit("<urn:none>"))
+    odd = {r.page_id: r for r in warc.captures(records.where(~lost).union(double).union(orphan)).collect()}
+    assert len(odd) == 40
+    assert odd[3].request is None and odd[3].metadata == found[3].metadata
+    assert odd[4].metadata is None and odd[4].request == found[4].request
+    assert odd[5] == found[5]
+
+
+def test_transaction_joins_are_in_the_plan(spark, sf_dir):
+    plan = warc.digests(common.table(spark, sf_dir, "pages").limit(20))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3

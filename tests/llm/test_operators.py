@@ -290,12 +290,14 @@ def pages(spark):
 def test_warc(pages):
     found = sorted(map(tuple, warc.digests(pages).collect()), key=str)
     expected = []
-    for i, _, h in PAGES:
+    for i, url, h in PAGES:
         payload = (h or "").encode()
+        target = re.sub(r"^[a-z]+://[^/?#]*", "", url or "") if "://" in (url or "") else ""
         largest = max((j for j, _, o in PAGES if (o or "") == (h or "") and j is not None), default=i)
         again = i is not None and largest != i
         code = __import__("base64").b32encode(hashlib.sha1(payload).digest()).decode()
-        expected.append((i, len(payload), code, "revisit" if again else "response", largest if again else None))
+        kind = "revisit" if again else "response"
+        expected.append((i, len(payload), code, kind, largest if again else None, target or "/", len(payload)))
     assert found == sorted(expected, key=str)
     assert warc.digests(pages.where("false")).count() == 0
 
