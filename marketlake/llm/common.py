@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,16 +71,25 @@ def located_freely(docs: DataFrame) -> tuple[DataFrame, str, str]:
     return located(docs, file, row), file, row
 
 
-def numbered(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+def numbered(
+    rows: DataFrame,
+    *order: Column | str,
+    name: str = "rank",
+    through: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
     """``rows`` with their place in a total order, from 0.
 
+    ``through`` may add columns to the sorted rows of a task, keeping each of them.
+
     Rows are dealt by ranges of ``order`` and written sorted; a table with a row per
     partition says how many rows stand before each. No task sees more than a range.
     """
     placed = materialize(
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn(name, F.monotonically_increasing_id()),
+        through(
+            rows.repartitionByRange(*order)
+            .sortWithinPartitions(*order)
+            .withColumn(name, F.monotonically_increasing_id())
+        ),
         "numbered",
     )
     part = F.shiftright(name, 33)

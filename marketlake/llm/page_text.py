@@ -1,16 +1,19 @@
-"""Main text of web pages: the difference to the nearest page of the host, checked by structure.
-
-A page is cut into lines at its block elements. Pages of a host are sorted by URL path, and
-each is paired with the neighbour that shares the longer path prefix; copies and near
-copies of a page, whose text is the same, are passed over. The lines of both are aligned by
-a longest common subsequence; the shared ones, wherever they stand, are the template of
-the site and are deleted. Structure checks what is left: lines inside menus, headers,
-footers, side columns, notices, adverts, forms and comments are furniture that differs
-from page to page, and go as well. Lines inside an article are main, the rest is open.
-A page without a neighbour is left to structure: its main lines, or else its open ones.
-
-Neighbours are found on rows of identifier and URL only, dealt by ranges of (host, path),
-so a host with a third of all pages is spread over many tasks.
+"""Main text of web pages: the difference to the nearest pages of the host, checked by structure.
+
+A page is cut into lines at its block elements. Pages of a host are sorted by URL path.
+Consecutive ones that are copies or near copies, whose text is the same, form a run; the
+neighbours of a page are the last page before its run and the first page after it. The
+lines of both are aligned by a longest common subsequence; lines shared with the
+neighbour that has the longer path prefix in common, and with the one on the other side if
+there is one, are the template of the site and are deleted wherever they stand. So a line of
+an article that only one neighbour repeats is kept. Structure checks what is left: lines
+inside menus, headers, footers, side columns, notices, adverts, forms and comments are
+furniture that differs from page to page, and go as well. Lines inside an article are main,
+the rest is open. A page without a neighbour is left to structure: its main lines, or else
+its open ones.
+
+Runs are found in one pass over ranges of (host, path), so a host with a third of all pages
+is spread over many tasks. What is shuffled is the codes of lines, 8 bytes each, never html.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
-from functools import reduce
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -29,13 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm import words
-from marketlake.llm.common import components, located, materialize
+from marketlake.llm.common import located, materialize, numbered
 
 FURNITURE, OPEN, MAIN = 0, 1, 2
 #: Pairs of lines, a bit each, that a subsequence is followed through at once.
 PAIRS = 100_000_000
 #: Percentage of shared lines from which a page is a near copy of another.
 NEAR = 80
+#: Consecutive pages whose numbers are searched for the ends of runs in one task.
+BLOCK = 1 << 17
 
 #: Elements whose content is never text of the page.
 _HIDDEN = {
@@ -292,7 +296,7 @@ def place(url: str | None) -> tuple[str, str]:
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Host, path and the lines of each page, as codes and kinds."""
     for batch in batches:
-        for part in words.slices(batch, "html"):
+        for part in words.slices(batch, "html", words.BATCH // 8):
             hosts, paths = zip(*[place(url) for url in part["url"].to_pylist()])
             found = [lines(page) for page in pc.fill_null(part["html"], "").to_pylist()]
             codes = [[code(text) for _, text in page] for page in found]
@@ -315,193 +319,191 @@ def copies(one: bytes, two: bytes, shared: set[int]) -> bool:
     return main > 0 and 2 * main >= mine or main > 1 and 2 * main >= two.count(MAIN)
 
 
-def _sides(pages: DataFrame) -> DataFrame:
-    """``pages`` (range, host, path, _file, _row, group) with ``prev`` and ``next``, the nearest
-    pages by path on either side that are of another group or host.
+def _alike(one: str, two: str) -> int:
+    """Length of the common beginning of two paths."""
+    for at, (x, y) in enumerate(zip(one, two)):
+        if x != y:
+            return at
+    return min(len(one), len(two))
 
-    Pages are sorted within ranges; pages next to an end of a range meet those beyond
-    through a table of a row per range.
-    """
-    names = ("host", "path", "_file", "_row")
-    key = F.struct(*names, "group")
-    inside = Window.partitionBy("range").orderBy(*names)
-    back = Window.partitionBy("range").orderBy(*[F.desc(name) for name in names])
-    sides = pages.withColumn("key", key)
-    # Either way from the start of the window: a frame to its end is added up again for each row.
-    for side, over in (("prev", inside), ("next", back)):
-        beside = F.lag("key").over(over)
-        other = (F.col(f"{side}.host") != F.col("host")) | (F.col(f"{side}.group") != F.col("group"))
-        sides = sides.withColumn(side, beside).withColumn(side, F.when(other, F.col(side)))
-        run = over.rowsBetween(Window.unboundedPreceding, 0)
-        sides = sides.withColumn(side, F.last(side, ignorenulls=True).over(run))
-    sides = materialize(sides, "page-sides")
-    ends = (
-        sides.groupBy("range")
-        .agg(
-            F.min("key").alias("first"), F.max("key").alias("last"),
-            F.max_by("prev", "key").alias("prev"), F.min_by("next", "key").alias("next"),
-        )
-        .orderBy("range")
-        .collect()  # as many rows as there are partitions
-    )
 
-    def beyond(ranges: list, page, end: str, other: str):
-        """Of the ranges from the nearest on, the first page of another run than ``page``."""
-        for r in ranges:
-            if (r[end].host, r[end].group) != (page.host, page.group):
-                return r[end]
-            if r[other]:
-                return r[other]
-        return None
-
-    met = [
-        (r.range, beyond(ends[:n][::-1], r.first, "last", "prev"), beyond(ends[n + 1 :], r["last"], "first", "next"))
-        for n, r in enumerate(ends)
-    ]
-    page = sides.schema["key"].dataType.simpleString()
-    met = pages.sparkSession.createDataFrame(met, f"range int, before {page}, after {page}")
-    return (
-        sides.join(F.broadcast(met), "range")
-        .withColumn("prev", F.coalesce("prev", "before"))
-        .withColumn("next", F.coalesce("next", "after"))
-    )
+_OUTLINE = "_file string, _row long, host string, path string, codes array<long>, kinds binary"
 
 
-def _neighbours(pages: DataFrame) -> DataFrame:
-    """(_file, _row, group, n_file, n_row, n_group): the page of the host with the nearest path
-    that is of another group."""
-    sides = _sides(pages)
-
-    def alike(side: str):
-        """Length of the common path prefix; NULL for another host."""
-        n = F.least(F.length("path"), F.length(f"{side}.path"))
-        same = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            F.lit(0),
-            lambda k, i: F.when(
-                (k == i - 1) & (F.substring("path", i, F.lit(1)) == F.substring(f"{side}.path", i, F.lit(1))),
-                i,
-            ).otherwise(k),
-        )
-        return F.when(F.col(f"{side}.host") == F.col("host"), same)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted pages with ``starts``: whether a page is no copy of the one before it, or of another
+    host; NULL for the first page of a task."""
+    last = None
+    for batch in batches:
+        for part in words.slices(batch, "kinds", words.BATCH // 8):
+            starts = []
+            for page in zip(*[part[name].to_pylist() for name in ("host", "codes", "kinds")]):
+                starts.append(None if last is None else _parted(last, page))
+                last = page
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(starts, pa.bool_())], names=[*part.schema.names, "starts"]
+            )
+
+
+def _parted(one: tuple, two: tuple) -> bool:
+    """Whether two (host, codes, kinds) are of other hosts or no copies of each other."""
+    return one[0] != two[0] or not copies(two[2], one[2], common_lines(two[1], one[1]))
 
-    prev, after = alike("prev"), alike("next")
-    near = F.when(F.coalesce(prev, F.lit(-1)) >= F.coalesce(after, F.lit(-1)), F.col("prev")).otherwise(F.col("next"))
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages, before = ([tuple(x.values()) for x in batch[name].to_pylist()] for name in ("page", "before"))
+        starts = [_parted(one, two) for one, two in zip(before, pages)]
+        yield pa.RecordBatch.from_arrays([batch["rank"], pa.array(starts, pa.bool_())], names=["rank", "edge"])
+
+
+def _ends(ranked: DataFrame) -> DataFrame:
+    """(rank, before, after): the last page before the run of a page, and the first one after it."""
+    outline = F.struct("host", "codes", "kinds")
+    firsts = ranked.where("starts IS NULL").select("rank", outline.alias("page"))  # one a partition
+    previous = ranked.select((F.col("rank") + 1).alias("rank"), outline.alias("before"))
+    edges = previous.join(F.broadcast(firsts), "rank").select("rank", "page", "before")
+    edges = materialize(edges.mapInArrow(_edges, "rank long, edge boolean"), "page-edges")
+    starts = ranked.select("rank", "starts").join(F.broadcast(edges), "rank", "left").select(
+        "rank", F.floor(F.col("rank") / BLOCK).alias("block"),
+        F.when(F.coalesce("starts", "edge", F.lit(True)), F.col("rank")).alias("start"),
+    )
+    blocks = starts.groupBy("block").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    order = Window.orderBy("block")  # a row for every BLOCK pages
+    blocks = blocks.select(
+        "block",
+        F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.min("low").over(Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"),
+    )
+    inside = Window.partitionBy("block").orderBy("rank")
+    back = Window.partitionBy("block").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        sides.withColumn("near", F.when(prev.isNotNull() | after.isNotNull(), near))
-        .where("near IS NOT NULL")
+        starts.withColumn("first", F.max("start").over(inside))
+        .withColumn("next", F.min("start").over(back))
+        .join(F.broadcast(materialize(blocks, "page-blocks")), "block")
         .select(
-            "_file", "_row", "group", F.col("near._file").alias("n_file"),
-            F.col("near._row").alias("n_row"), F.col("near.group").alias("n_group"),
+            "rank", (F.coalesce("first", "earlier") - 1).alias("before"),
+            F.coalesce("next", "later").alias("after"),
         )
     )
 
 
+def differing(page: dict, others: list[dict]) -> list[int] | None:
+    """Places of the lines of a page that its neighbours share; None if there is no neighbour.
+
+    ``others`` are the pages before and after its run. Those of another host, and copies, are
+    passed over.
+    """
+    shared = None
+    for other in sorted(others, key=lambda x: (-_alike(page["path"], x["path"]), x["rank"])):
+        if other["host"] != page["host"]:
+            continue
+        common = common_lines(page["codes"], other["codes"])
+        if not copies(page["kinds"], other["kinds"], common):
+            same = set(other["codes"])
+            # The nearest page is aligned; the other one only has to hold the line.
+            shared = common if shared is None else {at for at in shared if page["codes"][at] in same}
+    return None if shared is None else sorted(shared)
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = ("codes", "n_codes", "kinds", "n_kinds")
-        found, near = [], []
-        for one, two, kinds, n_kinds in zip(*[batch[x].to_pylist() for x in names]):
-            shared = common_lines(one, two)
-            near.append(copies(kinds, n_kinds, shared))
-            found.append([] if near[-1] else sorted(shared))
-        yield pa.RecordBatch.from_arrays(
-            [*[batch[x] for x in ("_file", "_row", "group", "n_group")], pa.array(near, pa.bool_()),
-             pa.array(found, pa.list_(pa.int32()))],
-            names=["_file", "_row", "group", "n_group", "copy", "shared"],
-        )
+        for part in words.slices(batch, "kinds", words.BATCH // 8):
+            found = [
+                differing(page, [x for x in (page["one"], page["two"]) if x])
+                for page in part.select(["host", "path", "codes", "kinds", "one", "two"]).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [part["_file"], part["_row"], pa.array(found, pa.list_(pa.int32()))],
+                names=["_file", "_row", "shared"],
+            )
 
 
 def _differences(outlines: DataFrame) -> DataFrame:
-    """(_file, _row, shared): the lines that a page shares with the nearest page of its host that
-    is no copy or near copy of it. Pages without such a page have no row.
+    """(_file, _row, shared): the lines that a page shares with its neighbours, NULL without any.
 
-    Pages of a host with the same lines are a group. Where the nearest page of another
-    group proves to be a near copy, both groups become one and the page looks further.
+    All joins have the same form at every size. Pages of a run ask for the same neighbours;
+    such a hot page is one row on its side of the join, and the planner splits the other.
     """
-    pages = materialize(
-        outlines.where("host <> ''")
-        .select("host", "path", "_file", "_row", F.xxhash64("host", "codes").alias("group"))
-        .repartitionByRange("host", "path", "_file", "_row")
-        .withColumn("range", F.spark_partition_id()),
-        "page-ranges",
-    )
-    mine = outlines.select("_file", "_row", "codes", "kinds")
-    other = outlines.select(
-        F.col("_file").alias("n_file"), F.col("_row").alias("n_row"),
-        F.col("codes").alias("n_codes"), F.col("kinds").alias("n_kinds"),
+    ranked = materialize(
+        numbered(
+            outlines.where("host <> ''"), "host", "path", "_file", "_row",
+            through=lambda rows: rows.mapInArrow(_runs, f"{_OUTLINE}, rank long, starts boolean"),
+        ),
+        "page-runs",
     )
-    done, left = [], None
-    while True:
-        pairs = _neighbours(pages)
-        if left is not None:
-            pairs = pairs.join(left, ["_file", "_row"], "left_semi")
-        found = materialize(
-            pairs.join(other, ["n_file", "n_row"])
-            .join(mine, ["_file", "_row"])
-            .select("_file", "_row", "group", "n_group", "codes", "n_codes", "kinds", "n_kinds")
-            .mapInArrow(
-                _compared,
-                "_file string, _row long, group long, n_group long, copy boolean, shared array<int>",
-            ),
-            "page-compared",
-        )
-        done.append(found.where("NOT copy").select("_file", "_row", "shared"))
-        left = found.where("copy")
-        if left.isEmpty():
-            return reduce(DataFrame.union, done)
-        roots = components(left.select(F.col("group").alias("a"), F.col("n_group").alias("b")))
-        pages = materialize(
-            pages.join(roots, F.col("group") == F.col("node"), "left")
-            .select("range", "host", "path", "_file", "_row", F.coalesce("root", "group").alias("group")),
-            "page-groups",
+    page = ranked.withColumnRenamed("rank", "place")
+    sides = _ends(ranked).hint("merge").join(page, F.col("rank") == F.col("place"))
+    for side, name in (("before", "one"), ("after", "two")):
+        other = ranked.select(
+            F.col("rank").alias("_at"), F.struct("rank", "host", "path", "codes", "kinds").alias(name)
         )
+        sides = sides.join(other.hint("merge"), F.col(side) == F.col("_at"), "left").drop("_at")
+    return sides.select("_file", "_row", "host", "path", "codes", "kinds", "one", "two").mapInArrow(
+        _compared, "_file string, _row long, shared array<int>"
+    )
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of each page that are no furniture, with their kinds and places."""
     for batch in batches:
-        for part in words.slices(batch, "html"):
-            out = []
-            pages = pc.fill_null(part["html"], "").to_pylist()
-            for page, shared in zip(pages, part["shared"].to_pylist()):
-                cut = lines(page)
-                if shared is None:
-                    least = max((kind for kind, _ in cut), default=OPEN)
-                else:
-                    least, gone = OPEN, set(shared)
-                    cut = [line for at, line in enumerate(cut) if at not in gone]
-                kept = [text for kind, text in cut if kind >= max(least, OPEN)]
-                out.append(" ".join(kept))
+        for part in words.slices(batch, "html", words.BATCH // 8):
+            found = [
+                [(at, kind, text) for at, (kind, text) in enumerate(lines(page)) if kind > FURNITURE]
+                for page in pc.fill_null(part["html"], "").to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays(
-                [part["page_id"], part["url"], pa.array(out, pa.string()),
-                 pa.array([len(x or ()) for x in part["shared"].to_pylist()], pa.int64())],
-                names=["page_id", "url", "text", "n_shared"],
+                [
+                    part["_file"], part["_row"], part["page_id"], part["url"],
+                    pa.array([[at for at, _, _ in page] for page in found], pa.list_(pa.int32())),
+                    pa.array([bytes(kind for _, kind, _ in page) for page in found], pa.binary()),
+                    pa.array([[text for _, _, text in page] for page in found], pa.list_(pa.string())),
+                ],
+                names=["_file", "_row", "page_id", "url", "places", "kinds", "texts"],
             )
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each page that its neighbours do not share, or without any the main ones."""
+    for batch in batches:
+        out = []
+        shared = batch["shared"].to_pylist()
+        names = ("places", "kinds", "texts")
+        for places, kinds, texts, gone in zip(*[batch[x].to_pylist() for x in names], shared):
+            if gone is None:
+                most = max(kinds, default=OPEN)
+                out.append(" ".join(text for kind, text in zip(kinds, texts) if kind == most))
+            else:
+                gone = set(gone)
+                out.append(" ".join(text for at, text in zip(places, texts) if at not in gone))
+        yield pa.RecordBatch.from_arrays(
+            [batch["page_id"], batch["url"], pa.array(out, pa.string()),
+             pa.array([len(x or ()) for x in shared], pa.int64())],
+            names=["page_id", "url", "text", "n_shared"],
+        )
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) for every row of ``pages`` (page_id, url, html).
 
-    ``text`` joins by one blank the lines that the nearest page of the host does not share, copies
-    and near copies left out, but for those that structure tells to be furniture. Pages without
-    a URL, alone on their host or with copies only have no neighbour: of these it joins the
-    main lines or, without any, the open ones. ``n_shared`` counts the lines shared. NULL and
-    empty html gives an empty text. Repeated rows are pages of their own. Other columns are
-    not read.
+    ``text`` joins by one blank the lines that the neighbours on the host do not share, but for
+    those that structure tells to be furniture. Pages without a URL, alone on their host, or
+    with copies on both sides of their run have no neighbour: of these it joins the main lines
+    or, without any, the open ones. ``n_shared`` counts the lines shared. NULL and empty html
+    gives an empty text. Repeated rows are pages of their own. Other columns are not read.
     """
     rows = located(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
     outlines = materialize(
-        rows.select("_file", "_row", "url", "html").mapInArrow(
-            _outlines,
-            "_file string, _row long, host string, path string, codes array<long>, kinds binary",
-        ),
-        "page-outlines",
+        rows.select("_file", "_row", "url", "html").mapInArrow(_outlines, _OUTLINE), "page-outlines"
     )
     shared = _differences(outlines)
+    kept = rows.mapInArrow(
+        _kept,
+        "_file string, _row long, page_id long, url string, places array<int>, kinds binary, texts array<string>",
+    )
     return (
-        rows.join(shared, ["_file", "_row"], "left")
-        .select("page_id", "url", "html", "shared")
+        kept.join(shared.hint("merge"), ["_file", "_row"], "left")
+        .select("page_id", "url", "places", "kinds", "texts", "shared")
         .mapInArrow(_texts, "page_id long, url string, text string, n_shared long")
-        .withColumn("n_chars", F.length("text").cast("long"))
-        .select("page_id", "url", "text", "n_chars", "n_shared")
+        .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
     )
