@@ -1,18 +1,19 @@
 """Secrets in texts: fixed patterns, and two character models compared by likelihood.
 
 Base spans follow three patterns. The models add tokens whose characters look random:
-one first-order Markov model of characters is trained on labelled random strings (the
-values of the base spans), one on labelled ordinary identifiers (words of a bounded
-sample of the texts). A token whose log-likelihood ratio per character reaches a
-threshold becomes a span of kind ``model``, unless it overlaps a base span.
+one first-order Markov model of characters is trained on labelled random strings over the
+alphabets that keys are written in, one on labelled ordinary identifiers (words and numbers
+of a bounded sample of the texts). Half of either sample is held out; it sets the threshold.
+A token whose log-likelihood ratio per character reaches it becomes a span of kind
+``model``, unless it overlaps a base span.
 
 Everything is expressed with DataFrame functions. Places are counted in code points,
-ends exclusive. Each model is a table of at most 67 x 67 character pairs.
+ends exclusive. The models are one table of 67 x 67 character pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import materialize
@@ -26,16 +27,33 @@ ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "model")
 
-#: Tokens that the models judge.
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
-#: Ordinary identifiers for training.
-IDENTIFIER = "[A-Za-z][A-Za-z0-9_-]{5,}"
+#: Tokens that the models judge: a value without its key, and the padding of base64.
+TOKEN = "[A-Za-z0-9+/_-]{12,}={0,2}"
+_ALONE = "(?<![A-Za-z0-9+/_=-])(?:%s)(?![A-Za-z0-9+/_=-])"
+#: Ordinary identifiers and numbers for training, as whole tokens: parts that are written as words,
+#: so that a random string in the texts is hardly ever taken for one.
+IDENTIFIER = _ALONE % "(?:[A-Z]{2,5}+|[A-Z]?[a-z]{2,}+)(?:[-_/]?[A-Z]?[a-z]{2,}+)*+[0-9]{0,4}|[0-9]+(?:[-/_][0-9]+)*+"
 #: Documents whose words train the model of identifiers, about.
 SAMPLE = 2000
-#: Least ratio per character, in natural logarithms.
+#: Labelled random strings, as many of each alphabet.
+RANDOM = 4000
+#: Least ratio per character, in natural logarithms, whatever the held-out samples say.
 RATIO = 1.0
-
-_LETTERS = 67
+#: Share of held-out random strings that may be missed, and of held-out identifiers that may pass.
+MISSED, PASSED = 0.02, 0.001
+
+# The alphabets of base62, base64, base64url, base36 and base32.
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (
+    _UPPER + _LOWER + _DIGITS,
+    _UPPER + _LOWER + _DIGITS + "+/",
+    _UPPER + _LOWER + _DIGITS + "-_",
+    _LOWER + _DIGITS,
+    _UPPER + "234567",
+)
+_SYMBOLS = _UPPER + _LOWER + _DIGITS + "+/_-="
+#: Weight of the frequency of a character where the one before it was seen rarely.
+_PRIOR = 20
 
 
 def _matches(kind: int, pattern: str, group: int = 0) -> Column:
@@ -96,31 +114,52 @@ def _pairs(values: DataFrame, *kept: str) -> DataFrame:
     ).select(*kept, "value", F.substring("value", F.col("at"), F.lit(2)).alias("pair"))
 
 
+def random_strings(spark: SparkSession) -> DataFrame:
+    """(value): ``RANDOM`` strings of 12 to 64 characters for each alphabet, drawn by hashing."""
+    alphabets = F.array(*[F.lit(x) for x in ALPHABETS])
+    row = spark.range(RANDOM * len(ALPHABETS)).withColumn(
+        "alphabet", F.element_at(alphabets, (F.col("id") % len(ALPHABETS) + 1).cast("int"))
+    )
+    size = (F.pmod(F.xxhash64("id", F.lit("size")), F.lit(53)) + 12).cast("int")
+
+    def drawn(at: Column) -> Column:
+        place = F.pmod(F.xxhash64("id", at), F.length("alphabet")) + 1
+        return F.substring("alphabet", place.cast("int"), F.lit(1))
+
+    return row.select(F.array_join(F.transform(F.sequence(F.lit(1), size), drawn), "").alias("value"))
+
+
 def train(random: DataFrame, ordinary: DataFrame) -> DataFrame:
     """(pair, ratio): for two characters the log ratio of the likelihoods, that the second
     follows the first in a random string and that it does in an ordinary identifier.
 
-    Both samples are tables of ``value``. Every pair of known characters has a row, unseen
-    ones by add-one smoothing.
+    Both samples are tables of ``value``. Every pair of known characters has a row. The
+    likelihood of b after a is ``(count(ab) + PRIOR * share(b)) / (count(a) + PRIOR)``, so that a
+    character that a sample hardly has is unlikely after any other; shares are by add-one
+    smoothing over the characters.
     """
-
-    def counted(values: DataFrame, name: str) -> DataFrame:
-        return _pairs(values).groupBy("pair").agg(F.count("*").alias(name))
-
-    pairs = counted(random, "r").join(counted(ordinary, "o"), "pair", "full").na.fill(0, ["r", "o"])
-    first = pairs.groupBy(F.substring("pair", 1, 1).alias("first")).agg(
-        F.sum("r").alias("all_r"), F.sum("o").alias("all_o")
+    symbols = F.array(*[F.lit(x) for x in _SYMBOLS])
+    grid = (
+        random.sparkSession.range(1)
+        .select(F.explode(symbols).alias("first"))
+        .select("first", F.explode(symbols).alias("second"))
+        .withColumn("pair", F.concat("first", "second"))
     )
-    return (
-        pairs.withColumn("first", F.substring("pair", 1, 1))
-        .join(first, "first")
-        .select(
-            "pair",
-            (
-                F.log((F.col("r") + 1) / (F.col("all_r") + _LETTERS))
-                - F.log((F.col("o") + 1) / (F.col("all_o") + _LETTERS))
-            ).alias("ratio"),
+    every = Window.partitionBy()  # at most 67 * 67 rows
+
+    def likelihood(values: DataFrame, name: str) -> DataFrame:
+        counts = _pairs(values).groupBy("pair").agg(F.count("*").alias("n"))
+        n = F.col("n")
+        share = (F.sum("n").over(Window.partitionBy("second")) + 1) / (F.sum("n").over(every) + len(_SYMBOLS))
+        after = F.sum("n").over(Window.partitionBy("first"))
+        return (
+            grid.join(counts, "pair", "left")
+            .na.fill(0, ["n"])
+            .select("pair", F.log((n + _PRIOR * share) / (after + _PRIOR)).alias(name))
         )
+
+    return likelihood(random, "r").join(likelihood(ordinary, "o"), "pair").select(
+        "pair", (F.col("r") - F.col("o")).alias("ratio")
     )
 
 
@@ -136,13 +175,28 @@ def score(tokens: DataFrame, model: DataFrame) -> DataFrame:
     )
 
 
-def _ordinary(docs: DataFrame) -> DataFrame:
-    """Identifiers of a sample of about ``SAMPLE`` documents, chosen by doc_id, without those
-    that hold digits."""
+def ordinary_identifiers(docs: DataFrame) -> DataFrame:
+    """(value): the identifiers and numbers in a sample of about ``SAMPLE`` documents, chosen by
+    doc_id and text; once as they are written and once in capitals, as in headings."""
     every = F.greatest(F.lit(1), F.ceil(F.lit(docs.count()) / F.lit(SAMPLE)))
-    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), every) == 0)
+    chosen = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
     words = F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))
-    return sample.select(F.explode(words).alias("value")).where("NOT value RLIKE '[0-9]'")
+    sample = docs.where(F.pmod(chosen, every) == 0).select(F.explode(words).alias("value"))
+    return sample.select(F.explode(F.array("value", F.upper("value"))).alias("value"))
+
+
+def fit(random: DataFrame, ordinary: DataFrame) -> tuple[DataFrame, float]:
+    """The table of pairs, and the least ratio of a span. Half of either sample, by hash of the value,
+    trains; the other half sets the threshold. Of identifiers only those as long as tokens count there."""
+    held = F.pmod(F.xxhash64("value"), F.lit(2)) == 1
+    model = materialize(train(random.where(~held), ordinary.where(~held)), "secret-model")
+
+    def quantile(values: DataFrame, at: float) -> float:
+        found = score(values.where(held), model).agg(F.percentile("ratio", F.lit(at))).first()[0]
+        return RATIO if found is None else found
+
+    long = ordinary.where("length(value) >= 12")
+    return model, max(RATIO, quantile(random, MISSED), quantile(long, 1 - PASSED))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -153,11 +207,9 @@ def spans(docs: DataFrame) -> DataFrame:
     other. Columns other than doc_id and text are not read.
     """
     found = materialize(matches(docs), "secret-spans")
-    model = materialize(
-        train(found.where("kind < 3").select("value"), _ordinary(docs)), "secret-model"
-    )
+    model, least = fit(random_strings(docs.sparkSession), ordinary_identifiers(docs))
     tokens = found.where("kind = 3").select("value")
-    likely = score(tokens, model).where(F.col("ratio") >= RATIO).select("value", F.lit(True).alias("likely"))
+    likely = score(tokens, model).where(F.col("ratio") >= least).select("value", F.lit(True).alias("likely"))
     span = F.struct("first", "kind", "last", "value")
     # Only tokens join by value: rows without any span would all have the same, no value.
     judged = (
