@@ -410,8 +410,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch, "kinds", words.BATCH // 8):
             found = [
-                differing(page, [x for x in (page["one"], page["two"]) if x])
-                for page in part.select(["host", "path", "codes", "kinds", "one", "two"]).to_pylist()
+                differing(page, page["others"] or [])
+                for page in part.select(["host", "path", "codes", "kinds", "others"]).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
                 [part["_file"], part["_row"], pa.array(found, pa.list_(pa.int32()))],
@@ -425,22 +425,19 @@ def _differences(outlines: DataFrame) -> DataFrame:
     All joins have the same form at every size. Pages of a run ask for the same neighbours;
     such a hot page is one row on its side of the join, and the planner splits the other.
     """
-    ranked = materialize(
-        numbered(
-            outlines.where("host <> ''"), "host", "path", "_file", "_row",
-            through=lambda rows: rows.mapInArrow(_runs, f"{_OUTLINE}, rank long, starts boolean"),
-        ),
-        "page-runs",
+    ranked = numbered(
+        outlines.where("host <> ''"), "host", "path", "_file", "_row",
+        through=lambda rows: rows.mapInArrow(_runs, f"{_OUTLINE}, rank long, starts boolean"),
     )
-    page = ranked.withColumnRenamed("rank", "place")
-    sides = _ends(ranked).hint("merge").join(page, F.col("rank") == F.col("place"))
-    for side, name in (("before", "one"), ("after", "two")):
-        other = ranked.select(
-            F.col("rank").alias("_at"), F.struct("rank", "host", "path", "codes", "kinds").alias(name)
-        )
-        sides = sides.join(other.hint("merge"), F.col(side) == F.col("_at"), "left").drop("_at")
-    return sides.select("_file", "_row", "host", "path", "codes", "kinds", "one", "two").mapInArrow(
-        _compared, "_file string, _row long, shared array<int>"
+    asked = _ends(ranked).select("rank", F.explode(F.array("before", "after")).alias("at")).where("at IS NOT NULL")
+    other = ranked.select(
+        F.col("rank").alias("at"), F.struct("rank", "host", "path", "codes", "kinds").alias("other")
+    )
+    others = asked.hint("merge").join(other, "at").groupBy("rank").agg(F.collect_list("other").alias("others"))
+    return (
+        ranked.drop("starts").hint("merge").join(others, "rank", "left")  # two others at most
+        .select("_file", "_row", "host", "path", "codes", "kinds", "others")
+        .mapInArrow(_compared, "_file string, _row long, shared array<int>")
     )
 
 
