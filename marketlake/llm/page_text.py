@@ -13,7 +13,8 @@ the rest is open. A page without a neighbour is left to structure: its main line
 its open ones.
 
 Runs are found in one pass over ranges of (host, path), so a host with a third of all pages
-is spread over many tasks. What is shuffled is the codes of lines, 8 bytes each, never html.
+is spread over many tasks. What is shuffled is the codes of lines, 8 bytes each, and once the
+compressed lines that structure keeps, never html.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -442,42 +444,47 @@ def _differences(outlines: DataFrame) -> DataFrame:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of each page that are no furniture, with their kinds and places."""
+    """Kinds of the lines of each page, and those that are no furniture as one zstandard frame.
+
+    White space within a line is blanks only, so a line feed parts the lines.
+    """
+    frames = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for part in words.slices(batch, "html", words.BATCH // 8):
-            found = [
-                [(at, kind, text) for at, (kind, text) in enumerate(lines(page)) if kind > FURNITURE]
-                for page in pc.fill_null(part["html"], "").to_pylist()
-            ]
+            found = [lines(page) for page in pc.fill_null(part["html"], "").to_pylist()]
+            texts = ["\n".join(text for kind, text in page if kind > FURNITURE) for page in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     part["_file"], part["_row"], part["page_id"], part["url"],
-                    pa.array([[at for at, _, _ in page] for page in found], pa.list_(pa.int32())),
-                    pa.array([bytes(kind for _, kind, _ in page) for page in found], pa.binary()),
-                    pa.array([[text for _, _, text in page] for page in found], pa.list_(pa.string())),
+                    pa.array([bytes(kind for kind, _ in page) for page in found], pa.binary()),
+                    pa.array([frames.compress(text.encode()) for text in texts], pa.binary()),
                 ],
-                names=["_file", "_row", "page_id", "url", "places", "kinds", "texts"],
+                names=["_file", "_row", "page_id", "url", "kinds", "packed"],
             )
 
 
+def _text(kinds: bytes, packed: str, shared: list[int] | None) -> str:
+    """The lines of a page that its neighbours do not share, or without any the main ones."""
+    places = [at for at, kind in enumerate(kinds) if kind > FURNITURE]
+    gone = set(shared or ())
+    if shared is None:
+        most = max(kinds, default=OPEN)
+        gone = {at for at in places if kinds[at] != most}
+    return " ".join(text for at, text in zip(places, packed.split("\n")) if at not in gone)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each page that its neighbours do not share, or without any the main ones."""
+    frames = zstandard.ZstdDecompressor()
     for batch in batches:
-        out = []
-        shared = batch["shared"].to_pylist()
-        names = ("places", "kinds", "texts")
-        for places, kinds, texts, gone in zip(*[batch[x].to_pylist() for x in names], shared):
-            if gone is None:
-                most = max(kinds, default=OPEN)
-                out.append(" ".join(text for kind, text in zip(kinds, texts) if kind == most))
-            else:
-                gone = set(gone)
-                out.append(" ".join(text for at, text in zip(places, texts) if at not in gone))
-        yield pa.RecordBatch.from_arrays(
-            [batch["page_id"], batch["url"], pa.array(out, pa.string()),
-             pa.array([len(x or ()) for x in shared], pa.int64())],
-            names=["page_id", "url", "text", "n_shared"],
-        )
+        for part in words.slices(batch, "packed", words.BATCH // 32):
+            shared = part["shared"].to_pylist()
+            rows = zip(part["kinds"].to_pylist(), part["packed"].to_pylist(), shared)
+            out = [_text(kinds, frames.decompress(packed).decode(), gone) for kinds, packed, gone in rows]
+            yield pa.RecordBatch.from_arrays(
+                [part["page_id"], part["url"], pa.array(out, pa.string()),
+                 pa.array([len(x or ()) for x in shared], pa.int64())],
+                names=["page_id", "url", "text", "n_shared"],
+            )
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -496,11 +503,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     shared = _differences(outlines)
     kept = rows.mapInArrow(
         _kept,
-        "_file string, _row long, page_id long, url string, places array<int>, kinds binary, texts array<string>",
+        "_file string, _row long, page_id long, url string, kinds binary, packed binary",
     )
     return (
         kept.join(shared.hint("merge"), ["_file", "_row"], "left")
-        .select("page_id", "url", "places", "kinds", "texts", "shared")
+        .select("page_id", "url", "kinds", "packed", "shared")
         .mapInArrow(_texts, "page_id long, url string, text string, n_shared long")
         .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
     )
