@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or SQL, and on the odd inputs."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -411,8 +412,65 @@ def test_decontaminate(spark, odd, empty):
 
 def test_decontaminate_without_broadcast(spark, odd, monkeypatch):
     benchmark = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
-    assert decontaminate.passages(odd, benchmark).where("contaminated").count() == 3
+    monkeypatch.setattr(decontaminate, "BROADCAST", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = common.located(odd).select("_file", "_row", decontaminate.word_hashes(F.col("text")).alias("words"))
+        plan = decontaminate.hits(rows, benchmark)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        assert decontaminate.passages(odd, benchmark).where("contaminated").count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("size", range(1, 21))
+def test_masks_leave_no_substitutions_out(size):
+    passage = min(size, decontaminate.PASSAGE)
+    for changed in itertools.combinations(range(passage), decontaminate.substitutions(passage)):
+        assert any(
+            all(at + place not in changed for place in mask)
+            for mask in decontaminate.masks(size)
+            for at in range(passage - max(mask) if size >= decontaminate.PASSAGE else 1)
+        ), changed
+
+
+def _agreeing(doc, item):
+    """The most words that agree in a passage, over all ways to lay the item beside the text."""
+    best, size = 0, min(len(item), decontaminate.PASSAGE)
+    for shift in range(1 - len(item), len(doc)):
+        same = [0 <= at + shift < len(doc) and doc[at + shift] == word for at, word in enumerate(item)]
+        best = max([best, *(sum(same[at : at + size]) for at in range(len(item) - size + 1))])
+    return best if size and best * 100 >= size * decontaminate.SIMILAR else 0
+
+
+def test_decontaminate_is_all_pairs(spark, sf_dir):
+    """Every length of item, every choice of substituted words, and texts cut at either end."""
+    items, docs = {}, []
+    for size in range(1, 16):
+        item = items[size] = [f"i{size}w{n % 9}" for n in range(size)]
+        passage = min(size, decontaminate.PASSAGE)
+        most = decontaminate.substitutions(passage)
+        for count in range(most + 2):
+            for changed in itertools.combinations(range(passage), min(count, passage)):
+                words = [("x" if n in changed else word) for n, word in enumerate(item)]
+                docs.append(["a", "b", *words, "c"])
+        docs += [item, item[1:], item[2:], item[:-1], item[:-2], item[1:-1], item + item]
+    items[99] = items[12]
+    real = common.table(spark, sf_dir, "documents").select("text").limit(60).collect()
+    known = common.table(spark, sf_dir, "benchmark").select("item_id", "text").collect()
+    items |= {1000 + r.item_id: split(lower(r.text)) for r in known}
+    docs += [split(lower(r.text)) for r in real]
+    rows = spark.createDataFrame([(n, " ".join(words)) for n, words in enumerate(docs)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    expected = {}
+    for n, words in enumerate(docs):
+        present = set(words)
+        found = {i: _agreeing(words, item) for i, item in items.items() if present & set(item)}
+        found = {i: most for i, most in found.items() if most}
+        expected[n] = (bool(found), sorted(found), max(found.values(), default=0))
+    got = decontaminate.passages(rows, benchmark).collect()
+    assert {r.doc_id: (r.contaminated, r.item_ids, r.agreeing) for r in got} == expected
 
 
 def test_byte_bpe(spark, sf_dir, odd, empty):
