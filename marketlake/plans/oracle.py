@@ -207,20 +207,20 @@ requests AS (
 def _checks_sql(listings: str, sales: str) -> str:
     """The check report over given listings and sales."""
     not_null = {
-        ("listings", "stg_listings", "warn"): "listing_id item_id world_id price_per_unit quantity",
-        ("sales", "stg_sales", "warn"): "item_id world_id price_per_unit quantity",
-        ("price_summary", "price_summary", "error"): "item_id world_id item_name listing_count min_price",
-        ("arbitrage", "arbitrage", "error"): "item_id world_id profit_margin_pct",
-        ("hq_premium", "hq_premium", "error"): "item_id hq_avg_price nq_avg_price",
-        ("velocity", "velocity", "error"): "item_id sale_count total_volume",
-        ("price_history", "price_history", "error"): "item_id sale_date sale_count",
-        ("items", "item_names", "error"): "item_id item_name",
-        ("worlds", "world_names", "error"): "world_id world_name",
+        ("listings", "stg_listings", "warn"): ["listing_id", "item_id", "world_id", "price_per_unit", "quantity"],
+        ("sales", "stg_sales", "warn"): ["item_id", "world_id", "price_per_unit", "quantity"],
+        ("price_summary", "price_summary", "error"): ["item_id", "world_id", "item_name", "listing_count", "min_price"],
+        ("arbitrage", "arbitrage", "error"): ["item_id", "world_id", "profit_margin_pct"],
+        ("hq_premium", "hq_premium", "error"): ["item_id", "hq_avg_price", "nq_avg_price"],
+        ("velocity", "velocity", "error"): ["item_id", "sale_count", "total_volume"],
+        ("price_history", "price_history", "error"): ["item_id", "sale_date", "sale_count"],
+        ("items", "item_names", "error"): ["item_id", "item_name"],
+        ("worlds", "world_names", "error"): ["world_id", "world_name"],
     }
     unique = {
-        ("listings", "stg_listings", "warn"): "listing_id",
-        ("items", "item_names", "error"): "item_id",
-        ("worlds", "world_names", "error"): "world_id world_name",
+        ("listings", "stg_listings", "warn"): ["listing_id"],
+        ("items", "item_names", "error"): ["item_id"],
+        ("worlds", "world_names", "error"): ["world_id", "world_name"],
     }
     rows = {
         ("arbitrage", "arbitrage", "error", "margin_not_negative"): "profit_margin_pct < 0",
@@ -242,10 +242,10 @@ def _checks_sql(listings: str, sales: str) -> str:
         )
 
     for (view, target, severity), columns in not_null.items():
-        for c in columns.split():
+        for c in columns:
             add(f"not_null_{c}", target, severity, f"{view} WHERE {c} IS NULL")
     for (view, target, severity), columns in unique.items():
-        for c in columns.split():
+        for c in columns:
             repeated = f"(SELECT {c} FROM {view} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1)"
             add(f"unique_{c}", target, severity, repeated)
     for (view, target, severity, name), condition in rows.items():
@@ -300,6 +300,8 @@ ORACLE: dict[str, str] = {
     ),
     "dim_items": "SELECT p_partkey AS item_id, trim(p_name) AS item_name FROM part WHERE p_partkey <> 0",
     "dim_worlds": "SELECT s_suppkey * 40 AS world_id, s_name AS world_name FROM supplier WHERE s_suppkey * 40 < 3000",
+    "dim_worlds_file": """SELECT CAST(s_suppkey * 40 AS INTEGER) AS world_id, s_name AS world_name
+        FROM supplier WHERE s_suppkey * 40 < 3000""",
     "dim_centers": """SELECT n_name AS data_center, n_nationkey AS center_position,
         s_name || suffix AS world_name, position
         FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -324,6 +326,7 @@ ORACLE: dict[str, str] = {
     ),
     "price_band": sql("SELECT * FROM price_band", LISTINGS, PRICE_BAND),
     "arbitrage": sql("SELECT * FROM arbitrage", *M3),
+    "mart_order": sql("SELECT * FROM arbitrage", *M3),
     "velocity": sql("SELECT * FROM velocity", *M45),
     "price_history": sql("SELECT * FROM price_history", *M45),
     "velocity_fine": sql("SELECT * FROM velocity", SALES_FINE, DIMS, PRICE_HISTORY),

@@ -113,6 +113,17 @@ def dim_worlds(m: Market) -> DataFrame:
     return dims.world_names(source)
 
 
+def dim_worlds_file(m: Market) -> DataFrame:
+    """Suppliers as worlds in files of one JSON array over many lines each, read back."""
+    path = work_path(m.spark, "world_files")
+    world = F.struct((F.col("s_suppkey") * 40).alias("id"), F.col("s_name").alias("name"))
+    arrays = m.table("supplier").groupBy(F.expr("s_suppkey div 1000").alias("part")).agg(
+        F.to_json(F.collect_list(world), {"pretty": "true"}).alias("value")  # 1000 rows at most
+    )
+    arrays.write.partitionBy("part").text(path)
+    return dims.world_names(dims.read_world_source(m.spark, path))
+
+
 def dim_centers(m: Market) -> DataFrame:
     """Nations as centers, each supplier row listing itself and its trade name."""
     source = m.table("supplier").join(m.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -366,6 +377,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "lake_peek": lambda m: lake.peek(m.raw_listings),
     "dim_items": dim_items,
     "dim_worlds": dim_worlds,
+    "dim_worlds_file": dim_worlds_file,
     "dim_centers": dim_centers,
     "region_worlds": region_worlds,
     # Events
@@ -388,6 +400,7 @@ QUERIES: dict[str, Callable[[Market], DataFrame]] = {
     "price_history": lambda m: m.price_history,
     "velocity_fine": lambda m: marts.velocity(m.sales_fine, m.items, m.worlds),
     "price_history_fine": lambda m: marts.price_history(m.sales_fine, m.items, m.worlds),
+    "mart_order": lambda m: serving.whole_mart(m.arbitrage, "arbitrage"),
     # Lookups
     "top_arbitrage": lambda m: serving.top_arbitrage(m.arbitrage),
     "top_velocity": lambda m: serving.top_velocity(m.velocity),

@@ -133,3 +133,11 @@ def test_texts(spark):
 )
 def test_fenced_sql_column_equals_text(spark, text):
     assert one(spark, fx.fenced_sql(F.lit(text))) == fx.fenced_sql_text(text)
+
+
+def test_whole_mart_order(spark):
+    rows = [(2, 5.0), (1, 5.0), (3, None), (4, 9.5), (None, 5.0)]
+    mart = spark.createDataFrame(rows, "item_id int, profit_margin_pct double").repartition(3)
+    shown = serving.whole_mart(mart, "arbitrage").collect()
+    assert [r.item_id for r in shown] == [4, 1, 2, None, 3]
+    assert serving.whole_mart(mart.where("false"), "arbitrage").count() == 0
