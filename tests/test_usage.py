@@ -1,12 +1,13 @@
 import datetime
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from marketlake.operators import usage
 from marketlake.schemas import REQUEST_LOG
-from marketlake.streaming.requests import read_request_figures, start_request_figures
+from marketlake.streaming.requests import BUCKETS, Requests, read_request_figures, start_request_figures
 from marketlake.streaming.usage import fold_rollup, read_rollup, start_rollup
 
 T0 = datetime.datetime(2024, 1, 1, 23, 58)
@@ -145,3 +146,66 @@ def test_request_stream_expires(spark, tmp_path):
     minute = at(120)
     assert found["expired"] == {minute: (1,)}
     assert found["active"][minute] == (0,) and found["active"][at(480)] == (1,)
+
+
+def test_request_state_is_shared_by_buckets(spark, tmp_path):
+    """Many requests, one entry of state a bucket, and the figures of a batch job."""
+    many = [
+        (at(i % 300 + 7 * k), f"r{i}", k, 1, 1, None, 10.0 * i if k and i % 3 else None, "GET", "/", 200 if k and i % 5 else None)
+        for i in range(4 * BUCKETS) for k in (0, 1)
+    ]
+    for half in (many[::2], many[1::2]):
+        spark.createDataFrame(half, REQUEST_LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(REQUEST_LOG).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = start_request_figures(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", interval=None)
+    query.awaitTermination()
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= BUCKETS
+    log, found = spark.createDataFrame(many, REQUEST_LOG), _figures(spark, f"{tmp_path}/out")
+    assert found["means"] == {r["window_start"]: tuple(r)[1:] for r in usage.usage_means(log).collect()}
+    assert found["active"] == {r["window_start"]: tuple(r)[1:] for r in usage.usage_active(log).collect()}
+
+
+class _State:
+    """A bucket's entry of state, as the stream hands it to the update."""
+
+    def __init__(self):
+        self.exists, self.hasTimedOut, self.now, self.timer = False, False, 0, None
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutDuration(self, duration):
+        self.timer = self.now + duration
+
+    def remove(self):
+        self.exists = False
+
+
+def test_requests_of_a_bucket_expire_one_by_one():
+    nan, state, update = float("nan"), _State(), Requests(100)
+
+    def came(now, *rows, timed_out=False):
+        state.now, state.hasTimedOut = now, timed_out
+        names = ["request_id", "started", "closed", "last", "rounds", "duration"]
+        frames = iter([pd.DataFrame([row], columns=names) for row in rows])
+        changes = pd.concat(list(update((0,), frames, state)))
+        return sorted(map(repr, changes.itertuples(index=False, name=None)))
+
+    assert came(0, ("a", 5, -1, 5, 1, nan), ("b", 6, -1, 6, 1, nan), ("a", 4, -1, 7, 2, nan)) == [
+        repr(("a", 1, 4, -1, 2, nan, False)), repr(("b", 1, 6, -1, 1, nan, False))
+    ]
+    assert state.timer == 100
+    # The same row again changes nothing, but the timer of its request.
+    assert came(50, ("b", 6, -1, 6, 1, nan)) == [] and state.timer == 100
+    assert came(101, timed_out=True) == [
+        repr(("a", -1, 4, -1, 2, nan, False)), repr(("a", 1, 4, 7, 2, nan, True))
+    ]
+    assert state.timer == 150
+    assert came(151, ("b", 8, 8, 8, 3, 9.0)) == [
+        repr(("b", -1, 6, -1, 1, nan, False)), repr(("b", 1, 6, 8, 3, 9.0, False))
+    ]
+    # A closed request leaves without a trace.
+    assert came(252, timed_out=True) == [] and not state.exists
