@@ -10,13 +10,13 @@ from marketlake.plans import marts, quality
 from marketlake.plans.publish import new_run, publish
 from marketlake.sources import dims
 from marketlake.sources.catalog import register_views
-from marketlake.sources.lake import LakeTable
+from marketlake.sources.lake import CODEC, LakeTable
 from marketlake.plans.staging import stg_listings, stg_sales
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
     """Write one table in full and go on from the stored form."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=CODEC)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -223,13 +223,17 @@ def usage_means(m: Market) -> DataFrame:
     )
 
 
+FILE_EVENTS = 300_000
+
+
 def _ingest(m: Market, root: str, name: str) -> lake.LakeTable:
     """One event stream, from a folder of JSON lines into a fresh lake table."""
     events, table, parse = {
         "listings": (testdata.listing_events, lake.listings_table, flatten.parse_listings),
         "sales": (testdata.sale_events, lake.sales_table, flatten.parse_sales),
     }[name]
-    events(m.spark, m.dir).write.text(f"{root}/in/{name}")
+    # A compressed file is read by one task, so files are cut for many tasks.
+    events(m.spark, m.dir).write.option("maxRecordsPerFile", FILE_EVENTS).text(f"{root}/in/{name}", compression="gzip")
     target = table(f"{root}/{name}")
     raw = topics.read_topic_files(m.spark, f"{root}/in/{name}")
     ingest.start_ingest(

@@ -2,7 +2,8 @@
 
 A table keeps an append log and a compacted base:
 
-    log/batch_id=N/world=W/dt=D     rows of micro-batch N
+    appends/batch_id=N              rows of micro-batch N, as they came
+    log/batch_id=N/world=W/dt=D     the same of earlier tables, which are still read
     commits/batch_id=N              that N is complete, and its number of rows
     base/version=V/world=W/dt=D     one row per key, as of compaction V
     parts/snapshot=V                which version holds each (world, dt)
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,9 @@ COMPACT_EVERY = 5
 # Up to this many keys, at some 100 bytes each, are sent to every executor.
 BROADCAST_ROWS = 1_000_000
 
+# Of log and base, each written once and read many times.
+CODEC = "zstd"
+
 PARTITION = ["world", "dt"]
 
 # Order of arrival; no two rows of a table agree on all of it.
@@ -70,6 +75,10 @@ class LakeTable:
     def quarantine(self) -> str:
         return f"{self.path}/quarantine"
 
+    @property
+    def appends(self) -> str:
+        return f"{self.path}/appends"
+
     @property
     def order(self) -> list[str]:
         return [c for c in [self.precombine, *ORDER] if c not in self.keys]
@@ -94,15 +103,12 @@ class LakeTable:
     def write(self, rows: DataFrame, batch_id: int) -> int:
         """Write the rows of a batch, unseen by readers until it is committed."""
         counted = Observation()
-        # Rebalancing gives a (world, dt) one file instead of one per task, and
-        # splits the (world, dt) that is too large for one.
+        # No shuffle: a reader takes a batch as a whole, and the compaction lays it out by (world, dt).
         (
             _with_arrival(rows)
             .observe(counted, F.count(F.lit(1)).alias("rows"))
-            .hint("rebalance", *PARTITION)
             .write.mode("overwrite")
-            .partitionBy(*PARTITION)
-            .parquet(f"{self.path}/log/batch_id={batch_id}")
+            .parquet(f"{self.appends}/batch_id={batch_id}", compression=CODEC)
         )
         return counted.get.get("rows", 0)
 
@@ -130,7 +136,9 @@ class LakeTable:
             old = self._base(spark, version, touched)
             merged = self._latest(old.unionByName(fresh))
             kept = self._parts(spark, version).join(touched, PARTITION, "left_anti")
-        merged.hint("rebalance", *PARTITION).write.partitionBy(*PARTITION).parquet(target)
+        # Rebalancing gives a (world, dt) one file instead of one per task, and
+        # splits the (world, dt) that is too large for one.
+        merged.hint("rebalance", *PARTITION).write.partitionBy(*PARTITION).parquet(target, compression=CODEC)
         written = spark.read.schema(self.stored).parquet(target).select(*PARTITION).distinct()
         parts = written.withColumn("version", F.lit(new).cast("bigint"))
         parts = parts if kept is None else kept.unionByName(parts)
@@ -173,7 +181,8 @@ class LakeTable:
         commits = self._commits(spark)
         if commits.where(F.col("batch_id") >= 0).isEmpty():
             return spark.createDataFrame([], self.schema)
-        log = spark.read.schema(self.stored).parquet(f"{self.path}/log")
+        roots = [r for r in (self.appends, f"{self.path}/log") if exists(spark, r)]
+        log = reduce(DataFrame.unionByName, [self._rows(spark, r, [r]) for r in roots])
         return log.join(commits, "batch_id", "left_semi").select(*self.schema.names)
 
     def read_quarantine(self, spark: SparkSession) -> DataFrame:
@@ -204,10 +213,15 @@ class LakeTable:
         return record["version"], record["last_batch"]
 
     def _log(self, spark: SparkSession, batches: dict[int, int]) -> DataFrame:
-        root = f"{self.path}/log"
         if not batches:
             return spark.createDataFrame([], self.stored)
-        paths = [f"{root}/batch_id={b}" for b in sorted(batches)]
+        paths: dict[str, list[str]] = {}
+        for folder in (f"batch_id={b}" for b in sorted(batches)):
+            root = self.appends if exists(spark, f"{self.appends}/{folder}") else f"{self.path}/log"
+            paths.setdefault(root, []).append(f"{root}/{folder}")
+        return reduce(DataFrame.unionByName, [self._rows(spark, *found) for found in paths.items()])
+
+    def _rows(self, spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
         reader = spark.read.schema(self.stored).option("basePath", root)
         return reader.parquet(*paths).select(*self.stored.names)
 

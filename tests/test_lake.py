@@ -7,7 +7,9 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from marketlake import testdata
 from marketlake.operators.flatten import parse_listings, parse_sales
+from marketlake.plans import registry
 from marketlake.schemas import RAW_LISTINGS, RAW_SALES
 from marketlake.sources import lake, topics
 from marketlake.streaming import ingest
@@ -256,3 +258,34 @@ def test_parse_sales_feeds_the_table(spark, tmp_path):
     table.append(parse_sales(raw)[0], 0)
     (row,) = table.read(spark).collect()
     assert (row["world"], row["quantity"], row["ts"]) == (2, 3, T0)
+
+
+def test_batches_are_appended_as_they_came(spark, tmp_path):
+    """A batch is written compressed and without a shuffle; one in the layout before is read too."""
+    table = lake.listings_table(str(tmp_path / "listings")).create(spark)
+    rows = spark.createDataFrame([listing(f"k{i}", T0 + 86400 * (i % 3), 5, world=i % 4) for i in range(40)], RAW_LISTINGS)
+    table.append(rows.coalesce(1), 0)
+    written = [p.name for p in (tmp_path / "listings/appends/batch_id=0").iterdir() if p.suffix == ".parquet"]
+    assert len(written) == 1 and written[0].endswith(".zstd.parquet")
+    newer = spark.createDataFrame([listing(f"k{i}", T0 + 86400 * 9, 7) for i in range(5)], RAW_LISTINGS)
+    before = lake._with_arrival(newer)
+    before.write.partitionBy(*lake.PARTITION).parquet(str(tmp_path / "listings/log/batch_id=1"))
+    table.commit(spark, 1, 5)
+    for _ in range(2):
+        found = {r["listingID"]: r["pricePerUnit"] for r in table.read(spark).collect()}
+        assert found == {f"k{i}": 7 if i < 5 else 5 for i in range(40)}
+        assert table.read_raw(spark).count() == 45
+        table.compact(spark)
+    base = [p.name for p in (tmp_path / "listings/base").rglob("*.parquet")]
+    assert base and all(name.endswith(".zstd.parquet") for name in base)
+
+
+def test_event_files_are_compressed(spark, sf_dir, tmp_path, monkeypatch):
+    """In files small enough for many tasks, with all events in them."""
+    monkeypatch.setattr(registry, "FILE_EVENTS", 100)
+    registry._ingest(registry.Market(spark, sf_dir), str(tmp_path), "sales")
+    events = testdata.sale_events(spark, sf_dir)
+    files = [p for p in (tmp_path / "in/sales").iterdir() if p.name.startswith("part-")]
+    assert len(files) >= events.count() / 100 and all(p.name.endswith(".txt.gz") for p in files)
+    back = spark.read.text(f"{tmp_path}/in/sales")
+    assert sorted(r[0] for r in back.collect()) == sorted(r[0] for r in events.collect())
