@@ -39,6 +39,9 @@ SKETCH = 3
 #: Rounds of training that add words mistaken for positive.
 HARD = 3
 DECAY, REACH = 0.7, 6
+#: Words whose features, a number for each of 32,768 subsequences, are in memory at once while the machine is
+#: trained; only those of the landmarks are all there.
+ROWS = 128
 #: Characters of a word that are compared at once; longer words are scored in parts.
 PART = 24
 #: Predicted toxic from this score on.
@@ -177,8 +180,13 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.1) ->
         if before is not None and (active == before).all():
             break
         before = active
-        xa, ca = x[active], cost[active]
-        w = np.linalg.solve(xa.T @ (ca[:, None] * xa) + np.diag(penalty), xa.T @ (ca * y[active]))
+        square, along = np.diag(penalty), np.zeros(x.shape[1])
+        for at in range(0, len(x), ROWS):
+            some = slice(at, at + ROWS)
+            xa, ca = x[some][active[some]], cost[some][active[some]]
+            square += xa.T @ (ca[:, None] * xa)
+            along += xa.T @ (ca * y[some][active[some]])
+        w = np.linalg.solve(square, along)
     return w
 
 
@@ -238,15 +246,23 @@ def _machine(positive: list[str], negative: list[str]) -> tuple[np.ndarray, floa
     first = np.arange(min(LANDMARKS // 2, len(positive)))
     others = np.linspace(len(positive), len(found) - 1, min(LANDMARKS // 2, len(negative)))
     marks = np.concatenate([first, np.unique(others.astype(int))])
-    landmark = dense([parts[i] for i in marks])
+    marked = [parts[i] for i in marks]
+    landmark = dense(marked)
     values, vectors = np.linalg.eigh((landmark @ landmark.T).astype(float))
     keep = values > 1e-4 * values.max()
     half_inverse = vectors[:, keep] / np.sqrt(values[keep])
     x = np.ones((len(parts), keep.sum() + 1))
-    for at in range(0, len(parts), 500):
-        x[at : at + 500, :-1] = dense(parts[at : at + 500]) @ landmark.T @ half_inverse
+    for at in range(0, len(parts), ROWS):
+        x[at : at + ROWS, :-1] = dense(parts[at : at + ROWS]) @ landmark.T @ half_inverse
+    # Made again after the training, as it is the largest of all.
+    del landmark
     w = _svm(x, y, cost)
-    return landmark.T @ (half_inverse @ w[:-1]), float(w[-1])
+    del x
+    share = half_inverse @ w[:-1]
+    weight = np.zeros(_SYMBOLS**3)
+    for at in range(0, len(marked), ROWS):
+        weight += dense(marked[at : at + ROWS]).T @ share[at : at + ROWS]
+    return weight, float(w[-1])
 
 
 def train_words(positive: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
@@ -354,6 +370,23 @@ def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def _learned(n_toxic: int, n_clean: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The machine trained on the words of the sample, one task's, as the driver has little memory;
+    no row without words of both kinds."""
+    counts = {}
+    for batch in batches:
+        word, t, c = (batch[x].to_pylist() for x in ("word", "t", "c"))
+        counts.update(zip(word, zip(t, c)))
+    positive, negative = label_words(counts, n_toxic, n_clean)
+    del counts
+    if positive and negative:
+        weight, bias = train_words(positive, negative)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([weight.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])],
+            names=["weight", "bias"],
+        )
+
+
 def held_out(doc_id="doc_id"):
     """Documents whose labels training never reads."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -390,7 +423,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     kept = spark.createDataFrame([(row,) for row in _unlike(texts)], "row long")
     texts = materialize(texts.join(F.broadcast(kept), "row"), "toxic-texts")
     sizes = dict(texts.groupBy("toxic").count().collect())
-    counted = (
+    learned = (
         texts.mapInArrow(_distinct, "row long, toxic int, words array<string>")
         .select("toxic", F.explode("words").alias("word"))
         .groupBy("word")
@@ -398,13 +431,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             F.sum("toxic").cast("int").alias("t"),
             F.sum(1 - F.col("toxic")).cast("int").alias("c"),
         )
-        .toPandas()
+        .repartition(1)
+        .mapInArrow(partial(_learned, sizes.get(1, 0), sizes.get(0, 0)), "weight binary, bias double")
+        .first()
     )
-    counts = dict(zip(counted["word"], zip(counted["t"].tolist(), counted["c"].tolist())))
-    positive, negative = label_words(counts, sizes.get(1, 0), sizes.get(0, 0))
-    weight, bias = train_words(positive, negative)
-    model = Model(weight.astype(np.float32), bias, (0.0, -3.0))
-    if positive and negative:
+    # Without labels of both kinds no word tells anything.
+    weight, bias = np.zeros(_SYMBOLS**3, np.float32), -1.0
+    if learned:
+        weight, bias = np.frombuffer(learned["weight"], np.float32), learned["bias"]
+    model = Model(weight, bias, (0.0, -3.0))
+    if learned:
         shared = spark.sparkContext.broadcast(model)
         fitted = texts.mapInArrow(
             partial(_score, shared), "row long, toxic int, score double, best double"

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -275,6 +276,31 @@ def test_string_kernel_tolerates_changes():
     assert min(scores[:3]) > 0 > scores[3]
 
 
+def _made_words(n: int, seed: int) -> list[str]:
+    letters = np.random.default_rng(seed).integers(0, 26, (n, 10))
+    return ["".join(chr(97 + x) for x in row) for row in letters]
+
+
+def test_training_of_toxic_words_takes_little_memory():
+    """The landmarks are 79 MB; all else is in blocks."""
+    positive, negative = _made_words(700, 1), _made_words(700, 2)
+    tracemalloc.start()
+    weight, bias = toxicity.train_words(positive, negative)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140e6
+    scores = [toxicity.score_words(found, weight, bias).mean() for found in (positive, negative)]
+    assert scores[0] > scores[1] + 0.5
+
+
+def test_training_of_toxic_words_is_the_same_in_any_blocks(monkeypatch):
+    found = []
+    for rows in (7, 10**6):
+        monkeypatch.setattr(toxicity, "ROWS", rows)
+        found.append(toxicity.train_words(_made_words(50, 1), _made_words(60, 2)))
+    assert np.allclose(found[0][0], found[1][0], atol=1e-4) and abs(found[0][1] - found[1][1]) < 1e-4
+
+
 PAGES = [
     (1, "http://a.example/x", "<p>same</p>"), (2, "http://a.example/y", "<p>same</p>"),
     (3, None, None), (4, "u", ""), (5, "http://a.example/z", "WARC/1.1\r\n\r\n\r\nx" * 3),
