@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlake.operators import usage
 from marketlake.schemas import REQUEST_LOG
-from marketlake.streaming.requests import BUCKETS, Requests, read_request_figures, start_request_figures
+from marketlake.streaming.requests import BUCKETS, PARTITIONS, Requests, read_request_figures, start_request_figures
 from marketlake.streaming.usage import fold_rollup, read_rollup, start_rollup
 
 T0 = datetime.datetime(2024, 1, 1, 23, 58)
@@ -165,6 +165,24 @@ def test_request_state_is_shared_by_buckets(spark, tmp_path):
     assert found["active"] == {r["window_start"]: tuple(r)[1:] for r in usage.usage_active(log).collect()}
 
 
+def test_request_state_has_few_partitions(spark, tmp_path):
+    """Whatever the session's shuffles have: each partition costs a commit a batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.createDataFrame(ROWS, REQUEST_LOG).coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        stream = spark.readStream.schema(REQUEST_LOG).parquet(f"{tmp_path}/in")
+        query = start_request_figures(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", interval=None)
+        query.awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert query.lastProgress["stateOperators"][0]["numShufflePartitions"] == PARTITIONS
+    log = spark.createDataFrame(ROWS, REQUEST_LOG)
+    means = {r["window_start"]: tuple(r)[1:] for r in usage.usage_means(log).collect()}
+    assert _figures(spark, f"{tmp_path}/out")["means"] == means
+
+
 class _State:
     """A bucket's entry of state, as the stream hands it to the update."""
 
