@@ -226,14 +226,18 @@ def usage_means(m: Market) -> DataFrame:
 FILE_EVENTS = 300_000
 
 
+def _write_events(events: DataFrame, path: str) -> None:
+    # A compressed file is read by one task, so files are cut for many tasks.
+    events.write.mode("append").option("maxRecordsPerFile", FILE_EVENTS).text(path, compression="gzip")
+
+
 def _ingest(m: Market, root: str, name: str) -> lake.LakeTable:
     """One event stream, from a folder of JSON lines into a fresh lake table."""
     events, table, parse = {
         "listings": (testdata.listing_events, lake.listings_table, flatten.parse_listings),
         "sales": (testdata.sale_events, lake.sales_table, flatten.parse_sales),
     }[name]
-    # A compressed file is read by one task, so files are cut for many tasks.
-    events(m.spark, m.dir).write.option("maxRecordsPerFile", FILE_EVENTS).text(f"{root}/in/{name}", compression="gzip")
+    _write_events(events(m.spark, m.dir), f"{root}/in/{name}")
     target = table(f"{root}/{name}")
     raw = topics.read_topic_files(m.spark, f"{root}/in/{name}")
     ingest.start_ingest(
@@ -253,15 +257,17 @@ BATCHES = 5
 
 def stream_upsert(m: Market) -> DataFrame:
     """Listings over several batches, versions of a key in any of them: one
-    compaction on the way, another onto that base, and a tail merged on reading."""
+    compaction on the way, another onto that base, and a tail merged on reading.
+    Events are dealt to the batches by the line items, so that no text is shuffled."""
     root = work_path(m.spark, "upsert")
-    events = testdata.listing_events(m.spark, m.dir)
     table = lake.listings_table(f"{root}/listings")
-    events.repartition(BATCHES).write.text(f"{root}/in")
-    raw = topics.read_topic_files(m.spark, f"{root}/in", maxFilesPerTrigger="1")
-    ingest.start_ingest(
-        raw, table, flatten.parse_listings, f"{root}/checkpoint", interval=None, compact_every=2
-    ).awaitTermination()
+    for batch in range(BATCHES):
+        events = testdata.listing_events(m.spark, m.dir, batch, BATCHES)
+        _write_events(events, f"{root}/in")
+        raw = topics.read_topic_files(m.spark, f"{root}/in")
+        ingest.start_ingest(
+            raw, table, flatten.parse_listings, f"{root}/checkpoint", interval=None, compact_every=2
+        ).awaitTermination()
     return table.read(m.spark)
 
 

@@ -128,14 +128,13 @@ class LakeTable:
             return version
         new = time.time_ns()
         target = f"{self.path}/base/version={new}"
-        merged = self._latest(self._log(spark, batches))
-        kept = None
+        rows, kept = self._log(spark, batches), None
         if version > 0:
-            fresh = materialize(merged, "fresh")
-            touched = self._touched(spark, version, fresh)
-            old = self._base(spark, version, touched)
-            merged = self._latest(old.unionByName(fresh))
+            touched = self._touched(spark, version, rows)
             kept = self._parts(spark, version).join(touched, PARTITION, "left_anti")
+            # New rows meet the old ones as they came, so that they move to their key only once.
+            rows = self._base(spark, version, touched).unionByName(rows)
+        merged = self._latest(rows)
         # Rebalancing gives a (world, dt) one file instead of one per task, and
         # splits the (world, dt) that is too large for one.
         merged.hint("rebalance", *PARTITION).write.partitionBy(*PARTITION).parquet(target, compression=CODEC)
@@ -149,15 +148,19 @@ class LakeTable:
     def _touched(self, spark: SparkSession, version: int, fresh: DataFrame) -> DataFrame:
         """The (world, dt) that hold a new row or an older version of one.
 
-        ``fresh`` is a written table of one row per key, so the planner knows its
-        bytes and broadcasts the keys only below its threshold.
+        Older versions are looked for only where no new row is, as all else is rewritten
+        anyway. ``fresh`` is a written table, so the planner knows its bytes and
+        broadcasts the keys only below its threshold.
         """
-        touched = fresh.select(*PARTITION)
-        if not self.key_fixes_partition:
-            keys = fresh.select(*self.keys)
-            older = self._base(spark, version).join(keys, list(self.keys), "left_semi")
-            touched = touched.unionByName(older.select(*PARTITION))
-        return materialize(touched.distinct(), "touched")
+        touched = materialize(fresh.select(*PARTITION).distinct(), "touched")
+        if self.key_fixes_partition:
+            return touched
+        others = self._parts(spark, version).join(touched, PARTITION, "left_anti").select(*PARTITION)
+        if others.isEmpty():
+            return touched
+        keys = fresh.select(*self.keys).distinct()
+        older = self._base(spark, version, others).join(keys, list(self.keys), "left_semi")
+        return materialize(touched.unionByName(older.select(*PARTITION).distinct()), "touched")
 
     # Reading
 

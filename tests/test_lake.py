@@ -289,3 +289,56 @@ def test_event_files_are_compressed(spark, sf_dir, tmp_path, monkeypatch):
     assert len(files) >= events.count() / 100 and all(p.name.endswith(".txt.gz") for p in files)
     back = spark.read.text(f"{tmp_path}/in/sales")
     assert sorted(r[0] for r in back.collect()) == sorted(r[0] for r in events.collect())
+
+
+def test_listing_events_are_dealt_whole(spark, tmp_path):
+    """Each event is in one part, and neighbours are in different ones."""
+    day = datetime.datetime(2024, 1, 1)
+    lines = [(1, i, 1, 1, 1.0, float(i), 0.0, 0.1, "R", "F", day) for i in (1, 1, 2, 2, 3, 3, 4)]
+    spark.createDataFrame(
+        lines,
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double,"
+        " l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    ).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 2, "s")], "s_suppkey long, s_nationkey int, s_name string").write.parquet(
+        str(tmp_path / "supplier.parquet")
+    )
+    whole = sorted(r[0] for r in testdata.listing_events(spark, str(tmp_path)).collect())
+    parts = [[r[0] for r in testdata.listing_events(spark, str(tmp_path), k, 3).collect()] for k in range(3)]
+    assert sorted(sum(parts, [])) == whole and len(whole) == 7
+    assert [len(p) for p in parts] == [3, 2, 2]
+    assert all(len(set(p)) == len(p) for p in parts)
+
+
+def test_upsert_stream_has_five_batches_of_compressed_files(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "work_path", lambda spark, name: str(tmp_path / name))
+    registry.stream_upsert(registry.Market(spark, sf_dir))
+    files = [p.name for p in (tmp_path / "upsert/in").iterdir() if p.name.startswith("part-")]
+    assert len(files) >= registry.BATCHES and all(name.endswith(".txt.gz") for name in files)
+    back = spark.read.text(f"{tmp_path}/upsert/in")
+    events = testdata.listing_events(spark, sf_dir)
+    assert sorted(r[0] for r in back.collect()) == sorted(r[0] for r in events.collect())
+    table = lake.listings_table(str(tmp_path / "upsert/listings"))
+    batches = {r["batch_id"]: r["rows"] for r in table._commits(spark).collect()}
+    assert sorted(batches) == [-1, 0, 1, 2, 3, 4] and all(batches[b] for b in range(5))
+    assert table._snapshot(spark)[1] == 3
+
+
+def test_compaction_writes_new_rows_once(spark, table, monkeypatch):
+    """No table of the new rows is written on the way; where all is touched, no keys of the base are read."""
+    table.append(listings(spark, listing("a", T0, 1), listing("b", T0, 2), listing("c", T0 + DAY, 3)), 0)
+    table.compact(spark)
+    written = []
+    plain = lake.materialize
+    monkeypatch.setattr(lake, "materialize", lambda df, name: written.append((name, df.columns)) or plain(df, name))
+    table.append(listings(spark, listing("a", T0 + 1, 4), listing("a", T0 + 2, 5), listing("c", T0 + 2, 9)), 1)
+    table.compact(spark)
+    assert written and all(columns == lake.PARTITION for _, columns in written)
+    # c had a newer version on another day, which no new row touches
+    assert state(table, spark) == {"a": (5, "2024-01-01"), "b": (2, "2024-01-01"), "c": (3, "2024-01-02")}
+
+    version, _ = table._snapshot(spark)
+    both = listings(spark, listing("d", T0), listing("e", T0 + DAY))
+    with monkeypatch.context() as m:
+        m.setattr(lake.LakeTable, "_base", lambda *_: pytest.fail("the base is read"))
+        assert table._touched(spark, version, both).count() == 2
