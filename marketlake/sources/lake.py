@@ -128,13 +128,12 @@ class LakeTable:
             return version
         new = time.time_ns()
         target = f"{self.path}/base/version={new}"
-        rows, kept = self._log(spark, batches), None
+        log = self._log(spark, batches)
+        merged, kept = self._latest(log), None
         if version > 0:
-            touched = self._touched(spark, version, rows)
+            touched = self._touched(spark, version, log)
             kept = self._parts(spark, version).join(touched, PARTITION, "left_anti")
-            # New rows meet the old ones as they came, so that they move to their key only once.
-            rows = self._base(spark, version, touched).unionByName(rows)
-        merged = self._latest(rows)
+            merged = self._merged(self._base(spark, version, touched), log, batches)
         # Rebalancing gives a (world, dt) one file instead of one per task, and
         # splits the (world, dt) that is too large for one.
         merged.hint("rebalance", *PARTITION).write.partitionBy(*PARTITION).parquet(target, compression=CODEC)
@@ -174,9 +173,7 @@ class LakeTable:
         elif not batches:
             rows = self._base(spark, version)
         else:
-            small = sum(batches.values()) <= BROADCAST_ROWS
-            base = self._base(spark, version)
-            rows = merge_latest(base, log, self.keys, self.order, small, total=True)
+            rows = self._merged(self._base(spark, version), log, batches)
         return rows.select(*self.schema.names)
 
     def read_raw(self, spark: SparkSession) -> DataFrame:
@@ -195,6 +192,11 @@ class LakeTable:
             return spark.read.schema(schema).parquet(self.quarantine)
         return spark.createDataFrame([], schema)
 
+    def _merged(self, base: DataFrame, log: DataFrame, batches: dict[int, int]) -> DataFrame:
+        """The latest of base rows and of the batches after them."""
+        n = sum(batches.values())
+        return merge_latest(base, log, self.keys, self.order, n <= BROADCAST_ROWS, total=True, fresh_rows=n)
+
     def _latest(self, rows: DataFrame) -> DataFrame:
         return latest(rows, self.keys, self.order, total=True)
 

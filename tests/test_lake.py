@@ -8,6 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from marketlake import testdata
+from marketlake.operators import latest
 from marketlake.operators.flatten import parse_listings, parse_sales
 from marketlake.plans import registry
 from marketlake.schemas import RAW_LISTINGS, RAW_SALES
@@ -342,3 +343,20 @@ def test_compaction_writes_new_rows_once(spark, table, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(lake.LakeTable, "_base", lambda *_: pytest.fail("the base is read"))
         assert table._touched(spark, version, both).count() == 2
+
+
+def test_base_rows_of_other_keys_do_not_move_to_their_key(spark, table, monkeypatch):
+    """Neither when reading nor when compacting, however many new rows there are."""
+    monkeypatch.setattr(lake, "BROADCAST_ROWS", 0)
+    table.append(listings(spark, *[listing(f"k{i}", T0 + i, world=i % 3) for i in range(300)]), 0)
+    table.compact(spark)
+    compared = []
+    plain = latest.latest
+    monkeypatch.setattr(latest, "latest", lambda df, *rest: compared.append(df.count()) or plain(df, *rest))
+    table.append(listings(spark, *[listing(f"k{i}", T0 + 900, 7, world=i % 3) for i in range(290, 310)]), 1)
+    expected = {f"k{i}": (7 if i >= 290 else 1, "2024-01-01") for i in range(310)}
+    assert state(table, spark) == expected
+    table.compact(spark)
+    assert state(table, spark) == expected
+    # 20 new rows, the 10 they replace, and few of the other 290
+    assert len(compared) == 2 and all(30 <= n <= 40 for n in compared)

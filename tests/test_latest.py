@@ -1,6 +1,7 @@
 import random
 
-from marketlake.operators.latest import latest, merge_latest
+from marketlake.operators import latest as module
+from marketlake.operators.latest import key_bits, latest, merge_latest
 
 SCHEMA = "k string, t bigint, v string"
 ROWS = [("a", 1, "old"), ("a", 3, "new"), ("a", 2, "mid"), ("b", 5, "x"), ("b", 5, "y"), ("c", None, "z")]
@@ -38,3 +39,31 @@ def test_one_version_per_key_leaves_each_task(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     shuffle = text.index("Exchange hashpartitioning")
     assert "Partial" in text[shuffle:]
+
+
+def test_bitmap_of_keys_spares_the_base_a_shuffle(spark, monkeypatch):
+    """Equal to the latest of all, with keys of two columns, NULLs and a bitmap of more than one bucket."""
+    rng = random.Random(11)
+    key = lambda i: (None if i % 50 == 0 else f"k{i}", i % 7)
+    schema = "k string, w int, t bigint, v string"
+    rows = [(*key(rng.randrange(3000)), rng.choice([None, *range(9)]), f"v{i}") for i in range(4000)]
+    keys = ["k", "w"]
+    base = latest(spark.createDataFrame(rows[:3000], schema), keys, ["t"])
+    fresh = spark.createDataFrame(rows[3000:], schema)
+    expected = latest(spark.createDataFrame(rows, schema), keys, ["t"]).collect()
+    for n in (1000, 9000):
+        merged = merge_latest(base, fresh, keys, ["t"], False, fresh_rows=n)
+        assert sorted(merged.collect(), key=str) == sorted(expected, key=str)
+        marked = module._marked(base, fresh, keys, key_bits(n))
+        hits = {tuple(r) for r in marked.where("_hit = 1").select(*keys).collect()}
+        true = {tuple(r)[:2] for r in base.collect()} & {r[:2] for r in rows[3000:]}
+        assert hits >= true and len(hits) < marked.count() * 0.7 and marked.count() == base.count()
+    # too many keys for a bitmap: all rows are compared
+    monkeypatch.setattr(module, "MOST_KEY_BITS", 1000)
+    merged = merge_latest(base, fresh, keys, ["t"], False, fresh_rows=1000)
+    assert "bitmap" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(merged.collect(), key=str) == sorted(expected, key=str)
+
+
+def test_bits_grow_with_the_keys():
+    assert [key_bits(n) for n in (0, 1, 4096, 4097, 2**26, 2**40)] == [2**15, 2**15, 2**15, 2**16, 2**29, 2**29]
